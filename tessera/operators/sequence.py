@@ -151,6 +151,15 @@ def with_series_aggregates(df: DataFrame, key: SeriesKey, aggs: dict[str, Column
     return df.join(stats, key.series)
 
 
+def with_ranges(df: DataFrame, key: SeriesKey, ranges: dict[str, str]) -> DataFrame:
+    """Attach max - min over the series for every ``source: name``."""
+    ends = {}
+    for c, out in ranges.items():
+        ends["_lo" + out], ends["_hi" + out] = F.min(c), F.max(c)
+    df = with_series_aggregates(df, key, ends)
+    return df.withColumns({out: F.col("_hi" + out) - F.col("_lo" + out) for out in ranges.values()}).drop(*ends)
+
+
 def delta(df: DataFrame, key: SeriesKey, cols: Sequence[str], prefix: str = "d_") -> DataFrame:
     """Row-to-row difference of each column inside its series; NULL on the first row."""
     df = previous(df, key, {c: f"_prev_{c}" for c in cols})
@@ -209,8 +218,8 @@ def progress_vector(df: DataFrame, key: SeriesKey, cols: Sequence[str], extra: S
     thinning, pass ``ranges`` with columns that hold the range over the *unthinned* series.
     """
     if extra and ranges is None:
-        df = with_series_aggregates(df, key, {"_rng_" + c: F.max(c) - F.min(c) for c in extra})
         ranges = {c: "_rng_" + c for c in extra}
+        df = with_ranges(df, key, ranges)
     df = delta(df, key, cols, prefix)
     terms = [F.col(prefix + c) for c in cols]
     if extra:
