@@ -53,9 +53,9 @@ _BETA = {
 }
 
 
-@query("diffusion_terms", _mix_sql(_BETA, 4))
+@query("diffusion_terms", _mix_sql(_BETA, None))
 def _diffusion(spark, d):
-    return _mix(spark, d, M.diffusion_terms(SPECIES, WEIGHTS, Z, Z_C, "N2"), 4)
+    return _mix(spark, d, M.diffusion_terms(SPECIES, WEIGHTS, Z, Z_C, "N2"), None)
 
 
 @query("diffusion_terms_averaged", f"""WITH {MIXED}, av AS (SELECT *, {', '.join(f'''0.5e0 * (min("Le-{s}") OVER w + max("Le-{s}") OVER w) AS "La-{s}"''' for s in SPECIES)}
@@ -88,9 +88,9 @@ def _lewis(spark, d):
 
 @query("rate_split", _mix_sql({
     "net": f'"Y_dot_net-NO" * {MOLAR["NO"]!r}e0', "pos": f'("Y_dot_net-NO" - "Y_dot_neg-NO") * {MOLAR["NO"]!r}e0',
-    "neg": f'"Y_dot_neg-NO" * {MOLAR["NO"]!r}e0 / ("Y-NO" + 1e-11)'}))
+    "neg": f'"Y_dot_neg-NO" * {MOLAR["NO"]!r}e0 / ("Y-NO" + 1e-11)'}, None))
 def _rate_split(spark, d):
-    return _mix(spark, d, M.rate_split(M.col("Y_dot_net-NO"), M.col("Y_dot_neg-NO"), F.lit(MOLAR["NO"]), M.col("Y-NO")))
+    return _mix(spark, d, M.rate_split(M.col("Y_dot_net-NO"), M.col("Y_dot_neg-NO"), F.lit(MOLAR["NO"]), M.col("Y-NO")), None)
 
 
 @query("family_sum", _mix_sql({"nox": '"Y-NO2" + "Y-NO" + "Y-N2O"', "nox_rule": '"Y-NO" + "Y-NO2" + "Y-N2O"'}, None))
@@ -142,10 +142,9 @@ a AS (SELECT *, "Density" AS r, dsdrho_e AS sr, dsde_rho AS se, d2sdrho2 AS srr,
 b AS (SELECT *, -r * r * T * sr AS p, -T * T * see AS te, -T * T * sre AS tr FROM a),
 c AS (SELECT *, -r * r * (te * sr + T * sre) AS pe, -2e0 * r * T * sr - r * r * (tr * sr + T * srr) AS pr FROM b),
 h AS (SELECT *, -p / (r * r) + pr / r AS hr, 1e0 + pe / r AS he, -pe / pr AS k FROM c)
-SELECT l_orderkey, l_linenumber, round(T, 6) AS "T", round(p, 2) AS p, round(te, 6) AS "dTde_rho", round(tr, 6) AS "dTdrho_e",
-  round(pe, 3) AS dpde_rho, round(pr, 1) AS dpdrho_e, round(hr, 1) AS dhdrho_e, round(he, 4) AS dhde_rho,
-  round(pr - sr * pe / se, 1) AS c2, round(he / pe, 6) AS dhdp_rho, round(se / pe, 9) AS dsdp_rho,
-  round(sr - pr * se / pe, 3) AS dsdrho_p FROM h"""
+SELECT l_orderkey, l_linenumber, T AS "T", p, te AS "dTde_rho", tr AS "dTdrho_e", pe AS dpde_rho, pr AS dpdrho_e, hr AS dhdrho_e, he AS dhde_rho,
+  pr - sr * pe / se AS c2, he / pe AS dhdp_rho, se / pe AS dsdp_rho, sr - pr * (se / pe) AS dsdrho_p, hr - he * (pr / pe) AS dhdrho_p,
+  (he + k * hr) / (te + k * tr) AS cp FROM h"""
 
 
 def _states(spark, d):
@@ -155,9 +154,8 @@ def _states(spark, d):
 @query("entropic_state", _STATE_SQL)
 def _entropic(spark, d):
     got = state.entropic_state(_states(spark, d))
-    digits = {"T": 6, "p": 2, "dTde_rho": 6, "dTdrho_e": 6, "dpde_rho": 3, "dpdrho_e": 1, "dhdrho_e": 1, "dhde_rho": 4, "c2": 1,
-              "dhdp_rho": 6, "dsdp_rho": 9, "dsdrho_p": 3}
-    return got.select("l_orderkey", "l_linenumber", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    return got.select("l_orderkey", "l_linenumber", "T", "p", "dTde_rho", "dTdrho_e", "dpde_rho", "dpdrho_e", "dhdrho_e", "dhde_rho",
+                      "c2", "dhdp_rho", "dsdp_rho", "dsdrho_p", "dhdrho_p", "cp")
 
 
 @query("sound_speed_compact", f"""WITH {_STATES} SELECT l_orderkey, l_linenumber,

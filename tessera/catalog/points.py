@@ -95,4 +95,4 @@ def _inverse(spark, d):
                                                        F.lit(0.008).alias("slope")), ["x", "y"], "p_partkey", 3)
     q = table(spark, d, "customer").select("c_custkey", F.expr("c_nationkey / 25e0").alias("y"),
                                            F.expr("20e0 + abs(c_acctbal) / 200e0").alias("target"))
-    return K.inverse_lookup(q, index, "x", "target", "v", "slope", start=0.5, tol=2.0, max_rounds=8)
+    return K.inverse_lookup(q, index, "x", "target", "v", "slope", start=0.5, tol=2.0, max_rounds=6)
