@@ -29,18 +29,22 @@ _PHI = {"linear": "{z}", "elu": "CASE WHEN {z} > 0 THEN {z} ELSE exp({z}) - 1 EN
         "exponential": "exp({z})", "sigmoid": "1 / (1 + exp(-({z})))", "swish": "{z} / (1 + exp(-({z})))"}
 
 
+def _num(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
 def _score_sql(net: SU.Network, keep: str, source: str = "lineitem", digits: int = 4) -> str:
     """Layer by layer as nested subqueries."""
-    prev = ", ".join(f"({c} - {o!r}e0) / {s!r}e0 AS h0_{i}" for i, (c, (o, s)) in enumerate(zip(net.inputs, net.x_scaler)))
+    prev = ", ".join(f"({c} - {_num(o)}) / {_num(s)} AS h0_{i}" for i, (c, (o, s)) in enumerate(zip(net.inputs, net.x_scaler)))
     sql = f"SELECT *, {prev} FROM {source}"
     for layer, (w, b) in enumerate(zip(net.weights, net.biases)):
         cols = []
         for j in range(w.shape[1]):
-            z = "(" + " + ".join(f"h{layer}_{i} * ({float(w[i, j])!r}e0)" for i in range(w.shape[0])) + f" + ({float(b[j])!r}e0))"
+            z = "(" + " + ".join(f"h{layer}_{i} * {_num(w[i, j])}" for i in range(w.shape[0])) + f" + ({float(b[j])!r}e0))"
             cols.append((z if layer == len(net.weights) - 1 else _PHI[net.activation].format(z=z)) + f" AS h{layer + 1}_{j}")
         sql = f"SELECT *, {', '.join(cols)} FROM ({sql})"
     n = len(net.weights)
-    outs = ", ".join(f"round(h{n}_{j} * {s!r}e0 + {o!r}e0, {digits}) AS pred_{c}" for j, (c, (o, s)) in enumerate(zip(net.outputs, net.y_scaler)))
+    outs = ", ".join(f"round(h{n}_{j} * {_num(s)} + {_num(o)}, {digits}) AS pred_{c}" for j, (c, (o, s)) in enumerate(zip(net.outputs, net.y_scaler)))
     return f"SELECT {keep}, {outs} FROM ({sql})"
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import cut_lineage
+
 
 def _chain(points: np.ndarray) -> np.ndarray:
     """Hull vertices counter-clockwise from the lowest x (monotone chain)."""
@@ -43,19 +45,30 @@ def _extremes(points: np.ndarray, directions: int = 64) -> np.ndarray:
     return points[outside]
 
 
-def convex_hull(df: DataFrame, level: str, x: str, y: str, merge_parts: int = 64) -> DataFrame:
+def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 200_000) -> DataFrame:
     """Vertices ``(level, seq, x, y)`` of the hull of each level, counter-clockwise.
 
-    The hull of a union is the hull of the hulls: every batch is reduced where it lies, the survivors
-    of a level are reduced again in ``merge_parts`` parts, and only then does a level meet in one task.
+    The hull of a union is the hull of the hulls: every batch is reduced where it lies. Levels whose
+    survivors still exceed ``group_points`` are reduced again in parts before a level meets in one task.
     """
     level_type = df.schema[level].dataType.simpleString()
+    flat = f"level {level_type}, x double, y double"
+
+    def reduce_levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        lv, xy = pdf["level"].to_numpy(), pdf[["x", "y"]].to_numpy(dtype=float)
+        order = np.argsort(lv, kind="stable")
+        lv, xy = lv[order], xy[order]
+        starts = np.flatnonzero(np.r_[True, lv[1:] != lv[:-1]]) if len(lv) else []
+        kept = [(lv[a], _chain(_extremes(part))) for a, part in zip(starts, np.split(xy, starts[1:]))]
+        if not kept:
+            return pdf[["level", "x", "y"]]
+        pts = np.concatenate([p for _, p in kept])
+        return pd.DataFrame({"level": np.repeat([v for v, _ in kept], [len(p) for _, p in kept]),
+                             "x": pts[:, 0], "y": pts[:, 1]})
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lv, g in pdf.groupby("level", sort=False):
-                pts = _chain(_extremes(g[["x", "y"]].to_numpy(dtype=float)))
-                yield pd.DataFrame({"level": lv, "x": pts[:, 0], "y": pts[:, 1]})
+            yield reduce_levels(pdf)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         pts = _chain(pdf[["x", "y"]].to_numpy(dtype=float))
@@ -63,10 +76,17 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, merge_parts: int = 64
                              "x": pts[:, 0], "y": pts[:, 1]})
 
     rows = df.select(F.col(level).alias("level"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    flat = f"level {level_type}, x double, y double"
-    first = rows.mapInPandas(partial, flat)
-    part = F.pmod(F.xxhash64("x", "y"), F.lit(merge_parts)).cast("int")
-    second = (first.withColumn("part", part).groupBy("level", "part")
-              .applyInPandas(lambda pdf: next(partial(iter([pdf[["level", "x", "y"]]]))), flat))
-    out = second.groupBy("level").applyInPandas(final, f"level {level_type}, seq long, x double, y double")
+    left = cut_lineage(rows.mapInPandas(partial, flat))
+    while True:
+        most = left.groupBy("level").count().agg(F.max("count")).first()[0] or 0
+        if most <= group_points:
+            break
+        parts = -(-most // (group_points // 2))
+        salted = left.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
+        smaller = cut_lineage(salted.groupBy("level", "part").applyInPandas(reduce_levels, flat))
+        again = smaller.groupBy("level").count().agg(F.max("count")).first()[0]
+        left = smaller
+        if again > 0.9 * most:  # nearly all points are hull vertices: the answer itself is that large
+            break
+    out = left.groupBy("level").applyInPandas(final, f"level {level_type}, seq long, x double, y double")
     return out.withColumnRenamed("level", level)

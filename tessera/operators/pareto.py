@@ -82,14 +82,15 @@ def hypervolume(df: DataFrame, generation: str, cost: str, score: str) -> DataFr
 def front_distance(df: DataFrame, generation: str, cost: str, score: str, slice_rows: int = 10_000) -> DataFrame:
     """Mean distance-plus of each generation to the last one.
 
-    Only the front of the last generation can be nearest. It is met in slices of at most
+    Only excess over a target counts as distance, so of all points of the last generation only those
+    no other one exceeds in both objectives can be nearest. These are met in slices of about
     ``slice_rows`` points, each packed in one array, so memory per task is bounded; the minimum over
     slices is exact.
     """
-    pts = _scaled(df, generation, cost, score).withColumn("_id", F.monotonically_increasing_id())
+    pts = _scaled(df, generation, cost, score)
     last = df.agg(F.max(generation).alias("m"))
-    front = front_points(pts.where(F.col(generation) == last.scalar()), "x", "y").select(
-        F.col("x").alias("fx"), F.col("y").alias("fy"))
+    final = pts.where(F.col(generation) == last.scalar()).select((-F.col("x")).alias("nx"), (-F.col("y")).alias("ny"))
+    front = front_points(final, "nx", "ny").select((-F.col("nx")).alias("fx"), (-F.col("ny")).alias("fy"))
     n = front.count()
     slices = max(1, -(-n // slice_rows))
     packed = (front.groupBy(F.pmod(F.xxhash64("fx", "fy"), F.lit(slices)).alias("_slice"))
