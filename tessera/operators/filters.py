@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import global_index
+
 RANGE_TOLERANCE = 1e-5  # smallest global range of a relevant column (fixed value)
 
 
 def strided_values(values: DataFrame, col: str, stride: int) -> DataFrame:
     """Every ``stride``-th distinct value, counted in string order."""
     names = values.select(F.col(col).cast("string").alias(col)).distinct()
-    # folder names: one row per mixture value, not per data row
-    w = Window.orderBy(col)
-    return names.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") - 1) % stride == 0).drop("_rn")
+    return global_index(names, [col], "_rn").where(F.col("_rn") % stride == 0).drop("_rn")
 
 
 def partition_filter(df: DataFrame, folder: str, prefix: str, lo: float, hi: float, stride: int = 1,

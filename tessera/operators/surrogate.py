@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scaling import percent_error
 from tessera.functions.state import entropic_state, inverse_log_targets
+from tessera.operators.sequence import index_rows
 from tessera.operators.stats import exact_quantiles, mse, r2
+from tessera.runtime import cut_lineage
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -253,17 +255,25 @@ STAGNATION_PATIENCE = 200
 
 
 def early_stop(history: DataFrame, run: str, epoch: str, loss: str, patience: int = STAGNATION_PATIENCE,
-               tol: float = STAGNATION_TOLERANCE) -> DataFrame:
+               tol: float = STAGNATION_TOLERANCE, block_rows: int = 1_000_000) -> DataFrame:
     """Best epoch and stopping epoch per run.
 
     The running best moves only on an improvement above ``tol``; training stops after more than
-    ``patience`` epochs without one, or on NaN. Epoch counts bound the rows of a run.
+    ``patience`` epochs without one, or on NaN. Each step depends on the step before, so a run is
+    walked in blocks of ``block_rows`` epochs with its state carried between rounds; all runs advance
+    together and stopped runs leave.
     """
     run_type, epoch_type = (history.schema[c].dataType.simpleString() for c in (run, epoch))
+    rows, key = index_rows(history.select(run, epoch, loss), run, [epoch], chunk_rows=block_rows)
+    rows = rows.withColumn("_block", F.floor(F.col(key.order) / F.lit(block_rows)).cast("long"))
+    fields = f"`{run}` {run_type}, best_epoch {epoch_type}, best_loss double, stale long, stop_epoch {epoch_type}"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(epoch, kind="stable")
-        best, best_epoch, stale, stop = math.inf, None, 0, None
+        first = pdf.iloc[0]
+        best = math.inf if pd.isna(first["best_loss"]) else float(first["best_loss"])
+        best_epoch = None if pd.isna(first["best_epoch"]) else first["best_epoch"]
+        stale, stop = int(0 if pd.isna(first["stale"]) else first["stale"]), None
         for e, x in zip(pdf[epoch], pdf[loss].to_numpy(dtype=float)):
             if math.isnan(x):
                 stop = e
@@ -275,8 +285,28 @@ def early_stop(history: DataFrame, run: str, epoch: str, loss: str, patience: in
                 if stale > patience:
                     stop = e
                     break
-        return pd.DataFrame({run: [pdf[run].iloc[0]], "best_epoch": pd.array([best_epoch], dtype="Int64"),
-                             "best_loss": [best], "stop_epoch": pd.array([stop], dtype="Int64")})
-
-    return history.select(run, epoch, loss).groupBy(run).applyInPandas(
-        walk, f"`{run}` {run_type}, best_epoch {epoch_type}, best_loss double, stop_epoch {epoch_type}")
+        return pd.DataFrame({run: [first[run]], "best_epoch": pd.array([best_epoch], dtype="Int64"), "best_loss": [best],
+                             "stale": [stale], "stop_epoch": pd.array([stop], dtype="Int64")})
+
+    blocks = rows.agg(F.max("_block")).first()[0]
+    if blocks is None:
+        return history.sparkSession.createDataFrame([], fields).drop("stale")
+    state, done = None, None
+    for b in range(blocks + 1):
+        part = rows.where(F.col("_block") == b).drop("_block", key.order)
+        if state is None:
+            part = part.withColumns({"best_epoch": F.lit(None).cast(epoch_type), "best_loss": F.lit(None).cast("double"),
+                                     "stale": F.lit(None).cast("long")})
+        else:
+            part = part.join(state.drop("stop_epoch"), run)
+        got = part.groupBy(run).applyInPandas(walk, fields)
+        if b == blocks:
+            ended = got if state is None else got.unionByName(state.join(got.select(run), run, "left_anti"))
+        else:
+            got = cut_lineage(got if state is None else got.unionByName(state.join(got.select(run), run, "left_anti")))
+            ended = got.where("stop_epoch is not null")
+            state = got.where("stop_epoch is null")
+        done = ended if done is None else done.unionByName(ended)
+        if b < blocks and state.limit(1).count() == 0:
+            break
+    return done.drop("stale")

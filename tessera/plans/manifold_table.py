@@ -13,6 +13,7 @@ from tessera.operators.resample import first_row_repeat, resample, resample_rand
 from tessera.operators.sequence import (SeriesKey, arc_length, drop_degenerate, having_max, nodes_per_series,
                                         series_number, zero_edges, zero_near_extremes)
 from tessera.operators.split import dedupe_first, integer_hash, split_exact
+from tessera.runtime import cut_lineage
 from tessera.sources.profiles import KINDS
 
 BURNING_TEMPERATURE = 600.0  # a series that never gets this hot is dropped (fixed value)
@@ -54,13 +55,14 @@ def concatenate(profiles: DataFrame, key: SeriesKey, spec: TableSpec) -> DataFra
         if kind != "counterflame":
             part = partition_filter(part, "folder", spec.header, spec.lo, spec.hi, spec.stride, spec.ignore_bounds)
         chosen = part if chosen is None else chosen.unionByName(part)
-    df = spec.derive(chosen)
-    df = arc_length(df, key, spec.controls)
-    df = drop_degenerate(df, "s_total", F.col("kind") == "equilibrium")
-    df = having_max(df, key.series, spec.guide, BURNING_TEMPERATURE)
+    # whole-series predicates come first: they read one column and commute with the curve operators
+    df = having_max(chosen, key.series, spec.guide, BURNING_TEMPERATURE)
+    df = spec.derive(df)
     if spec.sources:
         df = (zero_near_extremes(df, key.series, spec.guide, spec.sources) if spec.table_mode
               else zero_edges(df, key, spec.sources))
+    df = arc_length(df, key, spec.controls)
+    df = cut_lineage(drop_degenerate(df, "s_total", F.col("kind") == "equilibrium"))
     nodes = spec.nodes or nodes_per_series(df, [key.series]).first()[0]
     cols = list(dict.fromkeys([*spec.controls, *spec.values, *spec.sources]))
     carry = ["kind", "folder", "file"]
@@ -82,7 +84,7 @@ def concatenate(profiles: DataFrame, key: SeriesKey, spec: TableSpec) -> DataFra
         out = out.unionByName(p)
     numbers = series_number(df, "kind", "folder", "file", spec.kinds)
     out = out.join(numbers, carry)
-    out = dedupe_first(out, spec.controls, ["series_no", "node"])
+    out = cut_lineage(dedupe_first(out, spec.controls, ["series_no", "node"]))
     hashed = integer_hash(["series_no", "node"], seed=7)
     out = split_exact(out, hashed, ["series_no", "node"], spec.f_train, spec.f_test, spec.layout)
     return out.select(*cols, "series_no", "node", "split")
