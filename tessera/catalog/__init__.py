@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tessera.catalog import expressions, grids, points, quality, rows, search, series, surrogates  # noqa: F401
+    from tessera.catalog import expressions, grids, points, quality, rows, search, series, surrogates, tables  # noqa: F401

@@ -18,7 +18,8 @@ from tessera.operators.sequence import index_rows
 from tessera.operators.stats import exact_quantiles, mse, r2
 from tessera.runtime import cut_lineage
 
-_erf = np.vectorize(math.erf, otypes=[float])
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(math.erf, 1, 1)(x).astype(float)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -79,7 +79,7 @@ def test_level_table(spark, tmp_path):
     assert lines[at("[Number of points]") + 1:][:2] == ["6", "6"]
     assert lines[at("[Number of triangles]") + 1:][:2] == ["4", "4"]
     assert lines[at("[Number of hull points]") + 1:][:2] == ["4", "4"]
-    assert lines[at("[Progress variable definition]") + 1] == "-5.0000e-01 * H2+1.0000e+00 * O2"
+    assert lines[at("[Progress variable definition]") + 1] == "-5.0000e-01 * H2++1.0000e+00 * O2"
     assert lines[at("<Data>") + 1] == "<Level>" and lines[at("<Data>") + 3] == "+5.00000000000000e-01\t-1.25000000000000e+00"
     assert lines[at("<Hull>"):at("</Hull>") + 1] == ["<Hull>", *(["<Level>", "1", "3", "4", "6", "</Level>"] * 2), "</Hull>"]
     write_level_table(nodes, tri, hull, str(tmp_path / "tables"))
