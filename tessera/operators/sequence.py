@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.runtime import cut_lineage
 
 CHUNK_ROWS = 4_000_000
+MAX_PARTS = 20_000  # range partitions of a global sort; larger tables get larger partitions
 _LOCAL_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -53,7 +54,7 @@ def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "pos"
     range partition larger than its share.
     """
     rows = df.count() if rows is None else rows
-    parts = max(1, -(-rows // rows_per_task))
+    parts = min(max(1, -(-rows // rows_per_task)), MAX_PARTS)
     ranged = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))))
@@ -148,7 +149,9 @@ def with_series_aggregates(df: DataFrame, key: SeriesKey, aggs: dict[str, Column
     if key.chunk is None:
         return df.withColumns({n: a.over(key.whole()) for n, a in aggs.items()})
     stats = df.groupBy(key.series).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(stats, key.series)
+    # one row per chunk, so that the rows keep their partitioning and no join key is hot
+    stats = df.select(*key.part).distinct().join(stats, key.series)
+    return df.join(stats, key.part)
 
 
 def with_ranges(df: DataFrame, key: SeriesKey, ranges: dict[str, str]) -> DataFrame:
@@ -399,9 +402,9 @@ def drop_degenerate(df: DataFrame, total: str = "s_total", exempt: Column | None
 
 def zero_edges(df: DataFrame, key: SeriesKey, cols: Sequence[str]) -> DataFrame:
     """Set source columns to zero on the first and last row of each series."""
-    ends = df.groupBy(key.series).agg(F.min(key.order).alias("_first"), F.max(key.order).alias("_last"))
+    df = with_series_aggregates(df, key, {"_first": F.min(key.order), "_last": F.max(key.order)})
     edge = (F.col(key.order) == F.col("_first")) | (F.col(key.order) == F.col("_last"))
-    return df.join(ends, key.series).withColumns(
+    return df.withColumns(
         {c: F.when(edge, F.lit(0.0)).otherwise(F.col(c)) for c in cols}).drop("_first", "_last")
 
 

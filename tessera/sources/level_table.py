@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators.grid import level_counts
 
-NUMBER_FORMAT = "%+.14e"  # of node data (fixed format)
-LEVEL_FORMAT = "%+.16e"  # of level values (fixed format)
+# first line, version and number formats of the text form (fixed values)
+TITLE = "Dragon library"
+VERSION = "1.1.0"
+NUMBER_FORMAT = "%+.14e"
+LEVEL_FORMAT = "%+.16e"
+WEIGHT_FORMAT = "%+.4e * %s"
 
 
 def write_level_table(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, path: str, level: str = "level") -> None:
@@ -31,7 +35,7 @@ def _section(n: int, df: DataFrame, level: str, order: str, line) -> DataFrame:
 
 def level_table_text(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, levels: DataFrame,
                      variables: Sequence[str], weights: dict[str, float], level: str = "level",
-                     node: str = "node", title: str = "Dragon library", version: str = "1.1.0") -> DataFrame:
+                     node: str = "node", title: str = TITLE, version: str = VERSION) -> DataFrame:
     """Lines of the text form, with the columns that order them.
 
     ``nodes(level, node, <variables>)`` numbers nodes from 0 within a level, ``triangles(level, tri,
