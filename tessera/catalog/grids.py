@@ -34,12 +34,12 @@ def _tensor(spark, d):
     return got.select("i", "j", F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("split_ladder", """WITH r AS (SELECT min(s_acctbal) AS lo, 0e0 AS mid, max(s_acctbal) AS hi, count(*) // 2 AS h, count(*) - count(*) // 2 + 1 AS u FROM supplier)
+@query("split_ladder", """WITH r AS (SELECT min(s_acctbal) AS lo, round(avg(s_acctbal), 2) AS mid, max(s_acctbal) AS hi, count(*) // 2 AS h, count(*) - count(*) // 2 + 1 AS u FROM supplier)
 SELECT round(CASE WHEN i = h - 1 THEN mid ELSE lo + i * ((mid - lo) / (h - 1)) END, 4) AS value FROM r, LATERAL (SELECT unnest(range(h)) AS i)
 UNION ALL SELECT round(CASE WHEN i = u - 1 THEN hi ELSE mid + i * ((hi - mid) / (u - 1)) END, 4) FROM r, LATERAL (SELECT unnest(range(1, u)) AS i)""")
 def _split_ladder(spark, d):
-    lo, hi, n = table(spark, d, "supplier").agg(F.min("s_acctbal"), F.max("s_acctbal"), F.count(F.lit(1))).first()
-    return rounded(G.split_ladder(spark, lo, 0.0, hi, n), 4)
+    lo, mid, hi, n = table(spark, d, "supplier").agg(F.min("s_acctbal"), F.round(F.avg("s_acctbal"), 2), F.max("s_acctbal"), F.count(F.lit(1))).first()
+    return rounded(G.split_ladder(spark, lo, mid, hi, n), 4)
 
 
 @query("level_ladder", """WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),

@@ -315,13 +315,11 @@ def _thin_large(curve: DataFrame, key: SeriesKey, keep: Sequence[str]) -> DataFr
         reached = marked.join(jump, [series, "_at"]).where("_to > 0").select(series, F.col("_to").alias("_at"))
         marked = cut_lineage(marked.unionByName(reached).distinct())
     beyond = curve.where(F.col("_c") > F.col("_tol")).groupBy(series).agg(F.min(order).alias("_beyond"))
-    rows = (curve.join(marked.withColumn("_marked", F.lit(True)),
-                       (curve[series] == marked[series]) & (curve[order] == marked["_at"]), "left")
-            .drop(marked[series]))
-    rows = rows.join(beyond, series, "left")
-    last = F.col("_at").isNotNull()
-    ok = (F.col(order) == 0) | (last & ~((F.col(order) >= 1) & (F.col(order) < F.col("_beyond") - 1)))
-    return rows.where(ok | (last & F.col("_beyond").isNull())).select(*keep)
+    marks = marked.select(series, F.col("_at").alias(order), F.lit(True).alias("_marked"))
+    rows = curve.join(marks, [series, order], "left").join(beyond, series, "left")
+    cleared = (F.col(order) >= 1) & (F.col(order) < F.col("_beyond") - 1)
+    kept = F.coalesce(F.col("_marked"), F.lit(False)) & ~F.coalesce(cleared, F.lit(False))
+    return rows.where((F.col(order) == 0) | kept).select(*keep)
 
 
 # --- series aggregates and whole-series predicates ------------------------------------------------

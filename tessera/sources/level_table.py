@@ -53,7 +53,7 @@ def level_table_text(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, le
         return df.select(F.lit(part).alias("part"), F.col(level).cast("long").alias("lv"), F.lit(0).alias("seq"),
                          F.lit(0).cast("long").alias("ord"), value.alias("value"))
 
-    definition = "+".join("%+.4e * %s" % (w, s) for s, w in weights.items())
+    definition = "+".join(WEIGHT_FORMAT % (w, s) for s, w in weights.items())
     tab = F.concat_ws("\t", *[F.format_string(NUMBER_FORMAT, F.col(f"`{v}`").cast("double")) for v in variables])
     cells = F.concat_ws("\t", *[(F.col(c) + 1).cast("string") for c in ("a", "b", "c")])
     pieces = [
