@@ -13,24 +13,28 @@ from tessera.operators.sequence import global_index
 RANGE_TOLERANCE = 1e-5  # smallest global range of a relevant column (fixed value)
 
 
-def strided_values(values: DataFrame, col: str, stride: int) -> DataFrame:
-    """Every ``stride``-th distinct value, counted in string order."""
-    names = values.select(F.col(col).cast("string").alias(col)).distinct()
-    return global_index(names, [col], "_rn").where(F.col("_rn") % stride == 0).drop("_rn")
+def strided_values(values: DataFrame, col: str, stride: int, by: Sequence[str] = ()) -> DataFrame:
+    """Every ``stride``-th distinct value of each group, counted in string order."""
+    names = values.select(*by, F.col(col).cast("string").alias(col)).distinct()
+    names = global_index(names, [*by, col], "_rn")
+    if by:
+        first = names.groupBy(*by).agg(F.min("_rn").alias("_first"))
+        names = names.join(first, list(by)).withColumn("_rn", F.col("_rn") - F.col("_first")).drop("_first")
+    return names.where(F.col("_rn") % stride == 0).drop("_rn")
 
 
 def partition_filter(df: DataFrame, folder: str, prefix: str, lo: float, hi: float, stride: int = 1,
-                     ignore_bounds: bool = False) -> DataFrame:
-    """Keep the rows of the chosen mixture folders.
+                     ignore_bounds: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Keep the rows of the chosen mixture folders (of each kind, when ``by`` names the kind column).
 
     Folder names are sorted as strings, strided, and only then matched against the prefix and the
     inclusive bounds. ``ignore_bounds`` skips prefix and bounds but not the stride.
     """
-    chosen = strided_values(df, folder, stride)
+    chosen = strided_values(df, folder, stride, by)
     if not ignore_bounds:
         number = F.expr(f"try_cast(substring(`{folder}`, {len(prefix) + 1}) as double)")
         chosen = chosen.where(F.col(folder).startswith(prefix) & number.between(lo, hi))
-    return df.join(chosen, folder, "left_semi")
+    return df.join(chosen, [*by, folder], "left_semi")
 
 
 def parsed_bounds(df: DataFrame, name: str, kind: str, bounded_kind: str, pattern: str, lo: float,

@@ -48,13 +48,11 @@ def concatenate(profiles: DataFrame, key: SeriesKey, spec: TableSpec) -> DataFra
     deduplication. The split itself broadcasts a fixed-size table of bucket counts.
     """
     df = profiles.where(F.col("kind").isin(list(spec.kinds)))
-    chosen = None
-    for kind in spec.kinds:
-        # folders are strided within their kind; counter-flow files have no mixture folder
-        part = df.where(F.col("kind") == kind)
-        if kind != "counterflame":
-            part = partition_filter(part, "folder", spec.header, spec.lo, spec.hi, spec.stride, spec.ignore_bounds)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # folders are strided within their kind; counter-flow files have no mixture folder
+    foldered = df.where(F.col("kind") != "counterflame")
+    chosen = partition_filter(foldered, "folder", spec.header, spec.lo, spec.hi, spec.stride, spec.ignore_bounds, ["kind"])
+    if "counterflame" in spec.kinds:
+        chosen = chosen.unionByName(df.where(F.col("kind") == "counterflame"))
     # whole-series predicates come first: they read one column and commute with the curve operators
     df = having_max(chosen, key.series, spec.guide, BURNING_TEMPERATURE)
     df = spec.derive(df)
