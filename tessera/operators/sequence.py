@@ -9,7 +9,7 @@ in a table with one row per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -252,27 +252,52 @@ def thin_monotone(df: DataFrame, key: SeriesKey, cols: Sequence[str], tol: float
     return small.unionByName(_thin_large(curve.join(hot, key.series, "left_semi"), key, df.columns))
 
 
+def _kept_rows(c: np.ndarray, tol: float) -> np.ndarray:
+    """Mask of the rows of one series that thinning keeps; ``c`` does not decrease."""
+    kept = np.zeros(len(c), dtype=bool)
+    kept[-1] = True
+    at = int(np.searchsorted(c, c[-1] - tol, side="left")) - 1
+    while at > 0:
+        kept[at] = True
+        at = int(np.searchsorted(c, c[at] - tol, side="left")) - 1
+    kept[0] = True
+    beyond = int(np.searchsorted(c, tol, side="right"))
+    if beyond < len(c):
+        kept[1:max(beyond - 1, 1)] = False
+    return kept
+
+
 def _thin_small(curve: DataFrame, key: SeriesKey, keep: Sequence[str]) -> DataFrame:
-    """Thinning of series that fit in a task: jumps over the sorted curve length of one series."""
-    order, keep = key.order, list(keep)
-
-    def jump(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        c, tol = pdf["_c"].to_numpy(), float(pdf["_tol"].iloc[0])
-        n = len(c)
-        kept = np.zeros(n, dtype=bool)
-        kept[-1] = True
-        at = int(np.searchsorted(c, c[-1] - tol, side="left")) - 1
-        while at > 0:
-            kept[at] = True
-            at = int(np.searchsorted(c, c[at] - tol, side="left")) - 1
-        kept[0] = True
-        beyond = int(np.searchsorted(c, c[0] + tol, side="right"))
-        if beyond < n:
-            kept[1:max(beyond - 1, 1)] = False
-        return pdf.loc[kept, keep]
-
-    return curve.groupBy(key.series).applyInPandas(jump, curve.select(*keep).schema)
+    """Thinning of series that fit in a task: jumps over the sorted curve length.
+
+    Batches of sorted rows are walked as they come, many short series at a time; only the rows of the
+    series that a batch leaves unfinished are held back.
+    """
+    series, keep = key.series, list(keep)
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, c, tol = pdf[series].to_numpy(), pdf["_c"].to_numpy(), pdf["_tol"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        masks = [_kept_rows(c[a:b], tol[a]) for a, b in zip(starts, np.r_[starts[1:], len(ids)])]
+        return pdf.loc[np.concatenate(masks), keep]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = pdf[series].to_numpy()
+            tail = len(ids) - int(np.argmax(ids[::-1] != ids[-1])) if (ids != ids[-1]).any() else 0
+            if tail == 0 and (not held or held[-1][series].iloc[-1] == ids[-1]):
+                held.append(pdf)
+                continue
+            yield thin(pd.concat([*held, pdf.iloc[:tail]], ignore_index=True))
+            held = [pdf.iloc[tail:]]
+        if held:
+            yield thin(pd.concat(held, ignore_index=True))
+
+    sorted_rows = curve.repartition(series).sortWithinPartitions(series, key.order)
+    return sorted_rows.mapInPandas(walk, curve.select(*keep).schema)
 
 
 def _thin_large(curve: DataFrame, key: SeriesKey, keep: Sequence[str]) -> DataFrame:

@@ -90,6 +90,21 @@ def test_thin_monotone(both, tol):
             assert set(got[got.sid == sid].row_idx) == thin(g["c"].to_numpy(), tol), sid
 
 
+def test_thin_monotone_across_batches(spark, both):
+    (df, key), _ = both
+    src = frame(S.curve_length(df, key, ["a", "b"], S.THIN_RANGE_GUARD, "c", "ct"), ["c"])
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for batch in ("1", "7", "60"):
+            spark.conf.set(conf, batch)
+            got = S.thin_monotone(df, key, ["a", "b"], 0.02).toPandas()
+            for sid, g in src.groupby("sid"):
+                assert sorted(got[got.sid == sid].row_idx) == sorted(thin(g["c"].to_numpy(), 0.02)), (batch, sid)
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_global_index(rows):
     got = S.global_index(rows, ["b", "sid", "k"], rows_per_task=50).toPandas().sort_values("pos")
     assert list(got.pos) == list(range(len(got)))
