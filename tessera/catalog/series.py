@@ -92,13 +92,24 @@ def _progress(spark, d):
     return rounded(got.select("l_suppkey", "row_idx", "d_ya", "d_yb", "d_yc", "y"))
 
 
-@query("thin_monotone")
+# every row points to the row kept next; the kept rows are those on the way from the last row
+_THIN = "WITH RECURSIVE " + ARC.replace("1e-10", "1e-32") + """,
+tol AS (SELECT user_id, 0.02e0 * max(c) AS t FROM cum GROUP BY user_id),
+nxt AS (SELECT a.user_id, a.row_idx, max(b.row_idx) AS below FROM cum a JOIN tol USING (user_id) JOIN cum b ON b.user_id = a.user_id AND b.c < a.c - t GROUP BY ALL),
+k(user_id, row_idx) AS (SELECT user_id, max(row_idx) FROM cum GROUP BY user_id
+  UNION ALL SELECT k.user_id, below FROM k JOIN nxt ON nxt.user_id = k.user_id AND nxt.row_idx = k.row_idx WHERE below > 0),
+far AS (SELECT user_id, min(row_idx) AS beyond FROM cum JOIN tol USING (user_id) WHERE c > t GROUP BY user_id)
+SELECT ev.user_id, ev.row_idx, event_id, x, value FROM ev LEFT JOIN far USING (user_id) LEFT JOIN k ON k.user_id = ev.user_id AND k.row_idx = ev.row_idx
+WHERE ev.row_idx = 0 OR (k.row_idx IS NOT NULL AND NOT coalesce(ev.row_idx >= 1 AND ev.row_idx < beyond - 1, false))"""
+
+
+@query("thin_monotone", _THIN)
 def _thin(spark, d):
     df, key = event_series(spark, d)
     return S.thin_monotone(df, key, ["x", "value"], 0.02).select("user_id", "row_idx", "event_id", "x", "value")
 
 
-@query("thin_monotone_chunked")
+@query("thin_monotone_chunked", _THIN)
 def _thin_chunked(spark, d):
     df, key = event_series(spark, d, chunk_rows=CHUNK)
     return S.thin_monotone(df, key, ["x", "value"], 0.02, chunk_rows=CHUNK).select("user_id", "row_idx", "event_id", "x", "value")
