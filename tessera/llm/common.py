@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from tessera.runtime import checkpoint_dir, cut_lineage
 
 
+def per_process(key: str, make):
+    """What ``make`` gives, once for each Python worker: models are not loaded anew by every task.
+
+    The code of this package travels with the tasks by value, so its own globals do not outlive a task.
+    """
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: compressed, read by column, and free of its lineage."""
     spark = df.sparkSession

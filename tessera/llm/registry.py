@@ -28,4 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from tessera.llm import exact, mixing, neardup, pseudonyms, quality, repeats, sentencepieces, tokens  # noqa: F401
+    from tessera.llm import (exact, extract, mixing, neardup, pseudonyms, quality, repeats, sentencepieces,  # noqa: F401
+                             tokens, topk)

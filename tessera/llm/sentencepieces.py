@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import per_process
 from tessera.llm.registry import query, table
 from tessera.llm.tokens import _ranges, slices
 
 MARK = "▁"
-SLICE_CHARS = 12 << 20  # text whose words share a trie
+SLICE_CHARS = 4 << 20  # text whose words share a trie
+PAIRS = 400_000  # neighbours that a worker remembers before it starts anew
 FIRM = -1e8  # pieces scored below have equal scores and merge from left to right
 
 
@@ -118,6 +120,8 @@ class PieceModel:
         import numpy as np
 
         ids, ends, known, root = [], [], self.ids, self.backward
+        if len(self.allowed) > PAIRS:
+            self.allowed = {}
         allowed, follows, reached = self.allowed, self.follows, self.tree
         path, before = [""], ""  # path[i]: the last piece of the first i characters
         for word in words:
@@ -199,7 +203,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        model = PieceModel(model_path)
+        model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             for lo, hi in slices([len(t) for t in texts], SLICE_CHARS):
@@ -218,7 +222,7 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", out:
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
+        model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for b in batches:
             for lo in range(0, max(b.num_rows, 1), 256):
                 part = b.slice(lo, 256)
