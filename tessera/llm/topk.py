@@ -69,8 +69,8 @@ class CoverTree:
 
 def matrix(vectors: list, dim: int) -> np.ndarray:
     """Rows of a list of lists, shorter ones filled with zeros."""
-    if all(len(v) == dim for v in vectors):
-        return np.array([np.asarray(v, np.float64) for v in vectors]).reshape(-1, dim)
+    if vectors and all(len(v) == dim for v in vectors):
+        return np.array([np.asarray(v, np.float64) for v in vectors])
     out = np.zeros((len(vectors), dim))
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
