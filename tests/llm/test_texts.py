@@ -138,7 +138,7 @@ long.<p>Short.</p><div class="ad-box"><p>Buy now, the best thing ever made for y
 def test_main_text():
     want = "Title First para, and it is long. Short. Second & third, with a link! One Two"
     assert extract.main_text(PAGE) == want
-    for html, text in (("", ""), ("just words", "just words"), ("<p>a<p>b <", "a b"), ("<<>>&lt;", "<<>><"), ("<article><p>x</p", "x"),
+    for html, text in (("", ""), ("just words", "just words"), ("<p>a<p>b <", "a b <"), ("<<>>&lt;", "<<>><"), ("<article><p>x</p", "x"),
                        ("<div" * 50, ""), ("<script>x", ""), ("<p>" + "y " * 50_000, ("y " * 50_000).strip())):
         assert extract.main_text(html) == text, html[:20]
 
