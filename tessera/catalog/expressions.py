@@ -79,11 +79,12 @@ def _ratio(spark, d):
     return _mix(spark, d, {"alpha": M.ratio_coefficient()}, 9)
 
 
+# compared by their logarithms: the values span many orders of magnitude
 @query("lewis_number", _mix_sql({
-    **{f"le_{s}": f'"Conductivity" / "Cp" / "Density" / ("D-{s}" + 1e-15)' for s in ("NO2", "N2O")}, "le_unity": "1e0"}, 0))
+    **{f"le_{s}": f'log10("Conductivity" / "Cp" / "Density" / ("D-{s}" + 1e-15))' for s in ("NO2", "N2O")}, "le_unity": "0e0"}, 6))
 def _lewis(spark, d):
-    cols = {f"le_{s}": M.lewis_number("Conductivity", "Cp", "Density", f"D-{s}") for s in ("NO2", "N2O")}
-    return _mix(spark, d, {**cols, "le_unity": M.lewis_number("Conductivity", "Cp", "Density", "D-H2", unity=True)}, 0)
+    cols = {f"le_{s}": F.log10(M.lewis_number("Conductivity", "Cp", "Density", f"D-{s}")) for s in ("NO2", "N2O")}
+    return _mix(spark, d, {**cols, "le_unity": F.log10(M.lewis_number("Conductivity", "Cp", "Density", "D-H2", unity=True))}, 6)
 
 
 @query("rate_split", _mix_sql({

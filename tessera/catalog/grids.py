@@ -94,7 +94,7 @@ SELECT DISTINCT level, x, y FROM lt WHERE reach IS NULL
 UNION SELECT lt.level, x, y FROM lt JOIN pts ON lt.level = pts.level AND (x - px) * (x - px) + (y - py) * (y - py) <= reach * reach WHERE reach IS NOT NULL""")
 def _nodes(spark, d):
     points, spec = _refine(spark, d)
-    levels = spec.select("level", F.col("x_u").alias("x_lo"), F.col("x_b").alias("x_hi"), "y_lo", "y_hi", F.lit(1.0).alias("area"))
+    levels = spec.select("level", F.col("x_u").alias("x_lo"), F.col("x_b").alias("x_hi"), "y_lo", "y_hi", F.lit(1.0).alias("size"))
     return G.refined_nodes(levels, points, "level", 1.0, 0.25, 0.5)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
@@ -11,6 +14,9 @@ from tessera.operators import split as SP
 from tessera.operators import stats as ST
 from tessera.operators.sequence import index_rows
 from tessera.operators.stats import SMALL_ROWS
+from tessera.runtime import checkpoint_dir, cut_lineage
+from tessera.sources.splits import read_splits, write_splits
+from tessera.sources.trial_reports import append_history
 
 _FOLDER = "'phi_' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS folder"
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -152,11 +158,17 @@ def _dedupe(spark, d):
     return SP.dedupe_first(df, ["l_quantity", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
-# the rows stay the same, only their order changes
-@query("shuffle", f"SELECT {', '.join(_TIE[:-1])} FROM lineitem")
+# with the place of each row in the new order
+@query("shuffle", f"""SELECT {', '.join(_TIE[:-1])}, row_number() OVER (ORDER BY {sql_hash(_KEY, 11)}, {', '.join(_TIE)}) - 1 AS place FROM lineitem""")
 def _shuffle(spark, d):
     df = table(spark, d, "lineitem").select(*_TIE)
-    return SP.shuffle(df, SP.integer_hash(_KEY, 11), _TIE).drop("l_shipdate")
+    shuffled = SP.shuffle(df, SP.integer_hash(_KEY, 11), _TIE)
+    # places as the rows lie: rows of the partitions before, and the row's number in its own
+    rows = cut_lineage(shuffled.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, "part").select(*_TIE[:-1], (F.col("start") + F.col("at")).alias("place"))
 
 
 def _split_sql(names: tuple[str, str, str]) -> str:
@@ -229,13 +241,24 @@ def _zip(spark, d):
 SELECT l_suppkey, round(sum(l_quantity * w), 4) AS total FROM lineitem JOIN c ON l_partkey = p_partkey GROUP BY l_suppkey""")
 def _coef(spark, d):
     coefs = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr("p_retailprice / 1000e0").alias("w"))
-    got = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").join(coefs, "l_partkey")
-    return got.groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_quantity") * F.col("w")), 4).alias("total"))
+    got = SP.coef_join(table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity"), coefs, "l_partkey", ["l_suppkey"], "l_quantity", "w", "total")
+    return got.withColumn("total", F.round("total", 4))
 
 
 @query("read_splits", f"""WITH s AS ({_split_sql(("train", "val", "test"))}) SELECT l_orderkey, l_partkey, split FROM s WHERE split = 'val'""")
 def _read_splits(spark, d):
-    """The wanted part and columns of the split table; written tables are covered by the tests."""
+    """The wanted part and columns of a written split table."""
     df = table(spark, d, "lineitem").select(*_TIE)
-    parts = SP.split_exact(df, SP.integer_hash(_KEY, 5), _TIE, 0.8, 0.1)
-    return parts.where("split = 'val'").select("l_orderkey", "l_partkey", "split")
+    path = f"{checkpoint_dir(spark)}/splits-{uuid.uuid4().hex}"
+    write_splits(SP.split_exact(df, SP.integer_hash(_KEY, 5), _TIE, 0.8, 0.1), path)
+    return read_splits(spark, path, ["l_orderkey"], ["l_partkey"], "val")
+
+
+@query("append_history", "SELECT p_partkey, p_size AS generation, p_retailprice AS score FROM part")
+def _append_history(spark, d):
+    """Two runs append to one history."""
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("generation"), F.col("p_retailprice").alias("score"))
+    path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    append_history(rows.where("generation <= 20"), path)
+    append_history(rows.where("generation > 20"), path)
+    return spark.read.parquet(path)

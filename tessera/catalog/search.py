@@ -83,7 +83,7 @@ def _grouped(spark, d):
     li = table(spark, d, "lineitem").select(*names[:4], (F.col("l_quantity") * F.col("l_extendedprice")).alias("value"),
                                             (F.col("l_tax") * F.lit(2.0) + F.col("l_discount") / 8).alias("tax"))
     corr = {(r["var_i"], r["var_j"]): r["r"] for r in correlation_matrix(li, names).collect()}  # columns x columns
-    return group_columns(spark, corr, names, n_trials=4000, theta=0.6)
+    return group_columns(spark, corr, names, theta=0.6)
 
 
 @query("group_columns_best")

@@ -85,12 +85,12 @@ def _concat_sql(kinds: str, bounded: str) -> str:
   CASE WHEN row_idx = 0 OR row_idx = count(*) OVER (PARTITION BY l_suppkey) - 1 THEN 0e0 ELSE l_discount * l_quantity END AS Source,
   ['freeflame', 'burnerflame', 'equilibrium'][CAST(l_suppkey % 3 + 1 AS INTEGER)] AS kind, 'phi_' || CAST(l_suppkey % 7 AS VARCHAR) AS folder,
   lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS file FROM li),
-ch AS (SELECT * FROM pr WHERE kind IN ({kinds}) {bounded}),
+ch AS (SELECT *, dense_rank() OVER (ORDER BY CASE kind WHEN 'freeflame' THEN 1 WHEN 'burnerflame' THEN 2 ELSE 3 END, folder, file) - 1 AS series_no FROM pr WHERE kind IN ({kinds}) {bounded}),
 bu AS (SELECT * FROM ch WHERE l_suppkey IN (SELECT l_suppkey FROM ch GROUP BY l_suppkey HAVING max(Temperature) >= 600)),
 n AS (SELECT *, {nrm('ya')}, {nrm('yb')}, {nrm('yc')} FROM bu WINDOW w AS (PARTITION BY l_suppkey)),
 st AS (SELECT *, coalesce(sqrt({sq}), 0) AS step FROM n WINDOW o AS (PARTITION BY l_suppkey ORDER BY row_idx)),
 cu AS (SELECT *, sum(step) OVER (PARTITION BY l_suppkey ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS c FROM st),
-ar AS (SELECT *, c / (max(c) OVER (PARTITION BY l_suppkey) + 1e-32) AS s0, dense_rank() OVER (ORDER BY CASE kind WHEN 'freeflame' THEN 1 WHEN 'burnerflame' THEN 2 ELSE 3 END, folder, file) - 1 AS series_no FROM cu),
+ar AS (SELECT *, c / (max(c) OVER (PARTITION BY l_suppkey) + 1e-32) AS s0 FROM cu),
 sg AS (SELECT *, lead(s0) OVER o AS s1, {', '.join(f'lead({c}) OVER o AS n1_{c}' for c in ('ya', 'yb', 'yc', 'Temperature', 'Source'))} FROM ar WINDOW o AS (PARTITION BY l_suppkey ORDER BY row_idx)),
 nd AS (SELECT *, {q} AS q FROM sg, range({NODES}) t(i)),
 rs AS (SELECT series_no, CAST(i AS BIGINT) AS node, {interp} FROM nd WHERE q >= s0 AND (s1 IS NULL OR q < s1)),
@@ -128,11 +128,11 @@ def _boundary(spark, d):
 
 @query("optimise_weights")
 def _weights(spark, d):
-    """Weight search over all suppliers: filter, relevant columns, thinning, principal direction."""
-    df, key = line_series(spark, d)
-    df = df.select("l_suppkey", "row_idx", F.expr("l_discount").alias("Distance"), *[
-        F.col(c).alias(f"Y-{c}") for c in ("ya", "yb", "yc", "yd")])
-    got = optimise_weights(df, key, method="principal", tol=1e-3)
+    """Weights over all suppliers of the search kinds: filters, relevant columns, thinning, principal direction."""
+    df, key = _supplier_profiles(spark, d)
+    df = df.select("l_suppkey", "row_idx", "kind", F.expr("cast(substring(folder, 5) as double)").alias("mix_status"),
+                   F.expr("2 * l_tax").alias("Distance"), *[F.col(c).alias(f"Y-{c}") for c in ("ya", "yb", "yc", "yd")])
+    got = optimise_weights(df, key, method="principal", mixture=(1.0, 5.0))
     return spark.createDataFrame([(s, float(w), got.monotonic) for s, w in zip(got.species, got.weights)],
                                  "species string, weight double, monotonic boolean")
 

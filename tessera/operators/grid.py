@@ -135,21 +135,26 @@ def refined_nodes(levels: DataFrame, points: DataFrame, level: str, base: float,
                   radius: float) -> DataFrame:
     """Coarse lattice nodes, plus fine lattice nodes where a refinement point is near.
 
-    ``levels`` has one row per level: the box ``x_lo, x_hi, y_lo, y_hi`` and its ``area``. Spacings
-    are ``base * area`` and ``fine * area``. Fine nodes fill the discs of radius ``radius *
-    sqrt(area)``; between there and 1.5 times the radius the spacing doubles (the ramp). A refinement
-    point names the lattice nodes around it itself, so there is no distance join.
+    ``levels`` has one row per level: the box ``x_lo, x_hi, y_lo, y_hi`` and its ``size``. Spacings
+    are ``base * size`` and ``fine * size``. Fine nodes fill the discs of radius ``radius *
+    sqrt(size)``; between there and 1.5 times the radius the spacing doubles (the ramp). A refinement
+    point names the lattice nodes around it itself, so there is no distance join. Nodes are told
+    apart by whole numbers of fine steps; a base that is no multiple of the fine step has a lattice of its own.
     """
-    box = ["x_lo", "x_hi", "y_lo", "y_hi", "area"]
+    box = ["x_lo", "x_hi", "y_lo", "y_hi", "size"]
+    ratio = round(base / fine)
+    whole = abs(base / fine - ratio) < 1e-9
 
     def lattice(h: Column) -> DataFrame:
         nx = F.floor((F.col("x_hi") - F.col("x_lo")) / h).cast("long")
         ny = F.floor((F.col("y_hi") - F.col("y_lo")) / h).cast("long")
+        times = F.lit(ratio if whole else 1)
         return (levels.select(level, *box).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), nx)))
                 .withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), ny)))
-                .select(level, (F.col("x_lo") + F.col("ix") * h).alias("x"), (F.col("y_lo") + F.col("iy") * h).alias("y")))
+                .select(level, F.lit(whole).alias("in_fine"), (F.col("ix") * times).alias("ix"), (F.col("iy") * times).alias("iy")))
 
-    def around(h: Column, reach: Column) -> DataFrame:
+    def around(times: int, reach: Column) -> DataFrame:
+        h = h_fine * times
         near = points.select(level, F.col("x").alias("px"), F.col("y").alias("py")).distinct().join(
             levels.select(level, *box), level)
         def span(p: str, lo: str, hi: str) -> Column:
@@ -160,12 +165,14 @@ def refined_nodes(levels: DataFrame, points: DataFrame, level: str, base: float,
                 .withColumn("iy", F.explode(span("py", "y_lo", "y_hi"))))
         x, y = F.col("x_lo") + F.col("ix") * h, F.col("y_lo") + F.col("iy") * h
         d2 = (x - F.col("px")) * (x - F.col("px")) + (y - F.col("py")) * (y - F.col("py"))
-        return node.where(d2 <= reach * reach).select(level, x.alias("x"), y.alias("y"))
-
-    h_base, h_fine = F.lit(base) * F.col("area"), F.lit(fine) * F.col("area")
-    r = F.lit(radius) * F.sqrt("area")
-    parts = [lattice(h_base), around(h_fine, r), around(h_fine * 2, r * 1.5)]
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+        return node.where(d2 <= reach * reach).select(level, F.lit(True).alias("in_fine"), (F.col("ix") * times).alias("ix"), (F.col("iy") * times).alias("iy"))
+
+    h_base, h_fine = F.lit(base) * F.col("size"), F.lit(fine) * F.col("size")
+    r = F.lit(radius) * F.sqrt("size")
+    nodes = reduce(lambda a, b: a.unionByName(b), [lattice(h_base), around(1, r), around(2, r * 1.5)]).distinct()
+    h = F.when(F.col("in_fine"), h_fine).otherwise(h_base)
+    return nodes.join(levels.select(level, *box), level).select(
+        level, (F.col("x_lo") + F.col("ix") * h).alias("x"), (F.col("y_lo") + F.col("iy") * h).alias("y"))
 
 
 def lattice_triangles(nodes: DataFrame, level: str, i: str, j: str, node: str) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import cut_lineage
+
 AFFINITY_THRESHOLD = 0.7  # smallest accepted affinity (fixed value)
 TRIALS = 10_000  # number of accepted trials (fixed value)
+MAX_ROUND = 200_000  # trials drawn in one job
+HOPELESS = 1_000_000  # rejected trials after which the search gives up
 
 
 def group_columns(spark: SparkSession, corr: dict[tuple[str, str], float], names: Sequence[str],
@@ -19,8 +24,10 @@ def group_columns(spark: SparkSession, corr: dict[tuple[str, str], float], names
     """Accepted random groupings ``(trial, n_groups, affinity, groups)``.
 
     A trial draws extra leaders and lets the other columns, in random order, join the group with the
-    largest product of |r| to its members; it is accepted when every affinity reaches ``theta``. Each
-    trial draws from its own seed, so the table does not depend on the partitioning.
+    largest product of |r| to its members; it is accepted when every affinity reaches ``theta``. Trials
+    are drawn in numbered rounds until ``n_trials`` are accepted, of which the lowest numbers are kept.
+    Each trial draws from its own seed, so the table does not depend on the partitioning. ``ValueError``
+    if a million trials in a row are all rejected: no grouping then is likely to reach ``theta``.
     """
     names = list(names)
     r = np.array([[abs(corr.get((a, b)) or 0.0) for b in names] for a in names])
@@ -46,8 +53,17 @@ def group_columns(spark: SparkSession, corr: dict[tuple[str, str], float], names
                     out.append((int(trial), len(groups), float(affinity.min()), groups))
             yield pd.DataFrame(out, columns=["trial", "n_groups", "affinity", "groups"])
 
-    return spark.range(n_trials).mapInPandas(
-        run, "trial long, n_groups int, affinity double, groups array<array<string>>")
+    schema = "trial long, n_groups int, affinity double, groups array<array<string>>"
+    rounds, drawn, size, missing = [], 0, n_trials, n_trials
+    while missing > 0:
+        got = cut_lineage(spark.range(drawn, drawn + size).mapInPandas(run, schema))
+        accepted = got.count()
+        if accepted == 0 and drawn + size >= HOPELESS and missing == n_trials:
+            raise ValueError(f"none of {drawn + size} trials reaches an affinity of {theta}")
+        rounds.append(got)
+        drawn, missing = drawn + size, missing - accepted
+        size = int(min(MAX_ROUND, max(n_trials, 1.2 * missing * size / max(accepted, 1))))
+    return reduce(DataFrame.unionByName, rounds).orderBy("trial").limit(n_trials)
 
 
 def best_groups(trials: DataFrame, families: dict[str, Sequence[str]]) -> DataFrame:

@@ -19,7 +19,8 @@ def candidate_scores(increments: DataFrame, cols: Sequence[str], y: str,
                      candidates: Sequence[Sequence[float]], bound_gene: bool = False) -> DataFrame:
     """One row per candidate: ``candidate, penalty, worst, violation, lowest``.
 
-    With unit-length weights w and t the weighted increment of a row, the slope is y/t. ``worst`` is
+    With unit-length weights w and t the weighted increment of a row, the slope is y/t; rows with t = 0
+    have none and count only for ``lowest``. ``worst`` is
     the largest |slope|, ``violation`` the sum of squared slopes over rows of negative t, ``penalty``
     their sum, and ``lowest`` the smallest t (positive for a monotonic choice). With ``bound_gene``
     the first entry x0 of a candidate is a lower bound and the penalty is 1/x0 plus the squared sum
@@ -46,9 +47,7 @@ def candidate_scores(increments: DataFrame, cols: Sequence[str], y: str,
                     a = t - ys[:, None] * gene[None, :]
                     short += np.where(a < 0, -a, 0.0).sum(axis=0)
                 else:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        f = ys[:, None] / t
-                    f = np.where(np.isnan(f), 0.0, f)
+                    f = np.divide(ys[:, None], t, out=np.zeros_like(t), where=t != 0)
                     worst = np.maximum(worst, np.abs(f).max(axis=0))
                     bad += np.where(t < 0, f * f, 0.0).sum(axis=0)
         if seen:
@@ -110,14 +109,17 @@ def evolve_weights(increments: DataFrame, cols: Sequence[str], y: str, bounds: S
                    on_round: RoundHook | None = None) -> tuple[np.ndarray, float]:
     """Differential evolution (best/1 with exponential crossover) of a weight vector.
 
+    ``popsize`` is the number of candidates per gene (20 per gene and number of genes by default), so a
+    generation has popsize * genes candidates; by default there are up to 5 * popsize generations.
     The driver holds the population; each generation is one Spark job over the increments, which
     the caller should have persisted or written.
     """
     rng = np.random.default_rng(seed)
     lo, hi = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
     n = len(bounds)
-    popsize = popsize or 20 * n
-    generations = generations or 5 * popsize
+    per_gene = popsize or 20 * n
+    popsize = per_gene * n
+    generations = generations or 5 * per_gene
     pop = lo + rng.random((popsize, n)) * (hi - lo)
     score = _penalties(increments, cols, y, pop, bound_gene)
     for g in range(generations):

@@ -105,3 +105,12 @@ def union_kinds(parts: dict[str, DataFrame], kind: str = "kind") -> DataFrame:
 
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct().orderBy(col)
+
+
+def coef_join(rows: DataFrame, coefs: DataFrame, on: str, by: Sequence[str], value: str, coef: str, out: str) -> DataFrame:
+    """Weighted sum per group of long rows: each row takes the coefficient of its name; rows without one don't count.
+
+    Spark broadcasts the coefficients if they are small; otherwise both sides are shuffled by name and partial
+    sums combine on the map side.
+    """
+    return rows.join(coefs, on).groupBy(*by).agg(F.sum(F.col(value) * F.col(coef)).alias(out))

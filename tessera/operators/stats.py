@@ -19,12 +19,13 @@ def column_ranges(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     small_rows: int = SMALL_ROWS) -> dict[str, list[float]]:
-    """Exact linear-interpolation quantiles of several columns.
+    """Exact linear-interpolation quantiles of several columns, over values that are neither NULL nor NaN.
 
     ``percentile`` keeps every distinct value in one reducer, so it is used only for tables of at
     most ``small_rows`` rows. Larger columns are narrowed by histogram passes until the bins that
     hold the wanted ranks are small (or hold a single value) and only those bins are looked at.
     """
+    df = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in cols])
     rows = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     out: dict[str, list[float]] = {}
     for c in cols:
@@ -86,17 +87,18 @@ def scaler_table(spark, params: dict[str, tuple[float, float]]) -> DataFrame:
 def moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and the n x n population covariance, from two passes over the table.
 
-    The second pass sums products of centred columns, which keeps the precision that raw sums of
+    Only rows in which every column has a value count. The second pass sums products of centred columns, which keeps the precision that raw sums of
     squares lose. Only the n x n matrix reaches the driver.
     """
+    df = df.select(*cols).dropna()
     first = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
-    n, mean = first[0], [float(m) for m in first[1:]]
+    n, mean = first[0], [float("nan") if m is None else float(m) for m in first[1:]]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     centred = df.select(*[(F.col(c) - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(cols, mean))])
     sums = centred.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
     cov = np.zeros((len(cols), len(cols)))
     for (i, j), v in zip(pairs, sums):
-        cov[i, j] = cov[j, i] = v / n
+        cov[i, j] = cov[j, i] = v / n if n else float("nan")
     return n, np.array(mean), cov
 
 

@@ -150,7 +150,8 @@ def mlp_fit(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], hidden
 
     Each epoch is one Spark job: a task adds up the gradient of its rows, the partial gradients are
     summed by parameter on the cluster, and the driver holds the parameters only. Persist or write
-    the input before calling. The learning rate is 10^alpha * decay^(step/steps).
+    the input before calling. The learning rate is 10^alpha * decay^(step/steps), where an epoch counts as
+    the n / 2^batch_expo steps that mini-batches of that size would make.
     """
     rng = np.random.default_rng(seed)
     sizes = [len(inputs), *hidden, len(outputs)]
@@ -175,7 +176,7 @@ def mlp_fit(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], hidden
         b1, b2, eps = ADAM
         m = grad * (1 - b1) if m is None else b1 * m + (1 - b1) * grad
         v = grad ** 2 * (1 - b2) if v is None else b2 * v + (1 - b2) * grad ** 2
-        rate = 10 ** alpha_expo * lr_decay ** (epoch / steps)
+        rate = 10 ** alpha_expo * lr_decay ** (epoch * n / 2 ** batch_expo / steps)
         step = rate * (m / (1 - b1 ** (epoch + 1))) / (np.sqrt(v / (1 - b2 ** (epoch + 1))) + eps)
         at = 0
         for p in [*net.weights, *net.biases]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scaling import scale
@@ -47,7 +47,7 @@ def level_grids(levels: DataFrame, n: int) -> DataFrame:
 def lookup_levels(index: PointIndex, p: float, levels: DataFrame, target: str, values: Sequence[str], n: int,
                   base: float, fine: float, radius: float, edge_nodes: int = 20,
                   threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """Refined nodes of every level with interpolated data, and the hull of every level.
+    """Refined nodes of every level (hull vertices among them) with interpolated data, and the hull of every level.
 
     All levels are one table: probe grid, hull, curvature, refinement and the final interpolation are
     each one job over all of them.
@@ -61,7 +61,11 @@ def lookup_levels(index: PointIndex, p: float, levels: DataFrame, target: str, v
     points = refinement_points(probe, "level", "i", "j", target, "k0", "k1", edges, threshold)
     box = hull.groupBy("level").agg(F.min("x").alias("x_lo"), F.max("x").alias("x_hi"),
                                     F.min("y").alias("y_lo"), F.max("y").alias("y_hi"))
-    box = box.withColumn("area", (F.col("x_hi") - F.col("x_lo")) * (F.col("y_hi") - F.col("y_lo")))
-    nodes = inside_hull(refined_nodes(box, points, "level", base, fine, radius), hull, "level")
+    # spacings go by the length of the hull's outline
+    w, ring = Window.partitionBy("level").orderBy("seq"), Window.partitionBy("level")
+    ahead = [F.coalesce(F.lead(c).over(w), F.min_by(c, "seq").over(ring)) - F.col(c) for c in ("x", "y")]
+    outline = hull.select("level", F.hypot(*ahead).alias("side")).groupBy("level").agg(F.sum("side").alias("size"))
+    nodes = inside_hull(refined_nodes(box.join(outline, "level"), points, "level", base, fine, radius), hull, "level")
+    nodes = nodes.unionByName(hull.select("level", "x", "y")).distinct()
     keyed = nodes.join(levels.select("level", F.col("z").alias("k2")), "level").withColumnsRenamed({"x": "k0", "y": "k1"})
     return idw_join(keyed, index, list(index.keys), list(values), k=index.k, p=p), hull

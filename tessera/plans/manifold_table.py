@@ -50,9 +50,17 @@ def concatenate(profiles: DataFrame, key: SeriesKey, spec: TableSpec) -> DataFra
     df = profiles.where(F.col("kind").isin(list(spec.kinds)))
     # folders are strided within their kind; counter-flow files have no mixture folder
     foldered = df.where(F.col("kind") != "counterflame")
-    chosen = partition_filter(foldered, "folder", spec.header, spec.lo, spec.hi, spec.stride, spec.ignore_bounds, ["kind"])
+    bounds = (spec.header, spec.lo, spec.hi, spec.stride)
+    if spec.ignore_bounds and "fuzzy" in spec.kinds:  # that kind always keeps its bounds
+        free = partition_filter(foldered.where("kind <> 'fuzzy'"), "folder", *bounds, True, ["kind"])
+        chosen = free.unionByName(partition_filter(foldered.where("kind = 'fuzzy'"), "folder", *bounds, False, ["kind"]))
+    else:
+        chosen = partition_filter(foldered, "folder", *bounds, spec.ignore_bounds, ["kind"])
     if "counterflame" in spec.kinds:
         chosen = chosen.unionByName(df.where(F.col("kind") == "counterflame"))
+    # nodes and numbers are counted over all selected files, kept or not
+    nodes = spec.nodes or nodes_per_series(chosen, [key.series]).first()[0]
+    numbers = series_number(chosen, "kind", "folder", "file", spec.kinds)
     # whole-series predicates come first: they read one column and commute with the curve operators
     df = having_max(chosen, key.series, spec.guide, BURNING_TEMPERATURE)
     df = spec.derive(df)
@@ -61,7 +69,6 @@ def concatenate(profiles: DataFrame, key: SeriesKey, spec: TableSpec) -> DataFra
               else zero_edges(df, key, spec.sources))
     df = arc_length(df, key, spec.controls)
     df = cut_lineage(drop_degenerate(df, "s_total", F.col("kind") == "equilibrium"))
-    nodes = spec.nodes or nodes_per_series(df, [key.series]).first()[0]
     cols = list(dict.fromkeys([*spec.controls, *spec.values, *spec.sources]))
     carry = ["kind", "folder", "file"]
     equilibrium, fuzzy = F.col("kind") == "equilibrium", F.col("kind") == "fuzzy"
@@ -80,7 +87,6 @@ def concatenate(profiles: DataFrame, key: SeriesKey, spec: TableSpec) -> DataFra
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    numbers = series_number(df, "kind", "folder", "file", spec.kinds)
     out = out.join(numbers, carry)
     out = cut_lineage(dedupe_first(out, spec.controls, ["series_no", "node"]))
     hashed = integer_hash(["series_no", "node"], seed=7)

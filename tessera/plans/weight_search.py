@@ -17,6 +17,7 @@ from tessera.operators.sequence import (SeriesKey, delta, having_last, max_step,
 from tessera.operators.stats import principal_direction
 from tessera.runtime import cut_lineage
 
+SEARCH_KINDS = ("freeflame", "burnerflame")  # profiles that the search looks at (fixed values)
 LAST_DISTANCE = 0.15  # wider domains are left out (fixed value)
 TEMPERATURE_PATTERN = r"_Tu([0-9.]+?)(?:\\.csv)?$"
 
@@ -50,13 +51,17 @@ def increments(profiles: DataFrame, key: SeriesKey, species: Sequence[str], extr
 def optimise_weights(profiles: DataFrame, key: SeriesKey, reactants: Sequence[str] = (), product: str | None = None,
                      extra: Sequence[str] = (), temperature: tuple[float, float] | None = None, tol: float = 1e-4,
                      popsize: int | None = None, generations: int | None = None, seed: int = 1,
-                     method: str = "penalty", states: DataFrame | None = None) -> WeightResult:
+                     method: str = "penalty", states: DataFrame | None = None,
+                     mixture: tuple[float, float] | None = None, kinds: Sequence[str] = SEARCH_KINDS) -> WeightResult:
     """Filter profiles, pick the relevant species, search and refine the weights.
 
     ``method``: ``penalty`` (largest slope), ``bound`` (lower-bound gene) or ``principal`` (first
-    principal component). ``states(species, y_unburnt, y_burnt)`` rescales the result.
+    principal component). Only profiles of the given ``kinds`` (freely propagating and burner flames) take
+    part, within the ``mixture`` bounds if there are any. ``states(species, y_unburnt, y_burnt)`` rescales the result.
     """
-    df = profiles
+    df = profiles.where(F.col("kind").isin(list(kinds)))
+    if mixture is not None:
+        df = df.where(F.col("mix_status").between(*mixture))
     if temperature is not None:
         df = parsed_bounds(df, "file", "kind", "freeflame", TEMPERATURE_PATTERN, *temperature)
     df = having_last(df, key, "Distance", LAST_DISTANCE)
