@@ -60,9 +60,10 @@ def variants(rng: random.Random) -> dict[int, str | None]:
     return dict(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize("words,percent,stars", [(3, 85, 6), (5, 80, 0), (1, 50, 6)])
-def test_near_components(spark, words, percent, stars, monkeypatch):
-    monkeypatch.setattr(neardup, "STARS", stars)
+@pytest.mark.parametrize("words,percent,hot,block", [(3, 85, 64, 256), (5, 80, 2, 3), (1, 50, 4, 256)])
+def test_near_components(spark, words, percent, hot, block, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "NODES", block)
     texts = variants(random.Random(words))
     docs = spark.createDataFrame([(d, t, "x") for d, t in texts.items()], "doc_id long, text string, fp string")
     got = {r["doc_id"]: r for r in neardup.near_components(docs, words, percent).collect()}
