@@ -69,8 +69,8 @@ def _evolve(spark, d):
 @query("initial_population")
 def _population(spark, d):
     """One individual per part."""
-    n = table(spark, d, "part").count()
-    return SE.initial_population(spark, n, 1, {"alpha_expo": -2.6, "lr_decay": 0.98}, ((-3.0, -1.0), (0.85, 1.0)), (3, 7), 8, (1, 5), (4, 40))
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return SE.initial_population(ids, 1, {"alpha_expo": -2.6, "lr_decay": 0.98}, ((-3.0, -1.0), (0.85, 1.0)), (3, 7), 8, (1, 5), (4, 40))
 
 
 @query("group_columns")

@@ -103,6 +103,18 @@ def _errors(spark, d):
     return got.select("output", F.round("mse", 1).alias("mse"), F.round("r2", 6).alias("r2"), F.round("pct_50", 5).alias("pct_50"), F.round("pct_90", 5).alias("pct_90"))
 
 
+_REGIONS = {"small": "l_quantity < 10", "large": "l_quantity >= 30"}
+
+
+@query("error_table_by_region", " UNION ALL ".join(f"""(WITH e AS (SELECT l_quantity * 2100e0 AS p, l_extendedprice AS r FROM lineitem WHERE {rows}), m AS (SELECT avg(r) AS m FROM e)
+SELECT '{name}' AS region, 'price' AS output, round(avg((p - r) * (p - r)), 1) AS mse, round(1 - sum((r - p) * (r - p)) / sum((r - m) * (r - m)), 6) AS r2,
+  round(quantile_cont(100 * abs(p - r) / (abs(r) + 1e-6), 0.5), 5) AS pct_50 FROM e, m)""" for name, rows in _REGIONS.items()))
+def _region_errors(spark, d):
+    df = table(spark, d, "lineitem").select("l_quantity", F.expr("l_quantity * 2100e0").alias("p"), F.col("l_extendedprice").alias("r"))
+    got = SU.error_table_by_region(df, {"price": ("p", "r")}, {n: F.expr(c) for n, c in _REGIONS.items()}, (0.5,))
+    return got.select("region", "output", F.round("mse", 1).alias("mse"), F.round("r2", 6).alias("r2"), F.round("pct_50", 5).alias("pct_50"))
+
+
 _STATE_OUT = ["s", "dsdrho_e", "dsde_rho", "d2sdrho2", "d2sdedrho", "d2sde2"]
 
 

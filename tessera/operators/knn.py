@@ -185,26 +185,31 @@ def idw_join(queries: DataFrame, refs: DataFrame | PointIndex, keys: Sequence[st
     return queries.join(got, list(keys))
 
 
-def idw_tune(test: DataFrame, train: DataFrame, keys: Sequence[str], target: str, ref_id: str,
+def idw_tune(test: DataFrame, train: DataFrame, keys: Sequence[str], target: str | Sequence[str], ref_id: str,
              k_max: int, powers: Sequence[int]) -> DataFrame:
     """Mean squared error for every neighbour count up to ``k_max`` and every distance power.
 
-    One join at ``k_max`` serves all combinations: sums over the first k ranks are prefix sums.
+    One join at ``k_max`` serves all combinations: sums over the first k ranks are prefix sums. Of several
+    target columns (scaled alike by the caller) the errors are averaged.
     """
-    index = build_index(train.select(ref_id, *keys, F.col(target).alias("_v")), keys, ref_id, k_max)
-    near = knn_join(test, index, "_ref", ["_v"])
+    targets = [target] if isinstance(target, str) else list(target)
+    vs = [f"_v{i}" for i in range(len(targets))]
+    index = build_index(train.select(ref_id, *keys, *[F.col(t).alias(v) for t, v in zip(targets, vs)]), keys, ref_id, k_max)
+    near = knn_join(test, index, "_ref", vs)
     near = near.withColumn("p", F.explode(F.array(*[F.lit(int(p)) for p in powers])))
     near = near.withColumn("_w", F.when(F.col("distance") > 0, F.lit(1.0) / F.pow(F.col("distance"), F.col("p"))))
     prefix = Window.partitionBy(*keys, "p").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     first_d = F.first("distance").over(prefix)
-    first_v = F.first("_v").over(prefix)
-    blend = F.try_divide(F.sum(F.col("_w") * F.col("_v")).over(prefix), F.sum("_w").over(prefix))
-    pred = F.when((first_d < EXACT_HIT) | (F.col("rank") == 1), first_v).otherwise(blend)
-    near = near.select(*keys, F.col("rank").alias("k"), "p", pred.alias("_pred"))
-    # one target column per test row; equal coordinates may carry different targets
-    scored = test.select(*keys, F.col(target).alias("_t")).join(near, list(keys))
-    err = F.col("_pred") - F.col("_t")
-    return scored.groupBy("k", "p").agg(F.avg(err * err).alias("mse"))
+
+    def pred(v: str) -> Column:
+        blend = F.try_divide(F.sum(F.col("_w") * F.col(v)).over(prefix), F.sum("_w").over(prefix))
+        return F.when((first_d < EXACT_HIT) | (F.col("rank") == 1), F.first(v).over(prefix)).otherwise(blend)
+
+    near = near.select(*keys, F.col("rank").alias("k"), "p", *[pred(v).alias(v) for v in vs])
+    # equal coordinates may carry different targets
+    scored = test.select(*keys, *[F.col(t).alias(f"_t{i}") for i, t in enumerate(targets)]).join(near, list(keys))
+    errors = [F.avg((F.col(v) - F.col(f"_t{i}")) * (F.col(v) - F.col(f"_t{i}"))) for i, v in enumerate(vs)]
+    return scored.groupBy("k", "p").agg((reduce(lambda a, b: a + b, errors) / len(errors)).alias("mse"))
 
 
 def best_parameters(tuned: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -167,12 +167,13 @@ def refine_weights(increments: DataFrame, cols: Sequence[str], y: str, start: Se
     return x, best
 
 
-def initial_population(spark: SparkSession, n: int, seed: int, defaults: dict[str, float],
+def initial_population(individuals: DataFrame, seed: int, defaults: dict[str, float],
                        learning_rate: tuple[tuple[float, float], tuple[float, float]],
                        batch: tuple[int, int], activations: int, layers: tuple[int, int],
                        widths: tuple[int, int]) -> DataFrame:
-    """``(individual, genes)``: learning-rate genes near their defaults, uniform batch and activation
-    genes, and unimodal layer widths with inactive pairs at the end."""
+    """``(individual, genes)`` for every row of ``individuals (id)``: learning-rate genes near their defaults,
+    uniform batch and activation genes, and unimodal layer widths with inactive pairs at the end. An
+    individual's genes depend on its id and the seed only."""
     lmin, lmax = layers
 
     def u(*salt: object):
@@ -189,7 +190,7 @@ def initial_population(spark: SparkSession, n: int, seed: int, defaults: dict[st
     drawn = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.lit(widths[0]) + F.floor(
         F.pmod(F.xxhash64(F.col("id"), F.lit(seed), i), F.lit(1 << 30)) / F.lit(float(1 << 30))
         * F.lit(widths[1] - widths[0])).cast("int"))
-    df = (spark.range(n).withColumn("_n", whole(lmin, lmax, "layers")).withColumn("_w", drawn)
+    df = (individuals.select("id").withColumn("_n", whole(lmin, lmax, "layers")).withColumn("_w", drawn)
           .withColumn("_peak", F.floor(u("peak") * F.greatest(F.col("_n") - 1, F.lit(1))).cast("int")))
     rising = F.sort_array(F.slice("_w", F.lit(1), F.col("_peak")), True)
     falling = F.sort_array(F.slice("_w", F.col("_peak") + 1, F.col("_n") - F.col("_peak")), False)

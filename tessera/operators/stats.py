@@ -43,7 +43,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 pos = p * (n - 1)
                 k = int(pos)
                 a, b = at[k], at[min(k + 1, n - 1)]
-                out[c].append(a + (b - a) * (pos - k))
+                out[c].append(a if a == b else (k + 1 - pos) * a + (pos - k) * b)  # as percentile does
     return out
 
 

@@ -236,6 +236,13 @@ def error_table(df: DataFrame, pairs: dict[str, tuple[str, str]], probs: Sequenc
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def error_table_by_region(df: DataFrame, pairs: dict[str, tuple[str, str]], regions: dict[str, Column],
+                          probs: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """The error table of each named region, a condition on the rows; regions may overlap."""
+    parts = [error_table(df.where(rows), pairs, probs).select(F.lit(name).alias("region"), "*") for name, rows in regions.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def score_state(df: DataFrame, net: Network) -> DataFrame:
     """Network for the entropy derivatives, inverse target transform, then the state equations."""
     scored = mlp_score(df, net, prefix="")

@@ -147,7 +147,7 @@ def test_group_columns(spark):
 
 
 def test_initial_population(spark):
-    got = initial_population(spark, 200, 1, {"alpha_expo": -2.0, "lr_decay": 0.9}, ((-3.0, -1.0), (0.8, 1.0)), (3, 6), 8, (2, 5), (4, 30)).collect()
+    got = initial_population(spark.range(200), 1, {"alpha_expo": -2.0, "lr_decay": 0.9}, ((-3.0, -1.0), (0.8, 1.0)), (3, 6), 8, (2, 5), (4, 30)).collect()
     for r in got:
         g = r.genes
         assert len(g) == 4 + 2 + 2 * 3
