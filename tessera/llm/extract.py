@@ -31,7 +31,7 @@ AGAINST = frozenset("ad ads adv advert advertisement advertorial adsense sponsor
                     "notice notification alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer foot "
                     "header masthead topbar comment comments commentlist respond reply replies disqus discussion share sharing social related "
                     "recommended recommendation recommendations newsletter subscribe subscription signup login search widget pagination pager "
-                    "toolbar skip copyright legal disclaimer contentinfo complementary hidden".split())
+                    "toolbar skip copyright legal disclaimer contentinfo complementary hidden dialog alertdialog feedback discuss".split())
 FOR = frozenset("article content post entry story main text body".split())
 WORD_AGAINST, WORD_FOR = -8.0, 1.5
 BIAS, PER_LENGTH, LINKS, SENTENCE = 0.0, 0.5, -5.0, 0.8
@@ -47,6 +47,7 @@ def read_blocks(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
     tag = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
     attribute = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
     word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+    layout = re.compile(r"\b(?:with|has|no|without)[-_]?\w+", re.I)  # "with-sidebar" speaks of a neighbour
     blocks: list[tuple[str, float, tuple[int, ...]]] = []
     stack: list[tuple[str, float, int]] = []  # tag, score so far, number
     parts: list[str] = []
@@ -73,7 +74,7 @@ def read_blocks(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
             elif key == "style":
                 score += WORD_AGAINST if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else 0.0
             elif name not in ("html", "body"):
-                words = {w.lower() for w in word.findall(value)}
+                words = {w.lower() for w in word.findall(layout.sub("", value))}
                 score += WORD_AGAINST if words & AGAINST else WORD_FOR if words & FOR else 0.0
         return score
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.registry import query, table
@@ -27,8 +27,8 @@ def mixing_rates(docs: DataFrame, targets: dict[str, float], total: int | None =
     counts = docs.groupBy(_class(source, targets).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     weights = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))])
     counts = counts.withColumn("w", F.coalesce(weights[F.col("class")], F.lit(0.0)))
-    whole = counts.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
-    rates = counts.crossJoin(F.broadcast(whole))  # one row
+    whole = Window.partitionBy(F.lit(0))  # one row per class
+    rates = counts.withColumns({"w_all": F.sum("w").over(whole), "n_all": F.sum("n").over(whole)})
     budget = F.col("n_all") if total is None else F.lit(total)
     rates = rates.withColumn("rate", F.when(F.col("w_all") > 0, budget * F.col("w") / F.col("w_all") / F.col("n")).otherwise(0.0))
     rates = rates.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int"))
