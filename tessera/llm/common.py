@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import checkpoint_dir, cut_lineage
 
+PART_LINKS = 250_000
+
 
 def per_process(key: str, make):
     """What ``make`` gives, once for each Python worker: models are not loaded anew by every task.
@@ -46,13 +48,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = state
+        before, parts = state, -(-state[0] // PART_LINKS)  # a few links need no more than a few tasks
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut_lineage(least.coalesce(parts))
         large = (both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b")).distinct()
-        large = cut_lineage(large)
-        least = cut_lineage(large.groupBy("b").agg(F.min("a").alias("m")))
+        large = cut_lineage(large.coalesce(parts))
+        least = cut_lineage(large.groupBy("b").agg(F.min("a").alias("m")).coalesce(parts))
         moved = large.join(least, "b").where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
         edges = (moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
                  .unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
-        edges = cut_lineage(edges)
+        edges = cut_lineage(edges.coalesce(parts))
