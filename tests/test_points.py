@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tessera.operators import knn as K
+from tessera.operators.grid import inside_hull
 from tessera.operators.hull import convex_hull
 
 
@@ -72,3 +73,20 @@ def test_convex_hull(spark):
     for a, b in zip(ring, nxt):  # every point lies left of every edge
         p = sets[0]
         assert ((b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) >= -1e-9).all()
+
+
+def test_inside_hull(spark):
+    rng = np.random.default_rng(8)
+    sets = {0: rng.normal(size=(300, 2)), 1: np.array([[0.0, 0.0], [2.0, 0.0], [0.0, 2.0]])}
+    own = pd.concat([pd.DataFrame({"level": k, "x": p[:, 0], "y": p[:, 1]}) for k, p in sets.items()])
+    asked = pd.concat([pd.DataFrame({"level": k, "x": rng.uniform(-4, 4, 400), "y": rng.uniform(-4, 4, 400)}) for k in sets])
+    hull = convex_hull(spark.createDataFrame(own), "level", "x", "y")
+    got = set(map(tuple, inside_hull(spark.createDataFrame(asked), hull, "level").toPandas()[["level", "x", "y"]].to_numpy()))
+    ring = hull.orderBy("level", "seq").toPandas()
+    want = set()
+    for k, x, y in asked.itertuples(index=False):
+        p = ring[ring.level == k][["x", "y"]].to_numpy()
+        q = np.roll(p, -1, axis=0)
+        if ((q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0]) >= -1e-12).all():
+            want.add((k, x, y))
+    assert got == want and 0 < len(want) < len(asked)
