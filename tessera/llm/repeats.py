@@ -35,7 +35,7 @@ BLOCK_LEADERS = 1024  # leaders of a bucket that are sorted together
 CELL = 16  # neighbouring windows that are first compared by what they share
 SLICE_BYTES = 1 << 19
 MARGIN = 1 << 10  # bytes around a piece of a very long text that its leaders may need
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MAX = np.uint32(0xFFFFFFFF)
 
 
 class Grams:
@@ -64,9 +64,10 @@ class Grams:
         return mixed((s[where + GRAM] - s[where]) * self.down[which][where])
 
     def every(self) -> np.ndarray:
+        """The upper halves of the identifiers at all offsets, the largest number where none starts."""
         m = max(self.n - GRAM + 1, 0)
         out = np.full(self.n, _MAX)
-        out[:m] = mixed((self.sums[0][GRAM:] - self.sums[0][:m]) * self.down[0][:m])
+        out[:m] = mixed((self.sums[0][GRAM:] - self.sums[0][:m]) * self.down[0][:m]) >> np.uint64(32)
         return out
 
     def string(self, which: int, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -100,31 +101,48 @@ def _slide(values: np.ndarray, width: int, best, ahead: bool) -> np.ndarray:
 
 
 def leaders(grams: Grams, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one leader, in a buffer of texts that end at ``ends``: leader, first and last window start."""
-    ids = grams.every()
-    width = span - GRAM + 1
+    """Runs of windows with one leader, in a buffer of texts that end at ``ends``: leader, first and last window start.
+
+    The leader of a window is the last place of its smallest q-gram (by the upper half of the identifiers).
+    """
+    ids, width = grams.every(), span - GRAM + 1
     low = _slide(ids, width, np.minimum, True)
-    starts = np.arange(grams.n)
-    text_end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    ok = starts + span <= text_end
-    where = np.flatnonzero(ok)
-    cand = np.flatnonzero(_is_low(ids, low, ok, width))
-    # candidates in a window, from its end: the first that has the smallest id
-    at = np.searchsorted(cand, where + width - 1, side="right") - 1
-    lead = cand[at]
-    wrong = ids[lead] != low[where]
-    while wrong.any():
+    ok = np.ones(grams.n, bool)  # windows that end inside their text
+    for begin, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        ok[max(begin, end - span + 1):end] = False
+    cand = np.flatnonzero(ok_low(ids, low, ok, width))
+    change = np.concatenate([[True], (low[1:] != low[:-1]) | (ok[1:] != ok[:-1])])
+    first = np.flatnonzero(change)
+    last = np.concatenate([first[1:] - 1, [grams.n - 1]])
+    keep = ok[first]
+    first, last = first[keep], last[keep]
+    lead = _last_place(ids, cand, low[first], last + width - 1)
+    split = (lead < last) | (lead > first + width - 1)  # the smallest q-gram occurs more than once: window by window
+    if split.any():
+        n = (last - first + 1)[split]
+        one = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[split], n)
+        own = _last_place(ids, cand, low[one], one + width - 1)
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (one[1:] != one[:-1] + 1)])
+        at = np.flatnonzero(new)
+        first = np.concatenate([first[~split], one[at]])
+        last = np.concatenate([last[~split], one[np.concatenate([at[1:] - 1, [len(one) - 1]])]])
+        lead = np.concatenate([lead[~split], own[at]])
+    return lead, first, last
+
+
+def _last_place(ids: np.ndarray, cand: np.ndarray, value: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The last candidate up to a place that has a value."""
+    at = np.searchsorted(cand, upto, side="right") - 1
+    wrong = np.flatnonzero(ids[cand[at]] != value)
+    while len(wrong):
         at[wrong] -= 1
-        lead[wrong] = cand[at[wrong]]
-        wrong[wrong] = ids[lead[wrong]] != low[where[wrong]]
-    new = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (where[1:] != where[:-1] + 1)])) if len(where) else np.zeros(0, np.int64)
-    last = np.concatenate([new[1:] - 1, [len(where) - 1]]) if len(where) else new
-    return lead[new], where[new], where[last]
+        wrong = wrong[ids[cand[at[wrong]]] != value[wrong]]
+    return cand[at]
 
 
-def _is_low(ids: np.ndarray, low: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
+def ok_low(ids: np.ndarray, low: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     """Whether an id is the smallest of some window that counts."""
-    return (ids != _MAX) & (_slide(np.where(ok, low, np.uint64(0)), width, np.maximum, False) == ids)
+    return (ids != _MAX) & (_slide(np.where(ok, low, np.uint32(0)), width, np.maximum, False) == ids)
 
 
 def pieces(ids: list, texts: list[bytes], span: int) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray, list]]:
@@ -189,24 +207,21 @@ def find_leaders(docs: DataFrame, span: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, at int, lo int, hi int, core long, run long")
 
 
-def _window_ids(grams: Grams, f, rows: np.ndarray, ends: np.ndarray, span: int, cells: bool) -> tuple:
-    """Of each window (or cell of windows) of the given rows of a frame: row, distance, and two identifiers."""
-    lead = (f["at"] - f["lo"]).to_numpy(np.int64)  # the context starts at the first window
+def _window_ids(grams: Grams, f, ends: np.ndarray, span: int) -> tuple:
+    """Of each window of a frame of leaders with their bytes: row, place in the row, and two identifiers."""
     count = (f["hi"] - f["lo"]).to_numpy(np.int64) + 1
-    begin = np.concatenate([[0], ends[:-1]])
-    if not cells:
-        row = np.repeat(rows, count[rows])
-        start = np.concatenate([np.arange(count[r]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        at, length, far = begin[row] + start, span, lead[row] - start
-    else:  # what all windows of a cell of distances have in common; a cell may be only partly in the run
-        parts = [(r, g) for r in rows for g in range(int(lead[r] - count[r] + 1) // CELL, int(lead[r]) // CELL + 1)]
-        row = np.array([p[0] for p in parts], np.int64)
-        far = np.array([p[1] for p in parts], np.int64)
-        at, length = begin[row] + lead[row] - far * CELL, span - CELL + 1
+    row = np.repeat(np.arange(len(f)), count)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, start, *_identify(grams, f, ends, row, start, span, 0)
+
+
+def _identify(grams: Grams, f, ends: np.ndarray, row: np.ndarray, start: np.ndarray, length: int, step: int) -> tuple:
+    """Two identifiers of strings, of their leader's q-gram and of the distance to it (in cells of ``step`` windows)."""
+    lead = (f["at"] - f["lo"]).to_numpy(np.int64)  # the bytes of a row start at its first window
+    far = (lead[row] - start).astype(np.uint64) + np.uint64(step << 20)
+    at = np.concatenate([[0], ends[:-1]])[row] + start
     core = f["core"].to_numpy()[row].view(np.uint64)
-    a = mixed(grams.string(0, at, length) ^ core)
-    b = mixed(grams.string(1, at, length) ^ far.astype(np.uint64))
-    return row, at - begin[row] if not cells else far, a, b
+    return mixed(grams.string(0, at, length) ^ core), mixed(grams.string(1, at, length) ^ far)
 
 
 def _spans(f, row: np.ndarray, start: np.ndarray, span: int):
@@ -226,7 +241,7 @@ def repeated_ranges(docs: DataFrame, span: int) -> DataFrame:
 
     ``docs`` has the columns ``doc`` and ``text``.
     """
-    found = find_leaders(docs, span)
+    found = stored(find_leaders(docs, span), "found")
     cores = cut_lineage(found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("r0"), F.max("run").alias("r1"))
                         .where("n > 1").select("core", "n", (F.col("r0") == F.col("r1")).alias("even")))
     held = stored(found.join(cores, "core"), "leaders")
@@ -273,7 +288,8 @@ def repeated_ranges(docs: DataFrame, span: int) -> DataFrame:
     def resolve(frames: Iterator) -> Iterator:
         """Repeated windows of each block; of buckets of many blocks also the leaders that other blocks may need.
 
-        Those are leaders with a window that is single in the block, and one for each window that is not.
+        Those are leaders with a window that is single in the block (which asks), and one for each window that
+        is not (which only tells): ``windows`` holds 2 * window + 1 if it asks.
         """
         import pandas as pd
 
@@ -285,19 +301,25 @@ def repeated_ranges(docs: DataFrame, span: int) -> DataFrame:
                 g = f.iloc[lo:hi].reset_index(drop=True)
                 ends = np.cumsum([len(x) for x in g["bytes"]])
                 grams.load(np.frombuffer(b"".join(g["bytes"]), np.uint8))
-                row, start, a, b = _window_ids(grams, g, np.arange(len(g)), ends, span, False)
+                row, start, a, b = _window_ids(grams, g, ends, span)
                 own = mixed(a ^ mixed(g["block"].to_numpy()[row].astype(np.uint64)))  # blocks of a bucket stay apart
                 pair = np.stack([own, b], axis=1).view([("a", np.uint64), ("b", np.uint64)]).ravel()
                 _, one, back, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-                often = count[back] > 1
-                mine = often & ~g["sure"].to_numpy()[row]
-                yield _spans(g, row[mine], start[mine], span).reindex(columns=names)
-                often[one] = False
-                left = np.unique(row[~often & (g["blocks"].to_numpy()[row] > 1)])
-                yield g.iloc[left].reindex(columns=names)
-
-    names = ["doc", "first", "stop", "core", "at", "lo", "hi", "sure", "bytes"]
-    found = contexts.mapInPandas(resolve, "doc long, first long, stop long, core long, at int, lo int, hi int, sure boolean, bytes binary")
+                often, sure = count[back] > 1, g["sure"].to_numpy()[row]
+                mine = often & ~sure
+                yield _spans(g, row[mine], start[mine], span).assign(bytes=None, windows=None).reindex(columns=names)
+                tells = ~often
+                tells[one] = True  # one for each window of the block
+                tells &= g["blocks"].to_numpy()[row] > 1
+                code = (start * 2 + (~often & ~sure))[tells]
+                left, first = np.unique(row[tells], return_index=True)
+                h = g.iloc[left].copy()
+                parts = np.split(code.astype(np.int32), first[1:]) if len(left) else []
+                h["windows"] = pd.Series(parts, index=h.index, dtype=object)
+                yield h.reindex(columns=names)
+
+    names = ["doc", "first", "stop", "core", "at", "lo", "hi", "bytes", "windows"]
+    found = contexts.mapInPandas(resolve, "doc long, first long, stop long, core long, at int, lo int, hi int, bytes binary, windows array<int>")
     found = stored(found, "windows")
     out = out.unionByName(found.where("first IS NOT NULL").select("doc", "first", "stop"))
     return out.unionByName(_across_blocks(found.where("first IS NULL").drop("first", "stop"), span))
@@ -314,24 +336,32 @@ def _across_blocks(left: DataFrame, span: int) -> DataFrame:
                 g = f.iloc[lo:lo + BLOCK_LEADERS].reset_index(drop=True)
                 ends = np.cumsum([len(x) for x in g["bytes"]])
                 grams.load(np.frombuffer(b"".join(g["bytes"]), np.uint8))
-                row, place, a, b = _window_ids(grams, g, np.arange(len(g)), ends, span, cells)
-                if not cells:  # only windows of the cells that are asked for
-                    far = (g["at"] - g["lo"]).to_numpy(np.int64)[row] - place
-                    asked = [set(x) for x in g["cells"]]
-                    keep = np.fromiter((x // CELL in asked[r] for r, x in zip(row.tolist(), far.tolist())), bool, len(row))
-                    row, place, a, b = row[keep], place[keep], a[keep], b[keep]
-                yield pd.DataFrame({"doc": g["doc"].to_numpy()[row], "at": g["at"].to_numpy()[row], "place": place.astype(np.int32),
-                                    "first": g["lo"].to_numpy(np.int64)[row] + (0 if cells else place),
-                                    "sure": g["sure"].to_numpy()[row], "a": a.view(np.int64), "b": b.view(np.int64)})
-
-    kinds = "doc long, at int, place int, first long, sure boolean, a long, b long"
+                row = np.repeat(np.arange(len(g)), [len(x) for x in g["windows"]])
+                code = np.concatenate([np.zeros(0, np.int64), *g["windows"]]).astype(np.int64)
+                start, asks = code >> 1, code & 1
+                lead = (g["at"] - g["lo"]).to_numpy(np.int64)
+                cell = (lead[row] - start) // CELL
+                if cells:  # what all windows of a cell of distances have in common
+                    row, cell = np.unique(np.stack([row, cell]), axis=1)
+                    start, asks = lead[row] - cell * CELL, np.zeros(len(row), np.int64)
+                    a, b = _identify(grams, g, ends, row, start, span - CELL + 1, CELL)
+                else:  # only windows of the cells that are asked for
+                    asked = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x) + i * (span + 1) for i, x in enumerate(g["cells"])]])
+                    keep = np.isin(cell + row * (span + 1), asked)
+                    row, start, asks, cell = row[keep], start[keep], asks[keep], cell[keep]
+                    a, b = _identify(grams, g, ends, row, start, span, 0)
+                yield pd.DataFrame({"doc": g["doc"].to_numpy()[row], "at": g["at"].to_numpy()[row], "cell": cell.astype(np.int32),
+                                    "first": g["lo"].to_numpy(np.int64)[row] + start, "asks": asks > 0,
+                                    "a": a.view(np.int64), "b": b.view(np.int64)})
+
+    kinds = "doc long, at int, cell int, first long, asks boolean, a long, b long"
     cells = left.mapInPandas(lambda fs: explode(fs, True), kinds)
     often = cut_lineage(cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b"))
-    some = cells.join(often, ["a", "b"], "left_semi").groupBy("doc", "at").agg(F.collect_set("place").alias("cells"))  # at most span / CELL
+    some = cells.join(often, ["a", "b"], "left_semi").groupBy("doc", "at").agg(F.collect_set("cell").alias("cells"))  # at most span / CELL
     asked = left.join(some, ["doc", "at"])
     windows = asked.mapInPandas(lambda fs: explode(fs, False), kinds)
     often = cut_lineage(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b"))
-    hit = windows.where("NOT sure").join(often, ["a", "b"], "left_semi")
+    hit = windows.where("asks").join(often, ["a", "b"], "left_semi")
     return hit.select("doc", "first", (F.col("first") + span).alias("stop"))
 
 
