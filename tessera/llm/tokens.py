@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import per_process
 from tessera.llm.registry import query, table
 from tessera.runtime import checkpoint_dir
 
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5_000
-CACHE_PIECES = 400_000  # words whose ids a task remembers before it starts anew
-SLICE_BYTES = 8 << 20  # text encoded at once
+CACHE_PIECES = 300_000  # pieces of text whose ids a worker remembers: those that it met first
+SLICE_CHARS = 4 << 20  # text encoded at once
 
 WRITER = {
     "compression": "zstd",
@@ -64,59 +65,65 @@ class WordEncoder:
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-        self.ends[[i for w, i in spec["model"]["vocab"].items() if suffix and w.endswith(suffix)]] = True
+        self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.last[[i for w, i in spec["model"]["vocab"].items() if suffix and w.endswith(suffix)]] = True
         self.by_word = bool(suffix)
         # the characters for which the cuts below are known to be the pre-tokenizer's; \xad and others stay out
         self.odd = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-\xac\xae-ɏ]|<\\|")
         # fixed values: the tokenizer's own pattern in the notation of re
-        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
-        self.known: dict[str, tuple[int, int]] = {}
-        self.flat = np.zeros(0, np.int32)
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+|\n")
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> tuple:
+        """Ids of the pieces one after another, and the end of each."""
         np = self.np
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known, self.flat = {}, np.zeros(0, np.int32)
         lines = [" ".join(pieces[i:i + 400]) for i in range(0, len(pieces), 400)]
         coded = self.tok.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.asarray(e.ids, np.int32) for e in coded])
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(pieces):  # a piece without an end of its own
+        ids = np.concatenate([np.zeros(0, np.int32), *[np.asarray(e.ids, np.int32) for e in coded]])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):  # a piece without an end of its own
             coded = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
             ids = np.concatenate([np.asarray(e.ids, np.int32) for e in coded])
-            stops = np.cumsum([len(e.ids) for e in coded])
-        base = len(self.flat)
-        self.flat = np.concatenate([self.flat, ids])
-        ends = (stops + base).tolist()
-        self.known.update(zip(pieces, zip([base, *ends[:-1]], ends)))
+            ends = np.cumsum([len(e.ids) for e in coded])
+        return ids, ends
 
     def encode(self, texts: list[str]) -> tuple:
         """Ids of all texts one after another, and the number of ids of each."""
         import unicodedata
+        from itertools import chain
 
         np = self.np
         whole = [i for i, t in enumerate(texts) if not self.by_word or self.odd.search(t)]
         other = dict(zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))
-        split = [[] if i in other else t.split() for i, t in enumerate(texts)]
-        chunk: dict[str, int] = {}
-        number = chunk.setdefault
-        order = np.fromiter((number(w, len(chunk)) for ws in split for w in ws), np.int64, sum(map(len, split)))
-        cuts = [self.cut.findall(unicodedata.normalize("NFC", w).lower()) for w in chunk]
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.flat = {}, np.zeros(0, np.int32)
-        every = dict.fromkeys(p for c in cuts for p in c)
-        new = [p for p in every if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known, self.flat, new = {}, np.zeros(0, np.int32), list(every)
-            self._learn(new)
-        spans = np.array([self.known[p] for c in cuts for p in c], np.int64).reshape(-1, 2)
+        split = [[] if i in other else unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts)]
+        words = list(chain.from_iterable(split))
+        chunk = dict.fromkeys(words)
+        chunk.update(zip(chunk, range(len(chunk))))
+        order = np.fromiter(map(chunk.__getitem__, words), np.int64, len(words))
+        # the pieces of all distinct words in one go; a line end closes each word
+        pieces = self.cut.findall("\n".join([*chunk, ""]))
+        every = dict.fromkeys(pieces)
+        every.pop("\n", None)
+        known = self.known
+        new = [p for p in every if p not in known]
+        ids, ends = self.learn(new)
+        flat, ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, ends + len(self.flat)])
+        own = dict(zip(new, range(len(known), len(known) + len(new))))
+        if len(known) + len(new) <= CACHE_PIECES:
+            known.update(own)
+            self.flat, self.ends, own = flat, ends, known
+        every = {p: known[p] if p in known else own[p] for p in every}
+        every["\n"] = -1
+        number = np.fromiter(map(every.__getitem__, pieces), np.int64, len(pieces))
+        close = np.flatnonzero(number < 0)
+        number = number[number >= 0]
+        begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        spans = np.stack([begin[number], ends[number]], axis=1) if len(number) else np.zeros((0, 2), np.int64)
         # ids of each chunk one after another, then of each text
-        per_chunk = np.zeros(len(cuts) + 1, np.int64)
-        np.cumsum([len(c) for c in cuts], out=per_chunk[1:])
+        per_chunk = np.concatenate([[0], close - np.arange(len(close))])
         piece_len = spans[:, 1] - spans[:, 0]
-        piece_ids = self.flat[_ranges(np, spans[:, 0], piece_len)]
+        piece_ids = flat[_ranges(np, spans[:, 0], piece_len)]
         piece_end = np.concatenate([[0], np.cumsum(piece_len)])
         lo, hi = piece_end[per_chunk[:-1]], piece_end[per_chunk[1:]]
         ids = piece_ids[_ranges(np, lo[order], (hi - lo)[order])]
@@ -175,10 +182,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        part, before, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer_path)
+        part, before = TaskContext.get().partitionId(), 0
+        encoder = per_process(f"tokens {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices([len(t) for t in texts], SLICE_BYTES):
+            for lo, hi in slices([len(t) for t in texts], SLICE_CHARS):
                 ids, counts = encoder.encode(texts[lo:hi])
                 if tail:
                     ids = np.insert(ids, np.cumsum(counts), tail[0])
