@@ -15,7 +15,7 @@ from tessera.llm.tokens import slices
 DIM = 1 << 18  # hash buckets
 TRAIN_ROWS = 8_000  # labelled rows that a model is fitted on, about; chosen by hash from all that may be learned from
 EPOCHS = 2
-SLICE_CHARS = 8 << 20
+SLICE_CHARS = 1 << 20  # text whose n-grams are held at once
 
 # rates of the updates
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
@@ -111,7 +111,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 cells = [np.unique(g, return_counts=True) for g in np.split(grams, first[1:])] if hi > lo else []
                 yield pd.DataFrame({"_o": f["_o"].to_numpy()[lo:hi], "_y": f["_y"].to_numpy()[lo:hi],
                                     "_at": [np.append(a, DIM).astype(np.int32) for a, _ in cells],
-                                    "_x": [np.append(c * o, 1.0) for (_, c), o in zip(cells, one)]})
+                                    "_x": [np.append(c * o, 1.0).astype(np.float32) for (_, c), o in zip(cells, one)]})
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = [r for f in frames for r in zip(f["_at"], f["_x"], f["_y"])]
@@ -123,7 +123,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         yield pd.DataFrame({"at": at.astype(np.int32), "w": w[at]})
 
     sparse = (rows.withColumn("_o", order).select("_o", "_y", "_t")
-              .mapInPandas(hashed, "_o long, _y int, _at array<int>, _x array<double>"))
+              .mapInPandas(hashed, "_o long, _y int, _at array<int>, _x array<float>"))
     found = sparse.repartition(1).sortWithinPartitions("_o").mapInPandas(learn, "at int, w double").collect()  # at most DIM + 1 rows
     out = np.zeros(DIM + 1, np.float64)
     for r in found:

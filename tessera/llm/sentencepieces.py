@@ -25,8 +25,9 @@ from tessera.llm.registry import query, table
 from tessera.llm.tokens import _ranges, slices
 
 MARK = "▁"
-SLICE_CHARS = 4 << 20  # text whose words share a trie
-PAIRS = 400_000  # neighbours that a worker remembers before it starts anew
+SLICE_CHARS = 2 << 20  # text whose words share a trie
+PAIRS = 250_000  # neighbours that a worker remembers before it starts anew
+WORDS = 250_000  # words whose ids a worker remembers: those that it met first
 FIRM = -1e8  # pieces scored below have equal scores and merge from left to right
 
 
@@ -36,6 +37,7 @@ class PieceModel:
     def __init__(self, path: str):
         import re
 
+        import numpy as np
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -56,6 +58,8 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a mark after another character; words can't be cut at marks")
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.trees: dict[str, tuple[bool, list, list]] = {}
         self.allowed: dict[str, bool] = {}
         self.backward: dict = {}  # trie of the pieces from their ends; "" leads to the piece
@@ -171,14 +175,24 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> tuple:
         """Ids of all texts one after another, and the number of ids of each."""
+        from itertools import chain
+
         import numpy as np
 
         cut = self.cut.findall
         split = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = sorted({w for ws in split for w in ws})
-        flat, ends = self.words(distinct)
-        at = {w: k for k, w in enumerate(distinct)}
-        order = np.fromiter((at[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
+        words = list(chain.from_iterable(split))
+        every = dict.fromkeys(words)
+        known = self.known
+        new = sorted(w for w in every if w not in known)
+        ids, ends = self.words(new)
+        flat, ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, ends + len(self.flat)])
+        own = dict(zip(new, range(len(known), len(known) + len(new))))
+        if len(known) + len(new) <= WORDS:
+            known.update(own)
+            self.flat, self.ends, own = flat, ends, known
+        every = {w: known[w] if w in known else own[w] for w in every}
+        order = np.fromiter(map(every.__getitem__, words), np.int64, len(words))
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         lengths = (ends - starts)[order]
         upto = np.concatenate([[0], np.cumsum(lengths)])
@@ -226,7 +240,9 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", out:
         for b in batches:
             for lo in range(0, max(b.num_rows, 1), 256):
                 part = b.slice(lo, 256)
-                texts = [None if i is None else model.decode(i) for i in part.column(at).to_pylist()]
+                lists = part.column(at)
+                ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy()
+                texts = [model.decode(flat[x:y].tolist()) if known else None for x, y, known in zip(ends, ends[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, out])
 
     types = {f.name: f.dataType.simpleString() for f in coded.schema.fields}
@@ -234,13 +250,10 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", out:
 
 
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """Per document: number and CRC-32 of its ids, hash of the text decoded from them, whether it is the input."""
-    from tessera.llm.tokens import with_crc32
-
+    """Per document: number and hash of its ids, hash of the text decoded from them, whether it is the input."""
     both = decode_pieces(encode_pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_path), model_path)
-    both = both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("text_sha256"),
-                       (F.col("decoded") == F.translate("text", MARK, " ")).alias("same"), "ids")
-    return with_crc32(both)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+                       F.sha2("decoded", 256).alias("text_sha256"), (F.col("decoded") == F.translate("text", MARK, " ")).alias("same"))
 
 
 @query("op9_sentencepiece")
