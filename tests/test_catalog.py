@@ -9,9 +9,6 @@ import __spark_entry__ as entry
 from check import TABLES, compare
 from tests.conftest import SF
 
-# several seconds each; the larger of them have brute-force tests of their own
-SLOW = {"inverse_lookup", "idw_lineitem", "idw_dense", "inside_hull", "evolve_weights"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -21,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert len(got) > 0

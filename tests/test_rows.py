@@ -222,3 +222,28 @@ def test_approx_compare_rules(spark):
     assert r.max_delta == pytest.approx(0.5)
     gone = approx_compare(a, b.where("id < 3"), ["id"], 1.0).first()
     assert gone.rows_b == 2 and gone.failed == 2
+
+
+def test_candidate_scores_leave_out_rows_without_increment(spark):
+    df = spark.createDataFrame([(2.0, 0.0, 1.0), (0.0, 1.0, 5.0), (0.0, 0.0, 0.0)], "a double, b double, y double")
+    got = candidate_scores(df, ["a", "b"], "y", [[1.0, 0.0], [-1.0, 0.0]]).orderBy("candidate").collect()
+    assert [(r.worst, r.violation, r.lowest, r.penalty) for r in got] == [(0.5, 0.0, 0.0, 0.5), (0.5, 0.25, -2.0, 0.75)]
+
+
+def test_correlation_counts_complete_rows(spark):
+    rows = [(1.0, 2.0), (2.0, 4.1), (3.0, 5.9), (None, 100.0), (50.0, None)]
+    got = {(r.var_i, r.var_j): r.r for r in ST.correlation_matrix(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
+    assert np.isclose(got["a", "b"], np.corrcoef([1, 2, 3], [2, 4.1, 5.9])[0, 1])
+
+
+def test_quantiles_leave_out_nan(spark):
+    rows = [(float(k),) for k in range(9)] + [(float("nan"),), (None,)]
+    for small in (3, 100):
+        assert ST.exact_quantiles(spark.createDataFrame(rows, "v double"), ["v"], [0.0, 0.5, 1.0], small)["v"] == [0.0, 4.0, 8.0]
+
+
+def test_group_columns_until_enough(spark):
+    names = ["a", "b", "c"]
+    r = {(x, y): 1.0 if x == y else 0.0 for x in names for y in names}
+    got = group_columns(spark, r, names, n_trials=50, theta=0.0).collect()
+    assert [g.trial for g in got] == list(range(50))
