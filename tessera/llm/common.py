@@ -26,6 +26,18 @@ def per_process(key: str, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system; a worker that lives on would keep its peak."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: compressed, read by column, and free of its lineage."""
     spark = df.sparkSession

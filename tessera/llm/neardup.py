@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, stored
+from tessera.llm.common import connected_components, give_back, stored
 from tessera.llm.registry import query, table
 from tessera.runtime import cut_lineage
 
@@ -87,6 +87,7 @@ def sketches(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id",
             offsets = pa.array(np.arange(len(keys) + 1) * 2 * M, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()),
                                               pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "n", "fp", "keys"])
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>")
@@ -105,6 +106,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 both = len(np.intersect1d(first, second, assume_unique=True))
                 keep.append(100 * both >= percent * (len(first) + len(second) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     second = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = second.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
 from tessera.llm.registry import query, table
 from tessera.llm.tokens import slices
 
@@ -112,6 +113,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 yield pd.DataFrame({"_o": f["_o"].to_numpy()[lo:hi], "_y": f["_y"].to_numpy()[lo:hi],
                                     "_at": [np.append(a, DIM).astype(np.int32) for a, _ in cells],
                                     "_x": [np.append(c * o, 1.0).astype(np.float32) for (_, c), o in zip(cells, one)]})
+            give_back()
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = [r for f in frames for r in zip(f["_at"], f["_x"], f["_y"])]
@@ -121,6 +123,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         w = weights(z, n)
         at = np.flatnonzero(w)
         yield pd.DataFrame({"at": at.astype(np.int32), "w": w[at]})
+        del sample
+        give_back()
 
     sparse = (rows.withColumn("_o", order).select("_o", "_y", "_t")
               .mapInPandas(hashed, "_o long, _y int, _at array<int>, _x array<float>"))
@@ -149,6 +153,8 @@ def score_quality(docs: DataFrame, model: np.ndarray, text_col: str = "text", ou
                 logit = _sums(w[grams], first) * one + w[DIM]
                 parts.append(1.0 / (1.0 + np.exp(-np.clip(logit, -35, 35))))
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            del rows, s
+            give_back()
 
     udf = F.pandas_udf(score, "double")
     return docs.withColumn(out, udf(F.col(text_col)))

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_process
+from tessera.llm.common import give_back, per_process
 from tessera.llm.registry import query, table
 from tessera.llm.tokens import _ranges, slices
 
 MARK = "▁"
-SLICE_CHARS = 2 << 20  # text whose words share a trie
-PAIRS = 250_000  # neighbours that a worker remembers before it starts anew
-WORDS = 250_000  # words whose ids a worker remembers: those that it met first
+SLICE_CHARS = 1 << 20  # text whose words share a trie
+PAIRS = 100_000  # neighbours that a worker remembers before it starts anew
+WORDS = 60_000  # words whose ids a worker remembers: those that it met first
 FIRM = -1e8  # pieces scored below have equal scores and merge from left to right
 
 
@@ -225,6 +225,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))],
                                                  [*names, out])
+            give_back()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in names], f"`{out}` array<int>"]))
@@ -244,6 +245,7 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", out:
                 ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy()
                 texts = [model.decode(flat[x:y].tolist()) if known else None for x, y, known in zip(ends, ends[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, out])
+            give_back()
 
     types = {f.name: f.dataType.simpleString() for f in coded.schema.fields}
     return coded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in names], f"`{out}` string"]))

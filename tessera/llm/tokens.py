@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_process
+from tessera.llm.common import give_back, per_process
 from tessera.llm.registry import query, table
 from tessera.runtime import checkpoint_dir
 
@@ -198,6 +198,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))],
                     ["doc_id", "n_tokens", "part", "before", "ids"])
                 before += int(ends[-1])
+            give_back()
 
     kind = dict(rows.dtypes)["doc_id"]
     coded = rows.mapInArrow(encode, f"doc_id {kind}, n_tokens int, part int, before long, ids array<int>")
