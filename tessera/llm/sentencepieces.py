@@ -26,8 +26,8 @@ from tessera.llm.tokens import _ranges, slices
 
 MARK = "▁"
 SLICE_CHARS = 1 << 20  # text whose words share a trie
-PAIRS = 100_000  # neighbours that a worker remembers before it starts anew
-WORDS = 60_000  # words whose ids a worker remembers: those that it met first
+PAIRS = 150_000  # neighbours that a worker remembers before it starts anew
+WORDS = 100_000  # words whose ids a worker remembers: those that it met first
 FIRM = -1e8  # pieces scored below have equal scores and merge from left to right
 
 
