@@ -13,7 +13,7 @@ ROUNDS = 10
 
 # fixed values: what each format looks like
 CARD = r"\d(?:[ -]?\d){12,18}"
-PHONE = r"\+1 ?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}"
+PHONE = r"(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}"
@@ -80,12 +80,9 @@ def _card(found: Column, key: str) -> Column:
 
 
 def _phone(found: Column, key: str) -> Column:
-    d = F.substring(F.regexp_replace(found, "[^0-9]", ""), 2, 10)
-    code = F.substring(d, 1, 3).cast("long") - 200, F.substring(d, 4, 3).cast("long") - 200
-    new = permute((code[0] * 800 + code[1]) * 10000 + F.substring(d, 7, 4).cast("long"), 640000, 10000, key, "phone")
-    top = F.call_function("div", new, F.lit(10000).cast("long"))
-    parts = [(F.call_function("div", top, F.lit(800).cast("long")) + 200).cast("string"), (top % 800 + 200).cast("string"), _digits(new % 10000, 4)]
-    return _refill(found, F.concat(F.lit("1"), *parts))
+    d = F.regexp_replace(found, "[^0-9]", "")
+    new = _digits(permute(F.substring(d, -10, 10).cast("long"), 100000, 100000, key, "phone"), 10)
+    return _refill(found, F.concat(F.when(found.startswith("+"), "1").otherwise(""), new))
 
 
 def _ssn(found: Column, key: str) -> Column:
@@ -131,7 +128,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count: str =
     """Replace card, phone, social-security and IPv4 numbers and dates by keyed pseudonyms of the same format.
 
     * cards: 13 to 19 digits with a right check digit; all but the last are permuted, the check digit is set anew
-    * phones: North American numbers; area and exchange stay in 200-999
+    * phones: ten digits, any area and exchange, with or without +1; all ten are permuted
     * social-security numbers: valid areas, groups and serials only
     * IPv4 addresses without leading zeros
     * dates (2024-05-31, 31.05.2024) that exist, from 1800 to 2199, under one permutation for both forms

@@ -109,6 +109,18 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(docs, "k2").where("doc_id = 2").first()["text"] != rows[2]["text"]
 
 
+def test_pseudonyms_of_phones(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (543) 055-1352", "+1-543-555-9258", "+1.543.555.9258", "543-555-9258", "(543) 555-9258",
+              "543.555.9258", "+15435559258"]
+    docs = spark.createDataFrame([(1, "; ".join(phones))], "doc_id long, text string")
+    row = pseudonyms.pseudonymise(docs, "k1").first()
+    new = row["text"].split("; ")
+    assert row["n_replaced"] == len(phones) and not set(new) & set(phones)
+    assert [re.sub(r"\d", "9", x.replace("+1", "")) for x in new] == [re.sub(r"\d", "9", x.replace("+1", "")) for x in phones]
+    assert all(x.startswith("+1") == y.startswith("+1") for x, y in zip(new, phones))
+    assert len({re.sub(r"\D", "", x)[-10:] for x in new[3:]}) == 1 and len({re.sub(r"\D", "", x)[-10:] for x in new[:4]}) == 4
+
+
 def test_permutation_is_one_to_one(spark):
     got = spark.range(21 * 13).select(pseudonyms.permute(F.col("id"), 21, 13, "k", "t").alias("v")).collect()
     assert sorted(r["v"] for r in got) == list(range(21 * 13))
