@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +12,24 @@ from tessera.llm.registry import query, table
 
 ROUNDS = 10
 
-# fixed values: what each format looks like
-CARD = r"\d(?:[ -]?\d){12,18}"
+# fixed values: what each format looks like; all but cards are right by their pattern alone
 PHONE = r"(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
-SSN = r"\d{3}-\d{2}-\d{4}"
-IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
-ISO_DATE = r"\d{4}-\d{2}-\d{2}"
-DAY_DATE = r"\d{2}\.\d{2}\.\d{4}"
-ANY = rf"(?<![\w.+-])(?:{PHONE}|{ISO_DATE}|{DAY_DATE}|{SSN}|{IPV4}|{CARD})(?![\w-]|\.\d)"
+SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+YEAR = r"(?:1[89]|2[01])\d{2}"
+LEAP = r"(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
+LONG, SHORT = "(?:0[13578]|1[02])", "(?:0[469]|11)"  # months
+TO_28, TO_30, TO_31 = r"(?:0[1-9]|1\d|2[0-8])", r"(?:0[1-9]|[12]\d|30)", r"(?:0[1-9]|[12]\d|3[01])"
+ISO_DATE = rf"(?:{YEAR}-(?:{LONG}-{TO_31}|{SHORT}-{TO_30}|02-{TO_28})|{LEAP}-02-29)"
+DAY_DATE = rf"(?:(?:{TO_31}\.{LONG}|{TO_30}\.{SHORT}|{TO_28}\.02)\.{YEAR}|29\.02\.{LEAP})"
+BEFORE, AFTER = r"(?<![\w.+-])", r"(?![\w-]|\.\d)"
+ANY = rf"{BEFORE}(?:{ISO_DATE}(?=T\d\d)|(?:{PHONE}|{ISO_DATE}|{DAY_DATE}|{SSN}|{IPV4}){AFTER})"
+# groups of digits with single separators, as many as follow each other (possessive: no stack for long ones)
+BLOCK = rf"\d++(?:-\d++)*+{AFTER}"
+RUN = rf"{BEFORE}{BLOCK}(?: {BLOCK})*+"
+CARD_DIGITS = r"\d(?:[ -]?\d){12}"
+CARD_GROUPS = "1[3-9]|4 4 4 [1-4]|4 4 4 4( [1-3])?|4 6 [45]"  # lengths that cards are written in
 
 # dates are permuted within one Gregorian cycle, 1800-01-01 to 2199-12-31: 146097 = 189 * 773 days
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
@@ -113,40 +124,102 @@ def _date(found: Column, year: Column, month: Column, day: Column, form: str, ke
 
 
 def pseudonym(found: Column, key: str) -> Column:
-    """The pseudonym of one found string, or null where it fails the checks of its format."""
+    """The pseudonym of one found string of ``ANY``, or null where it fails the checks of its format."""
     sub = F.substring
     whole = lambda p: found.rlike(f"^(?:{p})$")
     forms = [
         (PHONE, _phone(found, key)),
         (ISO_DATE, _date(found, sub(found, 1, 4), sub(found, 6, 2), sub(found, 9, 2), "yyyy-MM-dd", key)),
         (DAY_DATE, _date(found, sub(found, 7, 4), sub(found, 4, 2), sub(found, 1, 2), "dd.MM.yyyy", key)),
-        (SSN, _ssn(found, key)), (IPV4, _ipv4(found, key)), (CARD, _card(found, key))]
+        (SSN, _ssn(found, key)), (IPV4, _ipv4(found, key))]
     return reduce(lambda rest, f: F.when(whole(f[0]), f[1]).otherwise(rest), reversed(forms), F.lit(None).cast("string"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _run(run: Column, key: str) -> Column:
+    """``(text, n)`` of a run of digit groups: its cards and dates replaced, and how many.
+
+    Parts of the run begin and end at separators. From the left, a group that begins a date or a card of the usual
+    groups takes that, another the longest part with a right check digit that ends before the next such group.
+    """
+    def parts(groups: Column) -> Column:
+        size = F.size(groups)
+        part = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+        counts = lambda i, most: F.sequence(F.lit(1), F.least(size - i, F.lit(most)))
+        is_date = lambda i, n: (n == 3) & part(i, n).rlike(f"^{ISO_DATE}[ -]?$")
+
+        def is_card(i: Column, n: Column) -> Column:
+            return _let(F.regexp_replace(part(i, n), "[^0-9]", ""), lambda d: F.when(
+                F.length(d).between(13, 19), _luhn_sum(d, False) % 10 == 0).otherwise(False))
+
+        def is_usual(i: Column, n: Column) -> Column:
+            lengths = F.transform(F.slice(groups, i + 1, n), lambda g: F.length(F.regexp_replace(g, "[^0-9]", "")).cast("string"))
+            return F.array_join(lengths, " ").rlike(f"^(?:{CARD_GROUPS})$") & is_card(i, n)
+
+        usual = F.transform(groups, lambda g, i: F.coalesce(
+            F.when(i + 3 <= size, F.when(is_date(i, F.lit(3)), F.lit(3))),
+            F.array_max(F.filter(counts(i, 5), lambda n: is_usual(i, n)))))
+
+        def chosen(usual: Column) -> Column:
+            longest = lambda i: F.array_max(F.filter(counts(i, 19), lambda n: is_card(i, n) & ~F.exists(
+                F.slice(usual, i + 2, n - 1), lambda x: x.isNotNull())))
+            step = lambda s, i: F.when(i < s["free"], s).otherwise(_let(F.coalesce(F.get(usual, i), longest(i)), lambda n: F.when(
+                n.isNull(), s).otherwise(F.struct((i + n).alias("free"), F.concat(s["at"], F.array(F.struct(i.alias("i"), n.alias("n")))).alias("at")))))
+            start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<i:int,n:int>>").alias("at"))
+            return F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda s: s["at"])
+
+        def written(at: Column) -> Column:
+            end = lambda k: F.when(k == 0, 0).otherwise(F.get(at, k - 1)["i"] + F.get(at, k - 1)["n"])
+            date = lambda p: F.concat(pseudonym(F.substring(p, 1, 10), key), F.substring(p, 11, 1))
+            new = lambda p: F.when(p.rlike(f"^{ISO_DATE}[ -]?$"), date(p)).otherwise(_card(p, key))
+            out = F.transform(at, lambda x, k: F.concat(part(end(k), x["i"] - end(k)), _let(part(x["i"], x["n"]), new)))
+            rest = part(end(F.size(at)), size - end(F.size(at)))
+            return F.struct(F.concat(F.array_join(out, ""), rest).alias("text"), F.size(at).alias("n"))
+
+        return _let(_let(usual, chosen), written)
+
+    few = F.struct(run.alias("text"), F.lit(0).alias("n"))
+    return F.when(run.rlike(CARD_DIGITS), _let(F.split(run, "(?<=[ -])"), parts)).otherwise(few)
+
+
+def _gap(gap: Column, key: str) -> Column:
+    """``(text, n)`` of the text between found strings: its runs of digit groups replaced, and how many cards and dates."""
+    def joined(new: Column) -> Column:
+        text = F.transform(F.split(gap, RUN, -1), lambda x, i: F.concat(x, F.coalesce(F.get(new, i)["text"], F.lit(""))))
+        return F.struct(F.array_join(text, "").alias("text"), F.aggregate(new, F.lit(0), lambda s, x: s + x["n"]).alias("n"))
+
+    runs = F.transform(F.regexp_extract_all(gap, F.lit(RUN), F.lit(0)), lambda x: _run(x, key))
+    return F.when(gap.rlike(CARD_DIGITS), _let(runs, joined)).otherwise(F.struct(gap.alias("text"), F.lit(0).alias("n")))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count: str = "n_replaced") -> DataFrame:
     """Replace card, phone, social-security and IPv4 numbers and dates by keyed pseudonyms of the same format.
 
-    * cards: 13 to 19 digits with a right check digit; all but the last are permuted, the check digit is set anew
+    * cards: 13 to 19 digits with a right check digit, also next to other groups of digits; all but the last digit
+      are permuted, the check digit is set anew
     * phones: ten digits, any area and exchange, with or without +1; all ten are permuted
     * social-security numbers: valid areas, groups and serials only
     * IPv4 addresses without leading zeros
-    * dates (2024-05-31, 31.05.2024) that exist, from 1800 to 2199, under one permutation for both forms
+    * dates (2024-05-31, 31.05.2024) that exist, from 1800 to 2199, under one permutation for both forms; a time may
+      follow after T
 
-    Separators stay where they are. The same number has the same pseudonym in every document (whatever its
-    separators), different ones differ, and the key decides which. What looks like a number and fails its
-    checks stays. A null text stays null with count 0; other columns and repeated rows stay; a column of the
-    name of ``count`` is replaced. One narrow pass, no shuffle.
+    All others come before cards. Separators stay where they are. The same number has the same pseudonym in every
+    document (whatever its separators), different ones differ, and the key decides which. What looks like a number
+    and fails its checks stays. A null text stays null with count 0; other columns and repeated rows stay; a column
+    of the name of ``count`` is replaced. One narrow pass, no shuffle.
     """
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(m, key))
-    docs = docs.withColumn("_new", F.when(text.rlike("[0-9][ .-]?[0-9]"), new)).withColumn(
-        "_gaps", F.when(F.size("_new") > 0, F.split(text, ANY, -1)))
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
+    docs = docs.withColumn("_found", F.when(text.rlike("[0-9][ .-]?[0-9]"), found))
+    docs = docs.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.transform(F.split(text, ANY, -1), lambda gap: _gap(gap, key))))
     joined = F.array_join(F.transform("_gaps", lambda gap, i: F.concat(
-        gap, F.coalesce(F.get("_new", i), F.get(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), i), F.lit("")))), "")
-    n = F.coalesce(F.size(F.filter("_new", lambda x: x.isNotNull())), F.lit(0))
-    return docs.withColumns({text_col: F.coalesce(joined, text), count: F.when(F.col("_new").isNull(), 0).otherwise(n)}).drop("_new", "_gaps")
+        gap["text"], F.coalesce(F.get("_found", i)["new"], F.get("_found", i)["old"], F.lit("")))), "")
+    n = F.size(F.filter("_found", lambda x: x["new"].isNotNull())) + F.aggregate("_gaps", F.lit(0), lambda s, x: s + x["n"])
+    return docs.withColumns({text_col: F.coalesce(joined, text), count: F.when(F.col("_found").isNull(), 0).otherwise(n)}).drop("_found", "_gaps")
 
 
 @query("op3_pseudonyms")

@@ -121,6 +121,22 @@ def test_pseudonyms_of_phones(spark):
     assert len({re.sub(r"\D", "", x)[-10:] for x in new[3:]}) == 1 and len({re.sub(r"\D", "", x)[-10:] for x in new[:4]}) == 4
 
 
+def test_pseudonyms_next_to_digits(spark):
+    card = "4539578763621486"
+    texts = [f"{card} 12", f"9 {card}", "4539 5787 6362 1486 124", f"{card}-12", f"{card} 12a", f"1 22 {card} 2024-05-31 7 {card}", f"{card} {card}",
+             "12345 2024-05-31", "12345-2024-05-31", "2024-05-31T10:00:00Z", "12 " * 40000 + card, "1234567890123 2023-02-29"]
+    docs = spark.createDataFrame([*enumerate(texts), (98, card), (99, "2024-05-31")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs, "k1").collect()}
+    new = [rows[i]["text"] for i in range(len(texts))]
+    c, d = rows[98]["text"], rows[99]["text"]
+    assert c != card and d != "2024-05-31"
+    spaced = " ".join(c[i:i + 4] for i in range(0, 16, 4))
+    assert new[:10] == [f"{c} 12", f"9 {c}", f"{spaced} 124", f"{c}-12", f"{c} 12a", f"1 22 {c} {d} 7 {c}", f"{c} {c}", f"12345 {d}", f"12345-{d}",
+                        f"{d}T10:00:00Z"]
+    assert new[10].endswith(c) and len(new[10]) == len(texts[10]) and new[11] == texts[11]
+    assert [rows[i]["n_replaced"] for i in range(10)] == [1, 1, 1, 1, 1, 3, 2, 1, 1, 1]
+
+
 def test_permutation_is_one_to_one(spark):
     got = spark.range(21 * 13).select(pseudonyms.permute(F.col("id"), 21, 13, "k", "t").alias("v")).collect()
     assert sorted(r["v"] for r in got) == list(range(21 * 13))
