@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, give_back, stored
@@ -186,6 +186,23 @@ def sharing(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return held.where(F.col("c") * 100 >= F.col("size") * percent).select("id")
 
 
+def _close(x: str, y: str, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+
+
+def across(few: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes ``key, id, n, root, u, v, top`` of different roots that share a key of ``u`` and one of ``v``.
+
+    A pair is made at one of its shared keys only: the smallest, as the lists come in any order.
+    """
+    centres = few.where("root <> top").select("key", *[F.col(x).alias("c" + x) for x in ("id", "n", "root", "u", "v")])
+    pairs = few.join(stored(centres, "centres"), "key").where(
+        (F.col("root") != F.col("croot")) & _close("cn", "n", percent) & F.arrays_overlap("v", "cv")
+        & (F.col("key") == F.array_min(F.array_intersect("u", "cu"))))
+    return pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
@@ -215,8 +232,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = stored(rows, "buckets")
     stars = cut_lineage(rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size"))
                         .where("size > 1").select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("an")))
-    close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    pairs = (rows.join(stars, "bucket").where((F.col("id") > F.col("a")) & close("an", "n"))
+    pairs = (rows.join(stars, "bucket").where((F.col("id") > F.col("a")) & _close("an", "n", percent))
              .select("a", F.col("id").alias("b")).distinct())
     pairs = cut_lineage(pairs)
     wanted = cut_lineage(rows.join(stars.select("bucket"), "bucket", "left_semi").select("id").distinct())
@@ -239,11 +255,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                .where("roots > 1").select("key", F.col("top.root").alias("top"), "size", (F.col("size") - F.col("top.c")).alias("rest")))
     largest = cut_lineage(largest)
     few = meet.join(largest.where(F.col("size") <= HOT), "key")
-    centres = few.where("root <> top").select("key", *[F.col(x).alias("c" + x) for x in ("id", "n", "root", "u", "v")])
-    more = few.join(stored(centres, "centres"), "key").where(
-        (F.col("root") != F.col("croot")) & close("cn", "n") & F.arrays_overlap("v", "cv")
-        & (F.col("key") == F.element_at(F.array_intersect("u", "cu"), 1)))
-    more = more.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+    more = across(few, percent)
     more = cut_lineage(more.join(pairs, ["a", "b"], "left_anti"))
     crowded = meet.join(largest.where(F.col("size") > HOT), "key").select("key", "id", "root", "top", "size", "rest")
     links = links.unionByName(confirmed(more, texts, words, percent)).unionByName(confirmed_in_blocks(crowded, texts, words, percent))

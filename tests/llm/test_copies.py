@@ -86,6 +86,13 @@ def test_near_components_odd(spark):
     assert sorted(r["doc_id"] or 0 for r in neardup.drop_near_copies(docs).collect()) == [0, 1, 1]
 
 
+def test_pairs_whatever_the_order_of_keys(spark):
+    nodes = [(1, 10, 1, [5, 6], [7]), (2, 10, 2, [6, 5], [7]), (3, 10, 1, [6], [8]), (4, 10, 2, [5], [8])]
+    top = {5: 2, 6: 1}
+    few = spark.createDataFrame([(k, *x, top[k]) for x in nodes for k in x[3]], "key long, id long, n long, root long, u array<long>, v array<long>, top long")
+    assert [tuple(r) for r in neardup.across(few, 80).collect()] == [(1, 2)]
+
+
 def test_connected_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
