@@ -61,8 +61,8 @@ def _monotonic(spark, d):
 def _evolve(spark, d):
     rows = cut_lineage(_inc(spark, d))
     bounds = SE.weight_bounds(["ya", "yb", "yc"], reactants=["ya"], product="yc")
-    w, penalty = SE.evolve_weights(rows, _COLS, "y", bounds, popsize=20, generations=4)
-    w, penalty = SE.refine_weights(rows, _COLS, "y", w, bounds, rounds=4)
+    w, penalty = SE.evolve_weights(rows, _COLS, "y", bounds)
+    w, penalty = SE.refine_weights(rows, _COLS, "y", w, bounds)
     return spark.createDataFrame([(c, float(v), penalty) for c, v in zip(_COLS, w)], "column string, weight double, penalty double")
 
 

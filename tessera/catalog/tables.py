@@ -126,17 +126,38 @@ def _boundary(spark, d):
     return _tidy(boundary_table(*_supplier_profiles(spark, d), _SPEC))
 
 
-@query("optimise_weights")
-def _weights(spark, d):
-    """Weights over all suppliers of the search kinds: filters, relevant columns, thinning, principal direction."""
+def _optimised(spark, d, method):
+    """Weights over all suppliers of the search kinds: filters, relevant columns, thinning, and the search of ``method``."""
     df, key = _supplier_profiles(spark, d)
     df = df.select("l_suppkey", "row_idx", "kind", F.expr("cast(substring(folder, 5) as double)").alias("mix_status"),
                    F.expr("2 * l_tax").alias("Distance"), *[F.col(c).alias(f"Y-{c}") for c in ("ya", "yb", "yc", "yd")])
-    got = optimise_weights(df, key, method="principal", mixture=(1.0, 5.0))
+    return optimise_weights(df, key, method=method, mixture=(1.0, 5.0))
+
+
+@query("optimise_weights")
+def _weights(spark, d):
+    """Weights along the principal direction."""
+    got = _optimised(spark, d, "principal")
     return spark.createDataFrame([(s, float(w), got.monotonic) for s, w in zip(got.species, got.weights)],
                                  "species string, weight double, monotonic boolean")
 
 
+def _searched(spark, d, method):
+    got = _optimised(spark, d, method)
+    return spark.createDataFrame([(s, float(w), float(got.penalty), got.monotonic) for s, w in zip(got.species, got.weights)],
+                                 "species string, weight double, penalty double, monotonic boolean")
+
+
+@query("optimise_weights_penalty")
+def _weights_penalty(spark, d):
+    return _searched(spark, d, "penalty")
+
+
+@query("optimise_weights_bound")
+def _weights_bound(spark, d):
+    return _searched(spark, d, "bound")
+
+
 @query("lookup_table")
 def _lookup(spark, d):
     """Tuned interpolation of the parts on refined levels over the price-size plane."""

@@ -1,16 +1,21 @@
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.functions.mixture import diffusion_terms, weighted_sum
+from tessera.operators import search
+from tessera.plans import weight_search
 from tessera.plans.lookup_table import lookup_levels, tune_and_index
 from tessera.plans.manifold_table import TableSpec, boundary_table, concatenate
 from tessera.plans.weight_search import optimise_weights
 from tessera.sources.profiles import read_profiles
-from tests.conftest import SPECIES, header
+from tests.conftest import SF, SPECIES, header
 
 WEIGHTS = {"H2": -1.0, "H2O": 1.0}
 CONTROLS = ["ProgressVariable", "EnthalpyTot", "MixtureFraction"]
@@ -91,3 +96,24 @@ def test_lookup_levels(spark):
     assert set(got.level) == {0, 1} and hull.groupBy("level").count().count() == 2
     assert got.src.between(pdf.src.min(), pdf.src.max()).all() and (got.k1 >= 0.3 - 0.3 * got.k0 - 1e-9).all()
     assert not got.duplicated(["level", "k0", "k1"]).any()
+
+
+@pytest.mark.parametrize("name,module", [("evolve_weights", search), ("optimise_weights_penalty", weight_search),
+                                         ("optimise_weights_bound", weight_search)])
+def test_queries_search_with_the_defaults(spark, monkeypatch, name, module):
+    asked = []
+
+    def small(f, **few):
+        bound = inspect.signature(f)
+
+        def run(*a, **k):
+            got = bound.bind(*a, **k).arguments
+            asked.extend((x, got.get(x)) for x in few)
+            return f(**{**got, **few})
+        return run
+
+    for f, few in (("evolve_weights", {"popsize": 2, "generations": 1}), ("refine_weights", {"rounds": 1})):
+        monkeypatch.setattr(module, f, small(getattr(module, f), **few))
+    rows = entry.queries()[name](spark, SF).collect()
+    assert asked == [("popsize", None), ("generations", None), ("rounds", None)]
+    assert rows and all(r["penalty"] > 0 for r in rows)
