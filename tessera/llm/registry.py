@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from tessera.llm import (bytebpe, exact, extract, mixing, neardup, pseudonyms, quality, repeats,  # noqa: F401
-                             sentencepieces, tokens, topk)
+    from tessera.llm import (bytebpe, exact, extract, mixing, neardup, periods, pseudonyms, quality, repeats,  # noqa: F401
+                             sentencepieces, tokens, topk, variants)
