@@ -43,12 +43,17 @@ def _idw_weighted(spark, d):
     return got.select("c_custkey", F.round("v", 4).alias("v"))
 
 
-@query("idw_lineitem")
+@query("idw_lineitem", f"""WITH {PT}, l AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 105000e0 AS h, l_quantity / 50e0 AS y FROM lineitem),
+near AS (SELECT s.h, s.y, min({{'d': sqrt((s.h - pt.x) * (s.h - pt.x) + (s.y - pt.y) * (s.y - pt.y)), 'id': p_partkey, 'v': pt.v, 'w': pt.w}}, 6) AS n
+  FROM (SELECT DISTINCT h, y FROM l) s, pt GROUP BY s.h, s.y)
+SELECT l_orderkey, l_linenumber, {', '.join(f"round(CASE WHEN n[1].d < 1e-10 THEN n[1].{c} ELSE list_sum(list_transform(n, lambda r: r.{c} / (r.d * r.d))) / list_sum(list_transform(n, lambda r: 1 / (r.d * r.d))) END, 4) AS {c}" for c in "vw")}
+FROM l JOIN near USING (h, y)""")
 def _idw_lines(spark, d):
     """Every line item interpolated on the parts: many queries per point."""
     q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_extendedprice / 105000e0").alias("x"),
                                            F.expr("l_quantity / 50e0").alias("y"))
-    return K.idw_join(q, part_points(spark, d), ["x", "y"], ["v", "w"], "p_partkey", 6, 2)
+    got = K.idw_join(q, part_points(spark, d), ["x", "y"], ["v", "w"], "p_partkey", 6, 2)
+    return got.select("l_orderkey", "l_linenumber", F.round("v", 4).alias("v"), F.round("w", 4).alias("w"))
 
 
 @query("idw_dense")
@@ -88,11 +93,39 @@ def _best(spark, d):
     return K.best_parameters(_tuned(spark, d)).select("k", "p", F.round("mse", 2).alias("mse"))
 
 
-@query("inverse_lookup")
+_PROBE = """{'d': sqrt((s.h - pt.x) * (s.h - pt.x) + (s.y - pt.y) * (s.y - pt.y)), 'id': p_partkey, 'v': pt.v}"""
+_BLEND = """CASE WHEN n[1].d < 1e-10 THEN n[1].v ELSE list_sum(list_transform(n, lambda r: r.v / (r.d * r.d))) / list_sum(list_transform(n, lambda r: 1 / (r.d * r.d))) END"""
+
+
+def _judged(values: str, number: str) -> str:
+    """Where the target is met, or the next bracket: of rows (y, target, h, v, e) in the order of h."""
+    return f"""SELECT y, target, coalesce(met.h, nx.a.h) AS h, coalesce(met.v, nx.a.v) AS v,
+  CASE WHEN met IS NOT NULL THEN 'converged' WHEN nx IS NULL THEN 'outside' WHEN nx.b.h - nx.a.h <= (SELECT ext FROM box) * 1e-9 THEN 'jump' END AS status,
+  rounds, nx.a.h AS ah, nx.a.e AS ae, nx.b.h AS bh, nx.b.e AS be
+FROM (SELECT y, target, {number} AS rounds, min({{'d': abs(h - 0.5e0), 'h': h, 'v': v}}) FILTER (abs(e) <= 0.01e0) AS met,
+    min({{'d': abs((h + h2) / 2 - 0.5e0), 'a': {{'h': h, 'v': v, 'e': e}}, 'b': {{'h': h2, 'v': v2, 'e': e2}}}}) FILTER (e * e2 < 0) AS nx
+  FROM (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2, lead(e) OVER w AS e2 FROM ({values}) WINDOW w AS (PARTITION BY y, target ORDER BY h))
+  GROUP BY ALL)"""
+
+
+_LADDER = f"""SELECT need.y, target, h, v, v - target AS e FROM need JOIN (
+  SELECT y, h, {_BLEND} AS v FROM (SELECT s.y, s.h, min({_PROBE}, 3) AS n FROM ladder s, pt GROUP BY s.y, s.h)) USING (y)"""
+_CUTS = f"""SELECT y, target, rounds, h, v, v - target AS e FROM (SELECT y, target, rounds, h, {_BLEND} AS v FROM (
+  SELECT s.y, s.target, s.rounds, s.h, min({_PROBE}, 3) AS n FROM (
+    SELECT y, target, rounds + 1 AS rounds, unnest(list_distinct(list_concat(list_transform(range(0, 9), lambda j: ah + (bh - ah) * (j / 8e0)),
+      [bh, ah - ae * ((bh - ah) / (be - ae))]))) AS h FROM found WHERE status IS NULL) s, pt GROUP BY ALL))"""
+
+
+@query("inverse_lookup", f"""WITH RECURSIVE {PT.replace("pt AS (", "pt0 AS (")}, pt AS (SELECT p_partkey, x, y, x * 100 + y AS v FROM pt0),
+q AS (SELECT c_custkey, c_nationkey / 25e0 AS y, 20e0 + abs(c_acctbal) / 200e0 AS target FROM customer), need AS (SELECT DISTINCT y, target FROM q),
+box AS (SELECT min(x) AS lo, (max(x) - min(x)) * (1 + 1e-9) AS ext FROM pt),
+ladder AS (SELECT DISTINCT y, h FROM need, (SELECT lo + ext * j / 64 AS h FROM box, range(65) t(j) UNION SELECT 0.5e0)),
+found AS ({_judged(_LADDER, "0")} UNION ALL {_judged(_CUTS, "rounds")})
+SELECT c_custkey, round(h, 6) AS x, round(v, 4) AS v, status, rounds FROM q JOIN found USING (y, target) WHERE status IS NOT NULL""")
 def _inverse(spark, d):
-    """The x at which the interpolated value meets a target, for every nation-sized group of customers."""
-    index = K.build_index(part_points(spark, d).select("p_partkey", "x", "y", (F.col("x") * 100 + F.col("y")).alias("v"),
-                                                       F.lit(0.008).alias("slope")), ["x", "y"], "p_partkey", 3)
+    """The x at which the interpolated value meets the target of every customer, at the operator's defaults."""
+    index = K.build_index(part_points(spark, d).select("p_partkey", "x", "y", (F.col("x") * 100 + F.col("y")).alias("v")), ["x", "y"], "p_partkey", 3)
     q = table(spark, d, "customer").select("c_custkey", F.expr("c_nationkey / 25e0").alias("y"),
                                            F.expr("20e0 + abs(c_acctbal) / 200e0").alias("target"))
-    return K.inverse_lookup(q, index, "x", "target", "v", "slope", start=0.5, tol=2.0, max_rounds=6)
+    got = K.inverse_lookup(q, index, "x", "target", "v", start=0.5)
+    return got.select("c_custkey", F.round("x", 6).alias("x"), F.round("v", 4).alias("v"), "status", "rounds")

@@ -1,33 +1,42 @@
 """Exact k-nearest-neighbour join and inverse-distance interpolation of scattered points.
 
-Spark has no spatial join, and pairing every query with every point (or with everything in its grid
-cell) is quadratic where points cluster. Here both sides are binned on a grid that is refined level by
-level, only where it has to be:
-
-* all queries in one cell share a list of candidate point cells with their counts;
-* the k-th smallest upper bound of the box-to-box distances limits how far any of their k nearest
-  points can be, so cells that start beyond it are dropped;
-* candidate cells with more than ``leaf`` points are split for the next round, and so are the query
-  cells that still have such candidates.
-
-Only when all candidate cells are small do queries meet single points. Points with equal coordinates
-are reduced to ``k`` beforehand, since no query can need more of them, and queries with equal
-coordinates are answered once.
+Spark has no spatial join, and pairing every query with every point (or with everything in its grid cell) is
+quadratic where points cluster. Here the points are kept as an index that any number of joins can use:
+
+* the points are sorted along a Hilbert curve and cut into leaves of equal count, one row per leaf with its box
+  and its points as lists, so a leaf is small where points are dense and no leaf is crowded;
+* every 64 leaves in a row form a node, every 64 nodes one of the next level, up to one root per partition.
+
+The queries of a join are sorted and cut in the same way, so the queries of one group lie close together. A
+join goes down the levels without looking at points: a node stays with a group if it may hold one of the k
+nearest of any of its queries, judged by the least of the largest box distances of nodes with k points. What
+the k-th nearest point really is at most is then taken from the leaf that suits the group best, which leaves
+few leaves to be met. A group meets its leaves one after another, nearest first, and keeps the k best of each
+query, so memory stays bounded whatever the number of leaves.
+
+Points with equal coordinates are reduced to ``k`` beforehand, since no query can need more of them, and
+queries with equal coordinates are answered once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import cut_lineage
 
-MAX_LEVEL = 48
-START_BITS = 6  # the search starts on a grid of at most 2^6 cells
+LEAF = 256  # points of a leaf
+GROUP = 256  # queries that go down together
+FAN = 64  # children of a node
+ROOTS = 1024  # range partitions of an index at most, so a literal list can hold their boxes
+PART_ROWS = 1_000_000  # points of a partition unless there are more than ROOTS of them
+CURVE_BITS = 62  # of a position on the curve, all axes together
 _SLACK = 1.0 + 1e-9  # rounding room when comparing distance bounds
 
 EXACT_HIT = 1e-10  # below this distance the nearest value is taken as is (fixed value)
@@ -37,99 +46,253 @@ EXACT_HIT = 1e-10  # below this distance the nearest value is taken as is (fixed
 class PointIndex:
     """Reference points prepared for repeated searches."""
 
-    points: DataFrame
+    leaves: DataFrame  # part, num, n, box, and every column of the points as a list
+    nodes: DataFrame  # level, part, num and the boxes of the children
+    roots: tuple[tuple, ...]  # part, n, box
+    depth: int
     keys: tuple[str, ...]
     ref_id: str
     k: int
-    leaf: int
     lo: tuple[float, ...]
     width: tuple[float, ...]
     rows: int
 
-    def unit(self, c: str, i: int) -> Column:
-        return (F.col(c) - F.lit(self.lo[i])) / F.lit(self.width[i])
+
+def _box(d: int) -> list[str]:
+    return [f"{side}{i}" for side in ("lo", "hi") for i in range(d)]
+
+
+def _curve(cells, bits: int):
+    """Positions on a Hilbert curve of whole coordinates (axes x points) below 2^bits."""
+    import numpy as np
+
+    x = [c.copy() for c in cells]
+    zero = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):  # from the largest quadrant down: turn or mirror what lies in it
+        low = (1 << b) - 1
+        for c in x:
+            inside = (c >> b) & 1 == 1
+            swap = np.where(inside, zero, (x[0] ^ c) & low)
+            x[0] ^= np.where(inside, low, swap)
+            if c is not x[0]:
+                c ^= swap
+    for a, b in zip(x, x[1:]):
+        b ^= a
+    turn = zero.copy()
+    for b in range(bits - 1, 0, -1):
+        turn ^= np.where((x[-1] >> b) & 1 == 1, (1 << b) - 1, 0)
+    out = zero.copy()
+    for b in range(bits - 1, -1, -1):
+        for c in x:
+            out = out << 1 | ((c ^ turn) >> b) & 1
+    return out
+
+
+def _packed(df: DataFrame, keys: Sequence[str], lo: Sequence[float], width: Sequence[float], size: int, parts: int | None) -> DataFrame:
+    """Rows along the curve in lists of ``size``: ``part, num, n``, the box, and every column as a list."""
+    d, names = len(keys), df.columns
+    bits = min(CURVE_BITS // d, 26)
+    at = [names.index(c) for c in keys]
+
+    @F.pandas_udf("long")
+    def position(*axes: pd.Series) -> pd.Series:
+        import numpy as np
+
+        top = float(1 << bits)
+        cells = [np.clip((a.to_numpy() - lo[i]) / width[i] * top, 0, top - 1).astype(np.int64) for i, a in enumerate(axes)]
+        return pd.Series(_curve(cells, bits))
+
+    rows = df.withColumn("_at", position(*keys))
+    rows = rows.repartitionByRange(parts, "_at") if parts else rows.repartitionByRange("_at")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        part, num = TaskContext.get().partitionId(), 0
+
+        def lists(t: pa.Table) -> pa.RecordBatch:
+            nonlocal num
+            t = t.combine_chunks()
+            offsets = np.append(np.arange(0, t.num_rows, size), t.num_rows).astype(np.int32)
+            axes = [t.column(i).to_numpy() for i in at]
+            count = len(offsets) - 1
+            cols = [pa.array(np.full(count, part), pa.int32()), pa.array(num + np.arange(count), pa.int64()), pa.array(np.diff(offsets), pa.int32())]
+            cols += [pa.array(f.reduceat(a, offsets[:-1])) for f in (np.minimum, np.maximum) for a in axes]
+            for c in t.columns:
+                chunk = c.chunk(0) if c.num_chunks else pa.array([], c.type)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chunk))
+            num += count
+            return pa.RecordBatch.from_arrays(cols, ["part", "num", "n", *_box(d), *names])
+
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]).select(names)
+            held = t if held is None else pa.concat_tables([held, t])
+            full = held.num_rows - held.num_rows % size
+            if full:
+                yield lists(held.slice(0, full))
+                held = held.slice(full)
+        if held is not None and held.num_rows:
+            yield lists(held)
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(["part int, num long, n int", *[f"{c} double" for c in _box(d)], *[f"`{c}` array<{types[c]}>" for c in names]])
+    return rows.sortWithinPartitions("_at").mapInArrow(pack, schema)
+
+
+def _finite(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.where(reduce(lambda a, b: a & b, [F.abs(F.col(c)) < F.lit(float("inf")) for c in keys]))
 
 
 def build_index(refs: DataFrame, keys: Sequence[str], ref_id: str, k: int, leaf: int | None = None) -> PointIndex:
+    """Sort, cut and store the points once; points with a null or non-finite coordinate take no part."""
+    d = len(keys)
+    refs = _finite(refs.withColumns({c: F.col(c).cast("double") for c in keys}), keys)
     w = Window.partitionBy(*keys).orderBy(ref_id)
-    points = refs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-    points = cut_lineage(points)
+    points = cut_lineage(refs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn"))
     box = points.agg(F.count(F.lit(1)), *[a for c in keys for a in (F.min(c), F.max(c))]).first()
-    lo = tuple(float(box[1 + 2 * i]) for i in range(len(keys)))
-    hi = tuple(float(box[2 + 2 * i]) for i in range(len(keys)))
-    width = tuple((h - a) * (1 + 1e-9) if h > a else 1.0 for a, h in zip(lo, hi))
-    return PointIndex(points, tuple(keys), ref_id, k, leaf or max(32, 2 * k), lo, width, box[0])
-
-
-def _cells(df: DataFrame, index: PointIndex, cols: Sequence[str], prefix: str, level: Column) -> DataFrame:
-    return df.withColumns({
-        f"{prefix}{i}": F.floor(index.unit(c, i) * F.pow(F.lit(2.0), level)).cast("long")
-        for i, c in enumerate(cols)})
-
-
-def _box_gaps(index: PointIndex, i: int, qlevel: Column, rlevel: Column) -> tuple[Column, Column]:
-    """Smallest and largest distance along axis i between a query cell and a point cell."""
-    qs, rs = F.pow(F.lit(2.0), -qlevel), F.pow(F.lit(2.0), -rlevel)
-    qa, ra = F.col(f"q{i}") * qs, F.col(f"r{i}") * rs
-    qb, rb = qa + qs, ra + rs
-    near = F.greatest(F.lit(0.0), ra - qb, qa - rb)
-    far = F.greatest(rb - qa, qb - ra)
-    return near * F.lit(index.width[i]), far * F.lit(index.width[i])
-
-
-def _prune(pairs: DataFrame, index: PointIndex) -> DataFrame:
-    """Drop candidate cells that cannot hold one of the k nearest points of any query in the cell."""
+    if not box[0]:
+        return PointIndex(points, points, (), 0, tuple(keys), ref_id, k, (0.0,) * d, (1.0,) * d, 0)
+    lo, hi = [box[1 + 2 * i] for i in range(d)], [box[2 + 2 * i] for i in range(d)]
+    width = [(h - a) * (1 + 1e-9) if h > a else 1.0 for a, h in zip(lo, hi)]
+    parts = min(-(-box[0] // PART_ROWS), ROOTS)
+    leaves = cut_lineage(_packed(points, keys, lo, width, leaf or max(LEAF, 2 * k), parts))
+    ends = [F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)] + [F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)]
+    below = leaves.select("part", "num", "n", *_box(d))
+    roots = below.groupBy("part").agg(F.sum("n").alias("n"), *ends, F.count(F.lit(1)).alias("held")).collect()
+    depth, most = 1, max(r["held"] for r in roots)
+    while FAN ** depth < most:
+        depth += 1
+    levels = []
+    for level in range(1, depth + 1):
+        kid = F.struct("num", F.col("n").cast("long").alias("n"), *_box(d))
+        below = (below.withColumn("up", F.expr(f"num div {FAN}")).groupBy("part", "up")
+                 .agg(F.sum("n").alias("n"), *ends, F.collect_list(kid).alias("kids")).withColumnRenamed("up", "num"))
+        levels.append(below.select(F.lit(level).alias("level"), "part", "num", "kids"))
+    nodes = cut_lineage(reduce(lambda a, b: a.unionByName(b), levels))
+    tops = tuple((r["part"], int(r["n"]), *[float(r[c]) for c in _box(d)]) for r in roots)
+    return PointIndex(leaves, nodes, tops, depth, tuple(keys), ref_id, k, tuple(lo), tuple(width), box[0])
+
+
+def _judged(rows: DataFrame, index: PointIndex, whole: bool) -> DataFrame:
+    """Of the boxes ``kids`` that a group has come to, those that may hold one of the k nearest of its queries.
+
+    ``bound`` is the square of what the k-th nearest is at most away; ``whole`` says that a group is one row.
+    """
     d = len(index.keys)
-    gaps = [_box_gaps(index, i, F.col("qlevel"), F.col("rlevel")) for i in range(d)]
-    near = reduce(lambda a, b: a + b, [g[0] * g[0] for g in gaps])
-    far = reduce(lambda a, b: a + b, [g[1] * g[1] for g in gaps])
-    qcell = ["qlevel", *[f"q{i}" for i in range(d)]]
-    pairs = pairs.withColumns({"_near": near, "_far": far})
-    w = Window.partitionBy(*qcell).orderBy("_far")
-    pairs = pairs.withColumn("_cum", F.sum("cnt").over(w))
-    bound = F.min(F.when(F.col("_cum") >= index.k, F.col("_far"))).over(Window.partitionBy(*qcell))
-    pairs = pairs.withColumn("_bound", bound).where(
-        F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * F.lit(_SLACK) + F.lit(1e-300)))
-    busy = F.max(F.when(F.col("cnt") > index.leaf, 1).otherwise(0)).over(Window.partitionBy(*qcell))
-    return pairs.withColumn("busy", busy).drop("_near", "_far", "_cum", "_bound")
-
-
-def _candidate_cells(queries: DataFrame, index: PointIndex) -> DataFrame:
-    """Pairs of a query cell and a small point cell that together cover the k nearest of every query."""
+
+    def gaps(kid: Column, far: bool) -> Column:
+        total = None
+        for i in range(d):
+            ahead, behind = kid[f"lo{i}"] - F.col(f"ghi{i}"), F.col(f"glo{i}") - kid[f"hi{i}"]
+            gap = (F.greatest(kid[f"hi{i}"] - F.col(f"glo{i}"), F.col(f"ghi{i}") - kid[f"lo{i}"]) if far
+                   else F.greatest(F.lit(0.0), ahead, behind))
+            total = gap * gap if total is None else total + gap * gap
+        return total
+
+    rows = rows.withColumn("kids", F.transform("kids", lambda kid: F.struct(
+        kid["part"].alias("part"), kid["num"].alias("num"), kid["n"].alias("n"), gaps(kid, False).alias("near"), gaps(kid, True).alias("far"))))
+    own = F.array_min(F.transform(F.filter("kids", lambda kid: kid["n"] >= index.k), lambda kid: kid["far"]))
+    if not whole:
+        own = F.min(own).over(Window.partitionBy("gpart", "gnum"))
+    rows = rows.withColumn("bound", F.least("bound", own))
+    fits = F.filter("kids", lambda kid: F.col("bound").isNull() | (kid["near"] <= F.col("bound") * F.lit(_SLACK) + F.lit(1e-300)))
+    return rows.withColumn("kid", F.explode(fits)).drop("kids")
+
+
+def _candidates(groups: DataFrame, index: PointIndex) -> DataFrame:
+    """Pairs of a group and a leaf that may matter to it: ``gpart, gnum, part, num, n, near, far`` (squares)."""
     d = len(index.keys)
-    qn, rn = [f"q{i}" for i in range(d)], [f"r{i}" for i in range(d)]
-    layout = ["qlevel", *qn, "rlevel", *rn, "cnt", "busy"]
-    first = START_BITS // d
-    # at most 2^START_BITS occupied point cells: a literal list, spread over the query cells
-    start = (_cells(index.points, index, index.keys, "r", F.lit(first))
-             .groupBy(*rn).agg(F.count(F.lit(1)).alias("cnt")).collect())
-    listed = F.array(*[F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in [*rn, "cnt"]]) for r in start])
-    pairs = (_cells(queries, index, index.keys, "q", F.lit(first)).select(*qn).distinct()
-             .select(F.lit(first).alias("qlevel"), *qn, F.lit(first).alias("rlevel"), F.explode(listed).alias("_r"))
-             .select("qlevel", *qn, "rlevel", "_r.*"))
-    pairs = cut_lineage(_prune(pairs, index).select(*layout))
-    done = pairs.where("busy = 0")
-    pairs = pairs.where("busy = 1")
-    step = 2 if d <= 2 else 1
-    for level in range(first + step, MAX_LEVEL + 1, step):
-        if pairs.limit(1).count() == 0:
-            break
-        qcells = (_cells(queries, index, index.keys, "n", F.lit(level)).select(*[f"n{i}" for i in range(d)]).distinct()
-                  .withColumns({f"q{i}": F.shiftright(F.col(f"n{i}"), step) for i in range(d)}))
-        rcells = (_cells(index.points, index, index.keys, "m", F.lit(level))
-                  .groupBy(*[f"m{i}" for i in range(d)]).agg(F.count(F.lit(1)).alias("_cnt"))
-                  .withColumns({f"r{i}": F.shiftright(F.col(f"m{i}"), step) for i in range(d)}))
-        split = (pairs.where(F.col("cnt") > index.leaf).drop("cnt", "rlevel").join(rcells, rn)
-                 .select(*qn, F.lit(level).alias("rlevel"), *[F.col(f"m{i}").alias(f"r{i}") for i in range(d)],
-                         F.col("_cnt").alias("cnt")))
-        keep = pairs.where(F.col("cnt") <= index.leaf).select(*qn, "rlevel", *rn, "cnt")
-        finer = (keep.unionByName(split).join(qcells, qn)
-                 .select(F.lit(level).alias("qlevel"), *[F.col(f"n{i}").alias(f"q{i}") for i in range(d)],
-                         "rlevel", *rn, "cnt"))
-        finer = cut_lineage(_prune(finer, index).select(*layout))
-        done = done.unionByName(finer.where("busy = 0"))
-        pairs = finer.where("busy = 1")
-    return done.unionByName(pairs)
+    own = [f"g{c}" for c in _box(d)]
+    rows = groups.select(F.col("part").alias("gpart"), F.col("num").alias("gnum"), *[F.col(c).alias(f"g{c}") for c in _box(d)])
+    tops = [F.struct(F.lit(r[0]).alias("part"), F.lit(0).cast("long").alias("num"), F.lit(r[1]).cast("long").alias("n"),
+                     *[F.lit(v).alias(c) for c, v in zip(_box(d), r[2:])]) for r in index.roots]
+    rows = _judged(rows.withColumns({"kids": F.array(*tops), "bound": F.lit(None).cast("double")}), index, True)
+    for level in range(index.depth, 0, -1):
+        node = index.nodes.where(F.col("level") == level).select("part", "num", "kids")
+        node = node.withColumn("kids", F.transform("kids", lambda kid: F.struct(F.col("part").alias("part"), *[kid[c].alias(c) for c in ["num", "n", *_box(d)]])))
+        rows = rows.select("gpart", "gnum", *own, "bound", "kid.part", "kid.num").join(node, ["part", "num"]).drop("part", "num")
+        rows = _judged(rows, index, False)
+    return rows.select("gpart", "gnum", "kid.*")
+
+
+def _met(groups: DataFrame, pairs: DataFrame, index: PointIndex, names: Sequence[str], radius: bool) -> DataFrame:
+    """Every group meets its leaves in turn, nearest first: the k best of each query, or how far they reach at most."""
+    keys, k, d = list(index.keys), index.k, len(index.keys)
+    cols = [*keys, *names]
+    types = {f.name: f.dataType.elementType.simpleString() for f in index.leaves.schema.fields if f.name in cols}
+    met = pairs.join(index.leaves.select("part", "num", *cols), ["part", "num"]).select("gpart", "gnum", "near", *cols)
+    asked = groups.select(F.col("part").alias("gpart"), F.col("num").alias("gnum"), F.lit(-1.0).alias("near"), *keys,
+                          *[F.lit(None).cast(f"array<{types[c]}>").alias(c) for c in names])
+    rows = met.unionByName(asked).repartition("gpart", "gnum").sortWithinPartitions("gpart", "gnum", "near")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        group = None
+        for b in batches:
+            parts, nums, near = (b.column(i).to_pylist() for i in range(3))
+            for i in range(b.num_rows):
+                lists = [b.column(3 + j)[i].values for j in range(len(cols))]
+                if near[i] < 0:
+                    if group is not None:
+                        yield from given(group)
+                    axes = np.stack([x.to_numpy(zero_copy_only=False) for x in lists[:d]], axis=1)
+                    group = [(parts[i], nums[i]), axes, np.full(len(axes), np.inf), np.zeros(0, np.int64), np.zeros(0), None]
+                elif near[i] <= float(group[2].max()) ** 2 * _SLACK + 1e-300:
+                    meet(group, np.stack([x.to_numpy(zero_copy_only=False) for x in lists[:d]], axis=1), pa.table(lists[d:], list(names)))
+        if group is not None:
+            yield from given(group)
+
+    def meet(group, points, table) -> None:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        _, axes, reach, of, dist, best = group
+        gap = np.maximum(0.0, np.maximum(points.min(axis=0) - axes, axes - points.max(axis=0)))
+        open_ = np.flatnonzero(np.sqrt((gap * gap).sum(axis=1)) <= reach * _SLACK + 1e-150)
+        if not len(open_):
+            return
+        total = np.zeros((len(open_), len(points)))
+        for i in range(d):
+            diff = axes[open_, i][:, None] - points[:, i][None, :]
+            total = diff * diff if i == 0 else total + diff * diff
+        total = np.sqrt(total)
+        limit = reach[open_]
+        fresh = np.isinf(limit)
+        if fresh.any() and len(points) >= k:
+            limit = np.where(fresh, np.partition(total, k - 1, axis=1)[:, k - 1], limit)
+        q, p = np.nonzero(total <= limit[:, None])
+        of, dist = np.concatenate([of, open_[q]]), np.concatenate([dist, total[q, p]])
+        picked = table.take(pa.array(p))
+        best = picked if best is None else pa.concat_tables([best, picked])
+        ids = best.column(0)
+        order = (np.lexsort((ids.to_numpy(), dist, of)) if pa.types.is_integer(ids.type) and not ids.null_count else
+                 pc.sort_indices(pa.table({"of": of, "dist": dist, "id": ids.combine_chunks()}), [("of", "ascending"), ("dist", "ascending"), ("id", "ascending")]).to_numpy())
+        sorted_of = of[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_of, sorted_of)
+        order = order[rank < k]
+        of, dist = of[order], dist[order]
+        full = np.flatnonzero(np.bincount(of, minlength=len(axes)) >= k)
+        reach[full] = dist[np.searchsorted(of, full, side="right") - 1]
+        group[3:] = [of, dist, best.take(pa.array(order)).combine_chunks()]
+
+    def given(group) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        (part, num), axes, reach, of, dist, best = group
+        if radius:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([num], pa.int64()), pa.array([float(reach.max())])], ["gpart", "gnum", "reach"])
+        elif best is not None:
+            rank = np.arange(len(of)) - np.searchsorted(of, of) + 1
+            found = [*[pa.array(axes[of, i]) for i in range(d)], pa.array(dist), pa.array(rank, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*found, *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in best.columns]], [*keys, "distance", "rank", *names])
+
+    if radius:
+        return rows.mapInArrow(walk, "gpart int, gnum long, reach double")
+    schema = ", ".join([*[f"`{c}` double" for c in keys], "distance double, rank int", *[f"`{c}` {types[c]}" for c in names]])
+    return rows.mapInArrow(walk, schema)
 
 
 def knn_join(queries: DataFrame, index: PointIndex, out: str = "neighbour",
@@ -137,31 +300,23 @@ def knn_join(queries: DataFrame, index: PointIndex, out: str = "neighbour",
     """The k nearest points of each distinct query coordinate.
 
     Returns the key columns, ``rank`` (1-based), ``distance``, the id and the carried columns of the
-    point. Ties are broken by the point id. Join it back to the queries on the key columns.
+    point. Ties are broken by the point id. Join it back to the queries on the key columns. Queries with a
+    null or non-finite coordinate have no neighbours.
     """
-    d = len(index.keys)
-    qn, rn = [f"q{i}" for i in range(d)], [f"r{i}" for i in range(d)]
-    points = cut_lineage(queries.select(*index.keys).distinct())
-    cells = cut_lineage(_candidate_cells(points, index).drop("busy", "cnt"))
-    # grid levels: at most MAX_LEVEL numbers
-    levels = cells.agg(F.collect_set("qlevel"), F.collect_set("rlevel")).first()
-    if not levels[0]:
-        levels = ([0], [0])
-
-    def at_levels(df: DataFrame, cols: Sequence[str], prefix: str, wanted: list[int]) -> DataFrame:
-        df = df.withColumn(f"{prefix}level", F.explode(F.array(*[F.lit(v) for v in sorted(wanted)])))
-        return _cells(df, index, cols, prefix, F.col(f"{prefix}level"))
-
-    left = at_levels(points, index.keys, "q", levels[0]).join(cells, ["qlevel", *qn])
-    refs = index.points.select(F.col(index.ref_id).alias(out), *[F.col(c).alias(f"_r_{c}") for c in index.keys],
-                               *carry)
-    right = at_levels(refs, [f"_r_{c}" for c in index.keys], "r", levels[1])
-    pairs = left.join(right, ["rlevel", *rn])
-    dist = F.sqrt(reduce(lambda a, b: a + b, [
-        (F.col(c) - F.col(f"_r_{c}")) * (F.col(c) - F.col(f"_r_{c}")) for c in index.keys]))
-    w = Window.partitionBy(*index.keys).orderBy("distance", out)
-    return (pairs.select(*index.keys, dist.alias("distance"), out, *carry)
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= index.k))
+    keys, names = list(index.keys), list(dict.fromkeys([index.ref_id, *carry]))
+    points = _finite(queries.select(*[F.col(c).cast("double").alias(c) for c in keys]), keys).distinct()
+    columns = [*keys, "distance", F.col(index.ref_id).alias(out), *carry, "rank"]
+    if not index.rows:
+        kinds = dict(index.leaves.dtypes)
+        fields = [*[f"`{c}` double" for c in keys], "distance double, rank int", *[f"`{c}` {kinds[c]}" for c in names]]
+        return queries.sparkSession.createDataFrame([], ", ".join(fields)).select(*columns)
+    groups = cut_lineage(_packed(points, keys, index.lo, index.width, GROUP, None))
+    pairs = cut_lineage(_candidates(groups, index))
+    own = pairs.where(F.col("n") >= index.k).groupBy("gpart", "gnum").agg(F.min_by(F.struct("part", "num", "near"), "far").alias("leaf"))
+    reach = _met(groups, own.select("gpart", "gnum", "leaf.*"), index, [index.ref_id], True)
+    pairs = pairs.join(reach, ["gpart", "gnum"], "left").where(
+        F.col("reach").isNull() | (F.col("near") <= F.col("reach") * F.col("reach") * F.lit(_SLACK) + F.lit(1e-300)))
+    return _met(groups, pairs.select("gpart", "gnum", "part", "num", "near"), index, names, False).select(*columns)
 
 
 def idw_join(queries: DataFrame, refs: DataFrame | PointIndex, keys: Sequence[str], values: Sequence[str],
@@ -217,28 +372,63 @@ def best_parameters(tuned: DataFrame) -> DataFrame:
     return tuned.orderBy("mse", "k", "p").limit(1)
 
 
-def inverse_lookup(queries: DataFrame, index: PointIndex, moving: str, target: str, value: str, slope: str,
-                   start: float = 2000.0, p: float = 2, tol: float = 1e-2, max_rounds: int = 100) -> DataFrame:
-    """Move one key of each query until the interpolated ``value`` meets the query's ``target``.
+def inverse_lookup(queries: DataFrame, index: PointIndex, moving: str, target: str, value: str, start: float | None = None,
+                   p: float = 2, tol: float = 1e-2, probes: int = 64, parts: int = 8) -> DataFrame:
+    """The place on the axis ``moving`` at which the interpolated ``value`` meets the query's ``target``.
+
+    Queries hold the other keys of the index and ``target``. First the values at ``probes + 1`` even places over
+    the extent of the points, and at ``start``, are interpolated, once for all targets of equal keys. The one
+    within ``tol`` of the target, or the two neighbouring places with the target between their values, nearest
+    to ``start`` (default: the lowest) are taken. Then every bracket that is still open is cut, all in one join
+    a round, at ``parts - 1`` even places and where the secant meets the target, so a bracket shrinks to a
+    ``parts``-th or less and the number of rounds is bounded.
 
-    Each round interpolates all open queries at once: ``moving += slope * (target - value)``.
-    Finished rows leave the loop; rows still open after ``max_rounds`` are returned with
-    ``converged`` false.
+    Adds ``moving``, ``value``, ``status`` and ``rounds``. Interpolation by nearest points jumps where the set
+    of points changes, so a row need not have a solution: ``converged`` is within ``tol``; ``jump`` is a bracket
+    cut down to a billionth of the extent, the values on both sides farther than ``tol`` from the target;
+    ``outside`` are targets that no two neighbouring places have between them, and rows with a null in a key or target.
     """
-    open_rows = cut_lineage(queries.withColumn(moving, F.lit(float(start))))
-    done = None
-    for n in range(max_rounds):
-        got = idw_join(open_rows, index, list(index.keys), [value, slope], k=index.k, p=p)
-        got = cut_lineage(got.withColumn("_err", F.col(target) - F.col(value)))
-        flat = F.abs(F.col("_err")) <= tol
-        last = n == max_rounds - 1
-        ready = (got if last else got.where(flat)).select(
-            *queries.columns, moving, value, flat.alias("converged"), F.lit(n + 1).alias("rounds"))
-        done = ready if done is None else done.unionByName(ready)
-        if last:
-            break
-        open_rows = (got.where(~flat).withColumn(moving, F.col(moving) + F.col(slope) * F.col("_err"))
-                     .drop(value, slope, "_err"))
-        if open_rows.limit(1).count() == 0:
-            break
-    return done
+    others = [c for c in index.keys if c != moving]
+    at = index.keys.index(moving)
+    lo, extent = index.lo[at], index.width[at]
+    start = lo if start is None else float(start)
+    need = queries.select(*others, target).distinct()
+    row = [*others, target]
+
+    def interpolated(rows: DataFrame) -> DataFrame:
+        return idw_join(rows, index, list(index.keys), [value], k=index.k, p=p)
+
+    def judged(rows: DataFrame, number: int) -> DataFrame:
+        """``_at``: places and values in order. Where the target is met, or the next bracket."""
+        rows = rows.withColumn("_at", F.array_sort(F.transform("_at", lambda q: F.struct(
+            q[moving].alias("h"), q[value].alias("v"), (q[value] - F.col(target)).alias("e")))))
+        away = lambda h: F.abs(h - F.lit(start))
+        met = F.transform(F.filter("_at", lambda q: F.abs(q["e"]) <= tol), lambda q: F.struct(away(q["h"]).alias("d"), q["h"].alias("h"), q["v"].alias("v")))
+        pair = F.zip_with(F.slice("_at", 1, F.size("_at") - 1), F.slice("_at", 2, F.size("_at")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        cross = F.filter(pair, lambda q: q["a"]["e"] * q["b"]["e"] < 0)
+        next_ = F.transform(cross, lambda q: F.struct(away((q["a"]["h"] + q["b"]["h"]) / 2).alias("d"), q["a"].alias("a"), q["b"].alias("b")))
+        rows = rows.withColumns({"_met": F.array_min(met), "_next": F.array_min(next_)})
+        status = (F.when(F.col("_met").isNotNull(), "converged").when(F.col("_next").isNull(), "outside")
+                  .when(F.col("_next.b.h") - F.col("_next.a.h") <= F.lit(extent * 1e-9), "jump"))
+        return rows.select(*row, F.coalesce("_met.h", "_next.a.h").alias(moving), F.coalesce("_met.v", "_next.a.v").alias(value), status.alias("status"),
+                           F.lit(number).alias("rounds"), F.col("_next.a").alias("_a"), F.col("_next.b").alias("_b"))
+
+    ladder = F.explode(F.array_distinct(F.array(*[F.lit(lo + extent * j / probes) for j in range(probes + 1)], F.lit(start))))
+    places = need.select(*others).distinct() if others else need.limit(1)
+    first = interpolated(places.select(*others, ladder.alias(moving))).groupBy(*others).agg(F.collect_list(F.struct(moving, value)).alias("_at"))
+    state = need.join(first, others) if others else need.withColumn("_at", first.scalar())
+    state, number = cut_lineage(judged(state, 0)), 0
+    done = [state.where("status IS NOT NULL")]
+    while not (open_ := state.where("status IS NULL")).isEmpty():
+        number += 1
+        a, b = F.col("_a"), F.col("_b")
+        cuts = [a["h"] + (b["h"] - a["h"]) * F.lit(j / parts) for j in range(1, parts)]
+        cuts.append(a["h"] - a["e"] * ((b["h"] - a["h"]) / (b["e"] - a["e"])))
+        asked = open_.select(*row, F.explode(F.array_distinct(F.array(*cuts))).alias(moving))
+        got = interpolated(asked).groupBy(*row).agg(F.collect_list(F.struct(moving, value)).alias("_in"))
+        ends = F.array(*[F.struct(e["h"].alias(moving), e["v"].alias(value)) for e in (a, b)])
+        state = open_.join(got, row).withColumn("_at", F.concat("_in", ends))
+        state = cut_lineage(judged(state, number))
+        done.append(state.where("status IS NOT NULL"))
+    found = reduce(lambda x, y: x.unionByName(y), done).drop("_a", "_b")
+    return queries.join(found, row, "left").withColumns({"status": F.coalesce("status", F.lit("outside")), "rounds": F.coalesce("rounds", F.lit(0))})

@@ -51,14 +51,70 @@ def test_idw_values(spark):
             assert got.v.iloc[i] == pytest.approx(want, rel=1e-9)
 
 
-def test_inverse_lookup_converges(spark):
+def test_curve_visits_neighbours(spark):
+    for d, bits in ((1, 6), (2, 4), (3, 3)):
+        cells = np.array(np.meshgrid(*[np.arange(1 << bits)] * d)).reshape(d, -1)
+        at = K._curve(list(cells), bits)
+        assert sorted(at) == list(range(1 << bits * d))
+        path = cells[:, np.argsort(at)]
+        assert (np.abs(np.diff(path, axis=1)).sum(0) == 1).all()  # one step at a time
+
+
+def test_index_of_several_levels_and_joins(spark, monkeypatch):
+    monkeypatch.setattr(K, "FAN", 3)
+    monkeypatch.setattr(K, "PART_ROWS", 150)
+    monkeypatch.setattr(K, "GROUP", 7)
+    ref = clustered(700, 2, 6)
+    r = spark.createDataFrame(pd.DataFrame(ref, columns=["a", "b"]).assign(id=[f"p{i:04d}" for i in range(len(ref))]))
+    r = r.unionByName(spark.createDataFrame([(None, 0.1, "n"), (float("nan"), 0.1, "nan"), (0.2, float("inf"), "inf")], "a double, b double, id string"))
+    index = K.build_index(r, ["a", "b"], "id", 3, leaf=8)
+    assert index.depth > 2 and len(index.roots) > 2 and index.rows == len(np.unique(ref, axis=0)) + 2
+    for seed in (1, 2):  # the same index serves several joins
+        q = clustered(90, 2, seed)
+        asked = spark.createDataFrame([*map(tuple, q.tolist()), (None, 1.0)], "a double, b double")
+        got = K.knn_join(asked, index, "id").toPandas()
+        assert len(got) == 3 * len(np.unique(q, axis=0))
+        for p in np.unique(q, axis=0):
+            dist = np.sqrt(((ref - p) ** 2).sum(1))
+            want = np.lexsort((np.arange(len(ref)), dist))[:3]
+            mine = got[(got.a == p[0]) & (got.b == p[1])].sort_values("rank")
+            assert np.allclose(mine.distance, dist[want], atol=1e-12) and (np.diff(np.sort(dist)[:4]) < 1e-12).any() | (list(mine.id) == [f"p{i:04d}" for i in want])
+
+
+def test_few_points_and_none(spark):
+    q = spark.createDataFrame([(0.5, 1.0), (0.1, 2.0)], "a double, b double")
+    two = spark.createDataFrame([(0.0, 0.0, 1), (1.0, 1.0, 2)], "a double, b double, id int")
+    assert K.knn_join(q, K.build_index(two, ["a", "b"], "id", 5)).count() == 4
+    empty = K.build_index(two.where("false"), ["a", "b"], "id", 5)
+    assert K.knn_join(q, empty).count() == 0
+    assert K.knn_join(q.where("false"), K.build_index(two, ["a", "b"], "id", 5)).count() == 0
+
+
+def test_inverse_lookup(spark):
+    rng = np.random.default_rng(3)
     g = np.linspace(0, 1, 30)
-    x, y = (a.ravel() for a in np.meshgrid(g, g))
-    r = spark.createDataFrame(pd.DataFrame({"h": x, "z": y, "t": 1000 * x + 50 * y, "slope": 1e-3, "id": range(len(x))}))
-    q = spark.createDataFrame([(1, 0.31, 400.0), (2, 0.77, 655.0)], "n int, z double, want double")
+    x, z = (a.ravel() for a in np.meshgrid(g, g))
+    r = spark.createDataFrame(pd.DataFrame({"h": x, "z": z, "t": 1000 * x + 50 * z, "id": range(len(x))}))
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.random(40), rng.uniform(60, 990, 40)))]
+    rows += [(100, 0.5, -400.0), (101, 0.5, 4000.0), (102, None, 3.0), (103, 0.5, None), (104, rows[0][1], rows[0][2])]
+    q = spark.createDataFrame(rows, "n int, z double, want double")
     index = K.build_index(r, ["h", "z"], "id", 4)
-    got = K.inverse_lookup(q, index, "h", "want", "t", "slope", start=0.5, tol=10.0, max_rounds=8).toPandas()
-    assert len(got) == 2 and got.converged.all() and (abs(got.t - got.want) <= 10.0).all()
+    got = K.inverse_lookup(q, index, "h", "want", "t", start=0.5).toPandas().set_index("n")
+    assert len(got) == 45 and set(got.status[got.index >= 100]) == {"outside", got.status[0]}
+    inner = got[got.index < 100]
+    assert set(inner.status) <= {"converged", "jump"}
+    ok = inner[inner.status == "converged"]
+    assert len(ok) > 5 and (abs(ok.t - ok.want) <= 1e-2).all()
+    again = K.idw_join(spark.createDataFrame(ok.reset_index()[["h", "z", "want"]]), index, ["h", "z"], ["t"], k=4).toPandas()
+    assert (abs(again.t - again.want) <= 1e-2).all()
+    # a jump has the target between the values on both of its sides
+    jumps = inner[inner.status == "jump"].reset_index()
+    if len(jumps):
+        sides = [K.idw_join(spark.createDataFrame(jumps.assign(h=jumps.h + s)[["n", "h", "z", "want"]]), index, ["h", "z"], ["t"], k=4).toPandas().sort_values("n") for s in (0, 1.01e-9)]
+        assert ((sides[0].t.to_numpy() - sides[0].want.to_numpy()) * (sides[1].t.to_numpy() - sides[1].want.to_numpy()) < 0).all()
+    line = spark.createDataFrame([(float(v), 3.0 * v, i) for i, v in enumerate(range(20))], "h double, t double, id int")
+    one = K.inverse_lookup(spark.createDataFrame([(7.3,), (55.0,)], "want double"), K.build_index(line, ["h"], "id", 2), "h", "want", "t").toPandas()
+    assert list(one.status) == ["converged"] * 2
 
 
 def test_convex_hull(spark):
