@@ -119,6 +119,7 @@ class ByteEncoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         import base64
+        import re
 
         import numpy as np
         import regex
@@ -133,7 +134,7 @@ class ByteEncoder:
         self.longest = self.table.longest
         self.bytes_of = dict(zip(self.ranks.values(), keys))
         self.pattern, self.cut = pattern, regex.compile(pattern)
-        self.unsure = _unassigned()
+        self.beyond, self.unsure = re.compile("[\u0378-\U0010ffff]"), _unassigned()  # all characters below are assigned
         self.stand_in: dict[int, int] = {}
         self.known: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -145,9 +146,10 @@ class ByteEncoder:
         pattern's own tables and none by the library's, or the other way round. The library is asked for the
         class of each, and an assigned character of that class stands in while the text is cut.
         """
-        if not self.unsure.search(text):
+        odd = self.unsure.findall("".join(set(text))) if self.beyond.search(text) else []
+        if not odd:
             return self.cut.findall(text)
-        for c in set(self.unsure.findall(text)):
+        for c in odd:
             if ord(c) not in self.stand_in:
                 self.stand_in[ord(c)] = ord(self.like(c))
         spans = [m.span() for m in self.cut.finditer(text.translate(self.stand_in))]
@@ -170,24 +172,22 @@ class ByteEncoder:
         n, get, longest = len(raw), self.ranks.get, self.longest
         end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it belongs to another
         prev = list(range(-1, n))
-        heap = [(r, a) for a in range(n - 1) if (r := get(raw[a:a + 2])) is not None]
+        heap = [(r, a, a + 2) for a in range(n - 1) if (r := get(raw[a:a + 2])) is not None]
         heapify(heap)
         while heap:
-            r, a = heappop(heap)
+            _, a, c = heappop(heap)
             b = end[a]
-            if not b or b == n:
-                continue
-            c = end[b]
-            if get(raw[a:c]) != r:  # a neighbour was merged meanwhile
+            if not b or b == n or end[b] != c:  # a neighbour was merged meanwhile
                 continue
             end[a], end[b] = c, 0
             if c < n:
                 prev[c] = a
-                if end[c] - a <= longest and (s := get(raw[a:end[c]])) is not None:
-                    heappush(heap, (s, a))
+                d = end[c]
+                if d - a <= longest and (s := get(raw[a:d])) is not None:
+                    heappush(heap, (s, a, d))
             p = prev[a]
             if p >= 0 and c - p <= longest and (s := get(raw[p:c])) is not None:
-                heappush(heap, (s, p))
+                heappush(heap, (s, p, c))
         ids, a = [], 0
         while a < n:
             ids.append(get(raw[a:end[a]]))
@@ -221,48 +221,32 @@ class ByteEncoder:
         split = list(map(self.split, texts))
         words = list(chain.from_iterable(split))
         new = [w for w in dict.fromkeys(words) if w not in known]
+        held, room = len(known), KNOWN - len(known)
+        # those that will be remembered first
+        short = [w for w in new if len(w) <= KNOWN_CHARS][:room]
+        if len(short) < len(new):
+            others = set(short)
+            new = short + [w for w in new if w not in others]
         ids, ends = self.learn(new)
-        flat, all_ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, ends + len(self.flat)])
-        own = dict(zip(new, range(len(known), len(known) + len(new))))
-        look = {**known, **own} if len(own) > len(known) else _Both(known, own)
-        order = np.fromiter(map(look.__getitem__, words), np.int64, len(words))
-        starts = np.concatenate([[0], all_ends[:-1]]) if len(all_ends) else all_ends
-        lengths = (all_ends - starts)[order]
+        flat, ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, ends + len(self.flat)])
+        known.update(zip(new, range(held, held + len(new))))
+        order = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in new[len(short):]:
+            del known[w]
+        if short:
+            self.ends = ends[:held + len(short)].copy()
+            self.flat = flat[:self.ends[-1]].copy()
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        lengths = (ends - starts)[order]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         last = np.cumsum([len(ws) for ws in split]).astype(np.int64)
         counts = upto[last] - upto[np.concatenate([[0], last[:-1]])] if len(texts) else last
-        out = flat[_ranges(np, starts[order], lengths)]
-        self.remember(new, ids, ends)
-        return out, counts
-
-    def remember(self, words: list[str], ids, ends) -> None:
-        np = self.np
-        room = KNOWN - len(self.known)
-        short = [i for i, w in enumerate(words) if len(w) <= KNOWN_CHARS][:max(room, 0)]
-        if not short:
-            return
-        lengths = np.diff(ends, prepend=0)[short]
-        flat = ids[_ranges(np, ends[short] - lengths, lengths)]
-        self.known.update(zip([words[i] for i in short], range(len(self.known), len(self.known) + len(short))))
-        self.ends = np.concatenate([self.ends, np.cumsum(lengths) + len(self.flat)])
-        self.flat = np.concatenate([self.flat, flat])
+        return flat[_ranges(np, starts[order], lengths)], counts
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Both(dict):
-    """The entries of two dictionaries, the second looked at only for what the first lacks."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __getitem__(self, key):
-        value = self.first.get(key)
-        return dict.__getitem__(self, key) if value is None else value
-
-
 def _unassigned():
     """A pattern of the characters without a class in the interpreter's Unicode tables."""
     import re
