@@ -32,11 +32,11 @@ from tessera.llm.registry import query, table
 from tessera.llm.tokens import _ranges, slices
 from tessera.runtime import cut_lineage
 
-SLICE_BYTES = 4 << 20  # text whose words are held at once
-HELD_WORDS = 200_000  # distinct words a task counts before it hands them on
-SHARD_CHARS = 1 << 19  # code points of the words in one index, on average
-GROUP = 1 << 13  # words that may share a key
-ASKED = 1 << 12  # words searched for at once
+SLICE_BYTES = 1 << 20  # text whose words are held at once
+HELD_WORDS = 60_000  # distinct words a task counts before it hands them on
+SHARD_CHARS = 1 << 17  # code points of the words in one index, on average
+GROUP = 1 << 12  # words that may share a key
+ASKED = 1 << 11  # words searched for at once
 END, GAP = 0, 1  # symbols of the text's end and of the delimiter; the others are code points in order
 
 
@@ -304,7 +304,7 @@ def spelling_forms(counted: DataFrame, ratio: int = 5, shard_chars: int = SHARD_
     """
     if ratio <= 1:
         raise ValueError("a form has to be more frequent than the word, or forms could run in circles")
-    counted = counted.select("word", "n")
+    counted = cut_lineage(counted.select("word", "n"))  # read by several joins
     pairs = near_words(counted, "word", shard_chars, group)
     other = counted.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     best = pairs.join(other, "near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("near_n"), F.col("near"))).alias("best"))
