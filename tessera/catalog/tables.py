@@ -160,13 +160,12 @@ def _weights_bound(spark, d):
 
 @query("lookup_table")
 def _lookup(spark, d):
-    """Tuned interpolation of the parts on refined levels over the price-size plane."""
+    """Parts interpolated, with tuned neighbours, on graded meshes of four levels over the price-size plane; probe and cell sizes are the defaults."""
     pt = table(spark, d, "part").select("p_partkey", F.expr("p_retailprice").alias("pv"), F.expr("p_size * 1e0").alias("h"),
                                         F.expr("(p_partkey % 97) / 97e0").alias("z"), F.expr("p_retailprice * p_size").alias("src"))
     pt = SP.split_exact(pt, SP.integer_hash(["p_partkey"], 4), ["p_partkey"], 0.8, 0.1)
-    index, p, _ = tune_and_index(pt, ["pv", "h", "z"], "src", ["src"], "p_partkey", 8, (1, 2))
+    index, p, _ = tune_and_index(pt, ["pv", "h", "z"], "src", ["src"], "p_partkey")
     levels = pt.groupBy(F.floor(F.col("z") * 4).cast("int").alias("level")).agg(F.avg("z").alias("z"))
     one, zero = F.lit(1.0), F.lit(0.0)
     levels = levels.withColumns({"x_u": zero, "x_b": one, "yu_lo": F.lit(0.3), "yu_hi": one, "yb_lo": zero, "yb_hi": F.lit(0.7)})
-    nodes, _ = lookup_levels(index, p, levels, "src", ["src"], 20, 0.2, 0.05, 0.05, 10)
-    return nodes
+    return lookup_levels(index, p, levels, "src", ["src"]).nodes

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,21 +115,44 @@ def refinement_points(grid: DataFrame, level: str, i: str, j: str, value: str, x
     return flagged.select(level, F.col(x).alias("x"), F.col(y).alias("y")).unionByName(edges)
 
 
+GROUP_ROWS = 500_000  # points that meet the outline of their level in one task
+
+
 def inside_hull(points: DataFrame, hull: DataFrame, level: str, x: str = "x", y: str = "y") -> DataFrame:
     """Points on or inside the convex hull of their level.
 
-    ``hull`` lists vertices ``(level, seq, x, y)`` counter-clockwise. The edges of a level are packed
-    into one array per level, so a point meets its hull once.
+    ``hull`` lists vertices ``(level, seq, x, y)`` counter-clockwise. A point looks up the lower and the upper edge
+    at its ``x`` by binary search. The points of a level are dealt to as many groups as their number asks for, and
+    every group gets the vertices of its level.
     """
-    w = Window.partitionBy(level).orderBy("seq")
-    first = Window.partitionBy(level)
-    edges = hull.select(
-        level, F.col("x").alias("ax"), F.col("y").alias("ay"),
-        F.coalesce(F.lead("x").over(w), F.min_by("x", "seq").over(first)).alias("bx"),
-        F.coalesce(F.lead("y").over(w), F.min_by("y", "seq").over(first)).alias("by"))
-    packed = edges.groupBy(level).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_edges"))
-    cross = lambda e: ((e["bx"] - e["ax"]) * (F.col(y) - e["ay"]) - (e["by"] - e["ay"]) * (F.col(x) - e["ax"]))
-    return points.join(packed, level).where(F.forall("_edges", lambda e: cross(e) >= -1e-12)).drop("_edges")
+    groups = -(-points.count() // GROUP_ROWS) or 1
+    names = points.columns
+    dealt = points.withColumn("_group", F.pmod(F.xxhash64(x, y), F.lit(groups)).cast("int"))
+    corners = hull.select(level, "seq", F.col("x").cast("double").alias("_hx"), F.col("y").cast("double").alias("_hy"),
+                          F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+
+    def keep(rows: pa.Table, ring: pa.Table) -> pa.Table:
+        import numpy as np
+
+        ring = ring.sort_by("seq")
+        hx, hy = ring["_hx"].to_numpy(), ring["_hy"].to_numpy()
+        px, py = (rows[c].cast(pa.float64()).to_numpy() for c in (x, y))
+        inside = np.zeros(len(px), bool)
+        if len(hx):
+            inside = (px >= hx.min()) & (px <= hx.max())
+            nx, ny = np.roll(hx, -1), np.roll(hy, -1)
+            for ahead in (nx > hx, nx < hx):  # lower chain left to right, upper chain right to left
+                ax, ay, bx, by = hx[ahead], hy[ahead], nx[ahead], ny[ahead]
+                if not len(ax):  # one vertex, or all above each other
+                    inside &= (py >= hy.min()) & (py <= hy.max())
+                    continue
+                order = np.argsort(np.minimum(ax, bx))
+                at = order[np.clip(np.searchsorted(np.minimum(ax, bx)[order], px, side="right") - 1, 0, len(order) - 1)]
+                inside &= (bx[at] - ax[at]) * (py - ay[at]) - (by[at] - ay[at]) * (px - ax[at]) >= -1e-12
+        return rows.select(names).filter(pa.array(inside))
+
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return dealt.groupBy(level, "_group").cogroup(corners.groupBy(level, "_group")).applyInArrow(keep, ", ".join(f"`{c}` {types[c]}" for c in names))
 
 
 def refined_nodes(levels: DataFrame, points: DataFrame, level: str, base: float, fine: float,
@@ -201,6 +225,11 @@ def level_counts(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, level:
         for w in ("nodes", "triangles", "hull_points")])
 
 
+def level_averages(counts: DataFrame) -> DataFrame:
+    """Whole averages of the counts over all levels, in one row."""
+    return counts.agg(*[F.floor(F.avg(c)).cast("long").alias(c) for c in ("nodes", "triangles", "hull_points")])
+
+
 JITTER_SHARE = 0.05  # disc radius as a share of each range (fixed value)
 
 

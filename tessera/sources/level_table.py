@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.grid import level_counts
 
-# first line, version and number formats of the text form (fixed values)
+# first line, version and number formats of the text form; so are the section titles below (fixed values)
 TITLE = "Dragon library"
 VERSION = "1.1.0"
 NUMBER_FORMAT = "%+.14e"
@@ -22,6 +25,17 @@ def write_level_table(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, p
         df.write.mode("overwrite").partitionBy(level).parquet(f"{path}/{name}")
 
 
+def _numbers(form: str, columns: Sequence[Column]) -> Column:
+    """Numbers with tabs between, rounded from their exact binary values as C's printf does."""
+    line = "\t".join([form] * len(columns))
+
+    @F.pandas_udf("string")
+    def text(*values: pd.Series) -> pd.Series:
+        return pd.Series([line % row for row in zip(*[v.to_numpy(dtype=float) for v in values])], dtype=object)
+
+    return text(*[c.cast("double") for c in columns])
+
+
 def _section(n: int, df: DataFrame, level: str, order: str, line) -> DataFrame:
     """Text rows of one data section with a sort position ``(part, level, seq, order)``."""
     body = df.select(F.lit(n).alias("part"), F.col(level).cast("long").alias("lv"), F.lit(1).alias("seq"),
@@ -54,14 +68,14 @@ def level_table_text(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, le
                          F.lit(0).cast("long").alias("ord"), value.alias("value"))
 
     definition = "+".join(WEIGHT_FORMAT % (w, s) for s, w in weights.items())
-    tab = F.concat_ws("\t", *[F.format_string(NUMBER_FORMAT, F.col(f"`{v}`").cast("double")) for v in variables])
+    tab = _numbers(NUMBER_FORMAT, [F.col(f"`{v}`") for v in variables])
     cells = F.concat_ws("\t", *[(F.col(c) + 1).cast("string") for c in ("a", "b", "c")])
     pieces = [
         fixed(0, [title, "", "<Header>", "", "[Version]", version, "", "[Progress variable definition]", definition, "",
                   "[Number of table levels]"]),
         n_levels.select(F.lit(1).alias("part"), F.lit(-1).cast("long").alias("lv"), F.lit(0).alias("seq"),
                         F.lit(0).cast("long").alias("ord"), F.col("n").cast("string").alias("value")),
-        fixed(2, ["", "[Table levels]"]), per_level(3, levels, F.format_string(LEVEL_FORMAT, F.col("level_value"))),
+        fixed(2, ["", "[Table levels]"]), per_level(3, levels, _numbers(LEVEL_FORMAT, [F.col("level_value")])),
         fixed(4, ["", "[Number of points]"]), per_level(5, counts, F.col("nodes").cast("string")),
         fixed(6, ["", "[Number of triangles]"]), per_level(7, counts, F.col("triangles").cast("string")),
         fixed(8, ["", "[Number of hull points]"]), per_level(9, counts, F.col("hull_points").cast("string")),
@@ -80,8 +94,77 @@ def level_table_text(nodes: DataFrame, triangles: DataFrame, hull: DataFrame, le
     return out
 
 
-def write_level_text(lines: DataFrame, path: str, parts: int = 200) -> None:
-    """Write the lines as ordered part files; read in name order they are the whole document."""
+LINES_PER_FILE = 250_000
+
+
+def write_level_text(lines: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE) -> None:
+    """Write the lines as ordered part files, as many as their number asks for; read in name order they are the whole document."""
     order = ["part", "lv", "seq", "ord"]
+    parts = -(-lines.count() // lines_per_file) or 1
     (lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value")
      .write.mode("overwrite").text(path))
+
+
+@dataclass(frozen=True)
+class LevelTable:
+    """A table that was read: ``levels (level, level_value)``, ``nodes (level, node, <variables>)``, ``triangles (level, tri, a, b, c)``, ``hull (level, seq, node)``."""
+
+    levels: DataFrame
+    nodes: DataFrame
+    triangles: DataFrame
+    hull: DataFrame
+    variables: list[str]
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the title above them (``section``, ``mark``), the level, and their number below the title.
+
+    Every part file is read by one task, which numbers its lines since the last title. What stands above the first
+    title of a file was begun in a file before: that is settled among the titles, of which a level has six.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "run", "mark", "n", "line"]
+        for b in batches:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                run, mark, n, rows = 0, None, 0, [(0, None, -1, "")]
+                for line in text.splitlines():
+                    if line[:1] in "<[" and line:
+                        run, mark, n = run + 1, line, 0
+                        rows.append((run, mark, -1, ""))
+                    elif line:
+                        rows.append((run, mark, n, line))
+                        n += 1
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()),
+                                                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names)
+
+    lines = files.mapInArrow(number, "file string, run int, mark string, n long, line string")
+    runs = lines.groupBy("file", "run").agg(F.max("mark").alias("mark"), F.sum(F.when(F.col("n") >= 0, 1).otherwise(0)).alias("held"))
+    w = Window.orderBy("file", "run")
+    runs = runs.withColumns({"no": F.count("mark").over(w), "mark": F.last("mark", ignorenulls=True).over(w),
+                             "section": F.last(F.when(F.col("mark").rlike("^</?(Header|Data|Connectivity|Hull)>"), F.col("mark")), ignorenulls=True).over(w),
+                             "opened": F.sum(F.when(F.col("mark") == "<Level>", 1).otherwise(0)).over(w)})
+    before = Window.partitionBy("no").orderBy("file", "run").rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy("section")
+    runs = runs.withColumns({"skip": F.coalesce(F.sum("held").over(before), F.lit(0)),
+                             "level": (F.col("opened") - F.min(F.when(F.col("mark") == "<Level>", F.col("opened"))).over(first)).cast("int")})
+    return lines.where("n >= 0").drop("mark").join(runs.drop("held", "no", "opened"), ["file", "run"]).withColumn("n", F.col("n") + F.col("skip"))
+
+
+def read_level_text(spark: SparkSession, path: str) -> LevelTable:
+    """Read the text form back. Ids are from 0 again."""
+    lines = _numbered_lines(spark, path)
+    names = lines.where("mark = '[Variable names]'").select("n", F.regexp_extract("line", r"^\d+:(.*)$", 1).alias("v")).collect()
+    variables = [r["v"] for r in sorted(names)]
+    levels = lines.where("mark = '[Table levels]'").select(F.col("n").cast("int").alias("level"), F.col("line").cast("double").alias("level_value"))
+    cells = F.split("line", "\t")
+
+    def body(section: str) -> DataFrame:
+        return lines.where((F.col("section") == section) & (F.col("mark") == "<Level>"))
+
+    nodes = body("<Data>").select("level", F.col("n").alias("node"), *[cells[i].cast("double").alias(v) for i, v in enumerate(variables)])
+    tris = body("<Connectivity>").select("level", F.col("n").alias("tri"), *[(cells[i].cast("long") - 1).alias(c) for i, c in enumerate("abc")])
+    hull = body("<Hull>").select("level", F.col("n").alias("seq"), (F.col("line").cast("long") - 1).alias("node"))
+    return LevelTable(levels, nodes, tris, hull, variables)

@@ -11,9 +11,10 @@ import __spark_entry__ as entry
 from tessera.functions.mixture import diffusion_terms, weighted_sum
 from tessera.operators import search
 from tessera.plans import weight_search
-from tessera.plans.lookup_table import lookup_levels, tune_and_index
+from tessera.plans.lookup_table import lookup_levels, lookup_text, tune_and_index
 from tessera.plans.manifold_table import TableSpec, boundary_table, concatenate
 from tessera.plans.weight_search import optimise_weights
+from tessera.sources.level_table import read_level_text, write_level_text
 from tessera.sources.profiles import read_profiles
 from tests.conftest import SF, SPECIES, header
 
@@ -82,7 +83,7 @@ def test_weight_search(spark, profile_tree):
     assert sum(w * change[s] for s, w in zip(pca.species, pca.weights)) == pytest.approx(1.0)
 
 
-def test_lookup_levels(spark):
+def test_lookup_levels(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
     pdf = pd.DataFrame(x, columns=["pv", "h", "z"]).assign(id=range(3000), split=np.where(np.arange(3000) % 10 == 0, "test", "train"))
@@ -91,11 +92,20 @@ def test_lookup_levels(spark):
     assert 1 <= index.k <= 6 and p in (1, 2) and set(params) == {"pv", "h", "z"}
     levels = spark.createDataFrame([(i, z, 0.0, 1.0, 0.3, 1.0, 0.0, 0.7) for i, z in enumerate((0.3, 0.6))],
                                    "level int, z double, x_u double, x_b double, yu_lo double, yu_hi double, yb_lo double, yb_hi double")
-    nodes, hull = lookup_levels(index, p, levels, "src", ["src"], n=12, base=0.2, fine=0.05, radius=0.05, edge_nodes=5)
-    got = nodes.toPandas()
-    assert set(got.level) == {0, 1} and hull.groupBy("level").count().count() == 2
+    table = lookup_levels(index, p, levels, "src", ["src"], n=12, base=0.2, fine=0.05, radius=0.05, edge_nodes=5)
+    got = table.nodes.toPandas()
+    assert set(got.level) == {0, 1} and table.hull.groupBy("level").count().count() == 2
     assert got.src.between(pdf.src.min(), pdf.src.max()).all() and (got.k1 >= 0.3 - 0.3 * got.k0 - 1e-9).all()
     assert not got.duplicated(["level", "k0", "k1"]).any()
+    lines = lookup_text(table, params, ["pv", "h", "z"], ["src"], {"H2": -1.0})
+    write_level_text(lines, str(tmp_path / "table"))
+    back = read_level_text(spark, str(tmp_path / "table"))
+    assert back.variables == ["pv", "h", "z", "src"]
+    mine = back.nodes.toPandas().sort_values(["level", "node"])
+    want = got.sort_values(["level", "node"])
+    assert np.allclose(mine.src, want.src, rtol=1e-12) and np.allclose(mine.pv, want.k0 * params["pv"][1] + params["pv"][0])
+    assert sorted(map(tuple, back.triangles.collect())) == sorted(map(tuple, table.triangles.select("level", "tri", "a", "b", "c").collect()))
+    assert sorted(map(tuple, back.hull.collect())) == sorted(map(tuple, table.outline.select("level", "seq", "node").collect()))
 
 
 @pytest.mark.parametrize("name,module", [("evolve_weights", search), ("optimise_weights_penalty", weight_search),

@@ -11,7 +11,7 @@ from tessera.operators.grid import lattice_triangles
 from tessera.operators.resample import resample
 from tessera.operators.sequence import arc_length, drop_degenerate
 from tessera.sources.export import export_projection
-from tessera.sources.level_table import level_table_text, write_level_table, write_level_text
+from tessera.sources.level_table import level_table_text, read_level_text, write_level_table, write_level_text
 from tessera.sources.profiles import profile_schema, read_profiles, require_columns
 from tessera.sources.splits import read_splits, write_splits
 from tessera.sources.trial_reports import append_history, read_trial_reports
@@ -70,7 +70,7 @@ def test_level_table(spark, tmp_path):
     hull = nodes.where("node in (0, 2, 3, 5)").select("level", F.col("node").alias("seq"), "node")
     levels = spark.createDataFrame([(0, 0.25), (1, 0.75)], "level int, level_value double")
     text = level_table_text(nodes, tri, hull, levels, ["x", "v"], {"H2": -0.5, "O2": 1.0})
-    write_level_text(text, str(tmp_path / "text"), parts=3)
+    write_level_text(text, str(tmp_path / "text"), lines_per_file=20)
     parts = sorted(p for p in os.listdir(tmp_path / "text") if p.startswith("part"))
     lines = "".join(pathlib.Path(tmp_path / "text" / p).read_text() for p in parts).split("\n")
     at = lines.index
@@ -82,6 +82,15 @@ def test_level_table(spark, tmp_path):
     assert lines[at("[Progress variable definition]") + 1] == "-5.0000e-01 * H2++1.0000e+00 * O2"
     assert lines[at("<Data>") + 1] == "<Level>" and lines[at("<Data>") + 3] == "+5.00000000000000e-01\t-1.25000000000000e+00"
     assert lines[at("<Hull>"):at("</Hull>") + 1] == ["<Hull>", *(["<Level>", "1", "3", "4", "6", "</Level>"] * 2), "</Hull>"]
+    assert len(parts) > 2
+    for k, folder in enumerate(("text", "whole")):  # sections begin in one file and go on in the next
+        if k:
+            write_level_text(text, str(tmp_path / folder))
+        back = read_level_text(spark, str(tmp_path / folder))
+        assert back.variables == ["x", "v"] and sorted(map(tuple, back.levels.collect())) == [(0, 0.25), (1, 0.75)]
+        assert sorted(map(tuple, back.nodes.collect())) == [(v, n, n * 0.5, n * -1.25) for v in (0, 1) for n in range(6)]
+        assert sorted(r[2:] for r in back.triangles.collect()) == sorted(tuple(r) for r in tri.select("a", "b", "c").collect())
+        assert sorted(map(tuple, back.hull.collect())) == [(v, i, n) for v in (0, 1) for i, n in enumerate((0, 2, 3, 5))]
     write_level_table(nodes, tri, hull, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables" / "triangles")).count() == 8
 
