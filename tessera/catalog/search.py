@@ -59,10 +59,11 @@ def _monotonic(spark, d):
 
 @query("evolve_weights")
 def _evolve(spark, d):
-    rows = cut_lineage(_inc(spark, d))
+    packed = SE.PackedIncrements(_inc(spark, d), _COLS, "y")
     bounds = SE.weight_bounds(["ya", "yb", "yc"], reactants=["ya"], product="yc")
-    w, penalty = SE.evolve_weights(rows, _COLS, "y", bounds)
-    w, penalty = SE.refine_weights(rows, _COLS, "y", w, bounds)
+    w, penalty = SE.evolve_weights(packed, _COLS, "y", bounds)
+    w, penalty = SE.refine_weights(packed, _COLS, "y", w, bounds)
+    packed.release()
     return spark.createDataFrame([(c, float(v), penalty) for c, v in zip(_COLS, w)], "column string, weight double, penalty double")
 
 

@@ -11,9 +11,59 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import cut_lineage
+
+
+CHUNK = 256  # rows scored at once: with all candidates they fit in a core's cache
+
+
+class _Fold:
+    """Partial scores of all candidates over some rows."""
+
+    def __init__(self, pop: np.ndarray, bound_gene: bool):
+        w = pop[:, 1:] if bound_gene else pop
+        self.w = (w / np.linalg.norm(w, axis=1, keepdims=True)).T
+        self.gene = pop[:, 0] if bound_gene else None
+        n = len(pop)
+        # worst, bad, low, short
+        self.parts = np.stack([np.zeros(n), np.zeros(n), np.full(n, np.inf), np.zeros(n)])
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        worst, bad, low, short = self.parts
+        for start in range(0, len(x), CHUNK):
+            ys = y[start:start + CHUNK, None]
+            t = x[start:start + CHUNK] @ self.w
+            least = t.min(axis=0)
+            np.minimum(low, least, out=low)
+            if self.gene is not None:
+                a = t - ys * self.gene
+                short -= np.minimum(a, 0.0, out=a).sum(axis=0)
+                continue
+            with np.errstate(divide="ignore", invalid="ignore"):
+                f = np.divide(ys, t, out=t if least.min() > 0 else None)
+            top, bottom = f.max(axis=0), f.min(axis=0)
+            if not (np.isfinite(top).all() and np.isfinite(bottom).all()):  # increments of zero have no slope
+                f = np.where(np.isfinite(f), f, 0.0)
+                top, bottom = f.max(axis=0), f.min(axis=0)
+            np.maximum(worst, np.maximum(top, -bottom), out=worst)
+            if least.min() < 0:
+                if ys.min() < 0:
+                    f = np.where(t < 0, f, 0.0)
+                else:  # the slope has the sign of the increment
+                    np.minimum(f, 0.0, out=f)
+                bad += np.einsum("ij,ij->j", f, f)
+
+    def merge(self, other: np.ndarray) -> None:
+        worst, bad, low, short = self.parts
+        np.maximum(worst, other[0], out=worst)
+        bad += other[1]
+        np.minimum(low, other[2], out=low)
+        short += other[3]
+
 
 def candidate_scores(increments: DataFrame, cols: Sequence[str], y: str,
                      candidates: Sequence[Sequence[float]], bound_gene: bool = False) -> DataFrame:
@@ -27,44 +77,93 @@ def candidate_scores(increments: DataFrame, cols: Sequence[str], y: str,
     of the shortfalls of t - x0 y.
     """
     pop = np.asarray(candidates, dtype=float)
-    gene = pop[:, 0] if bound_gene else None
-    w = pop[:, 1:] if bound_gene else pop
-    w = w / np.linalg.norm(w, axis=1, keepdims=True)
     names = list(cols)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = len(w)
-        worst, bad, low, short = np.zeros(n), np.zeros(n), np.full(n, np.inf), np.zeros(n)
-        seen = False
+        fold, seen = _Fold(pop, bound_gene), False
         for pdf in batches:
-            x, yy = pdf[names].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
-            for start in range(0, len(x), 4096):
-                xs, ys = x[start:start + 4096], yy[start:start + 4096]
-                seen = True
-                t = xs @ w.T
-                low = np.minimum(low, t.min(axis=0))
-                if gene is not None:
-                    a = t - ys[:, None] * gene[None, :]
-                    short += np.where(a < 0, -a, 0.0).sum(axis=0)
-                else:
-                    f = np.divide(ys[:, None], t, out=np.zeros_like(t), where=t != 0)
-                    worst = np.maximum(worst, np.abs(f).max(axis=0))
-                    bad += np.where(t < 0, f * f, 0.0).sum(axis=0)
+            seen = seen or len(pdf) > 0
+            fold.add(pdf[names].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float))
         if seen:
-            yield pd.DataFrame({"candidate": np.arange(n), "worst": worst, "bad": bad, "low": low, "short": short})
+            yield pd.DataFrame({"candidate": np.arange(len(pop)), **dict(zip(("worst", "bad", "low", "short"), fold.parts))})
 
     rows = increments.select(*names, F.col(y).alias("_y")).dropna()
     parts = rows.mapInPandas(partial, "candidate long, worst double, bad double, low double, short double")
     got = parts.groupBy("candidate").agg(F.max("worst").alias("worst"), F.sum("bad").alias("violation"),
                                          F.min("low").alias("lowest"), F.sum("short").alias("_short"))
     if bound_gene:
-        x0 = F.element_at(F.array(*[F.lit(float(g)) for g in gene]), (F.col("candidate") + 1).cast("int"))
+        x0 = F.element_at(F.array(*[F.lit(float(g)) for g in pop[:, 0]]), (F.col("candidate") + 1).cast("int"))
         penalty = F.lit(1.0) / x0 + F.col("_short") * F.col("_short")
     else:
         penalty = F.col("worst") + F.col("violation")
     return got.select("candidate", penalty.alias("penalty"), "worst", "violation", "lowest")
 
 
+FEW_TASKS = 256  # partial results that the driver merges itself
+
+
+class PackedIncrements:
+    """Increments as blocks of numbers, one binary value per batch of rows, kept for the rounds of a search.
+
+    A round reads the blocks in place and returns one partial result per task, a few numbers per candidate; of
+    more than FEW_TASKS tasks the partial results are merged on the executors first.
+    """
+
+    def __init__(self, increments: DataFrame, cols: Sequence[str], y: str):
+        names = [*cols, "_y"]
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    block = np.stack([c.to_numpy(zero_copy_only=False).astype("<f8") for c in b.columns], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+
+        rows = increments.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias("_y")).dropna()
+        self.width = len(names)
+        self.blocks = cut_lineage(rows.mapInArrow(pack, "block binary")).persist()
+        self.tasks = self.blocks.select(F.spark_partition_id().alias("task")).distinct().count()  # also fills the cache
+
+    def penalties(self, pop: np.ndarray, bound_gene: bool = False) -> np.ndarray:
+        """The penalty of every candidate; infinite where it has none."""
+        pop, width = np.asarray(pop, dtype=float), self.width
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fold, seen = _Fold(pop, bound_gene), False
+            for b in batches:
+                for block in b.column(0):
+                    rows = np.frombuffer(block.as_buffer(), "<f8").reshape(-1, width)
+                    fold.add(rows[:, :-1], rows[:, -1])
+                    seen = True
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([fold.parts.tobytes()], pa.binary())], ["part"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fold, seen = _Fold(pop, bound_gene), False
+            for b in batches:
+                for part in b.column(0):
+                    fold.merge(np.frombuffer(part.as_buffer()).reshape(4, -1))
+                    seen = True
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([fold.parts.tobytes()], pa.binary())], ["part"])
+
+        parts = self.blocks.mapInArrow(partial, "part binary")
+        if self.tasks > FEW_TASKS:
+            parts = parts.repartition(FEW_TASKS).mapInArrow(merge, "part binary")
+        whole = _Fold(pop, bound_gene)
+        found = parts.collect()
+        for r in found:  # one row per task, FEW_TASKS at most
+            whole.merge(np.frombuffer(bytes(r["part"])).reshape(4, -1))
+        if not found:
+            return np.full(len(pop), np.inf)
+        worst, bad, _, short = whole.parts
+        with np.errstate(divide="ignore", over="ignore"):
+            out = 1.0 / pop[:, 0] + short * short if bound_gene else worst + bad
+        return np.where(np.isfinite(out), out, np.inf)
+
+    def release(self) -> None:
+        self.blocks.unpersist()
+
+
 def monotonic_check(increments: DataFrame, cols: Sequence[str], weights: Sequence[float]) -> DataFrame:
     """Smallest weighted increment and whether it is positive."""
     w = np.asarray(weights, dtype=float)
@@ -89,21 +188,12 @@ def weight_bounds(species: Sequence[str], reactants: Sequence[str] = (), product
     return [bounds[s] for s in species]
 
 
-def _penalties(increments: DataFrame, cols: Sequence[str], y: str, pop: np.ndarray, bound_gene: bool) -> np.ndarray:
-    rows = candidate_scores(increments, cols, y, pop, bound_gene).select("candidate", "penalty").collect()
-    out = np.full(len(pop), np.inf)
-    for r in rows:  # one row per candidate
-        if r["penalty"] is not None and np.isfinite(r["penalty"]):
-            out[r["candidate"]] = r["penalty"]
-    return out
-
-
 RoundHook = Callable[[int, float, np.ndarray], None]
 
 SEARCH_TOLERANCE = 1e-3  # spread of the penalties at which the search stops (fixed value)
 
 
-def evolve_weights(increments: DataFrame, cols: Sequence[str], y: str, bounds: Sequence[tuple[float, float]],
+def evolve_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str], y: str, bounds: Sequence[tuple[float, float]],
                    popsize: int | None = None, generations: int | None = None, seed: int = 1,
                    crossover: float = 0.7, bound_gene: bool = False,
                    on_round: RoundHook | None = None) -> tuple[np.ndarray, float]:
@@ -111,9 +201,10 @@ def evolve_weights(increments: DataFrame, cols: Sequence[str], y: str, bounds: S
 
     ``popsize`` is the number of candidates per gene (20 per gene and number of genes by default), so a
     generation has popsize * genes candidates; by default there are up to 5 * popsize generations.
-    The driver holds the population; each generation is one Spark job over the increments, which
-    the caller should have persisted or written.
+    The driver holds the population; the increments are packed once (or given as ``PackedIncrements``) and each
+    generation is one Spark job of one stage over their blocks.
     """
+    packed = increments if isinstance(increments, PackedIncrements) else PackedIncrements(increments, cols, y)
     rng = np.random.default_rng(seed)
     lo, hi = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
     n = len(bounds)
@@ -121,7 +212,7 @@ def evolve_weights(increments: DataFrame, cols: Sequence[str], y: str, bounds: S
     popsize = per_gene * n
     generations = generations or 5 * per_gene
     pop = lo + rng.random((popsize, n)) * (hi - lo)
-    score = _penalties(increments, cols, y, pop, bound_gene)
+    score = packed.penalties(pop, bound_gene)
     for g in range(generations):
         best = pop[int(np.argmin(score))]
         pick = np.array([rng.choice(popsize, 2, replace=False) for _ in range(popsize)])
@@ -136,7 +227,7 @@ def evolve_weights(increments: DataFrame, cols: Sequence[str], y: str, bounds: S
             trial[i, genes] = donor[i, genes]
         outside = (trial < lo) | (trial > hi)
         trial = np.where(outside, lo + rng.random(trial.shape) * (hi - lo), trial)
-        trial_score = _penalties(increments, cols, y, trial, bound_gene)
+        trial_score = packed.penalties(trial, bound_gene)
         better = trial_score <= score
         pop[better], score[better] = trial[better], trial_score[better]
         if on_round:
@@ -144,26 +235,31 @@ def evolve_weights(increments: DataFrame, cols: Sequence[str], y: str, bounds: S
         finite = score[np.isfinite(score)]
         if len(finite) == popsize and finite.std() <= SEARCH_TOLERANCE * abs(finite.mean()):
             break
+    if packed is not increments:
+        packed.release()
     i = int(np.argmin(score))
     return pop[i], float(score[i])
 
 
-def refine_weights(increments: DataFrame, cols: Sequence[str], y: str, start: Sequence[float],
+def refine_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str], y: str, start: Sequence[float],
                    bounds: Sequence[tuple[float, float]], rounds: int = 20, step: float = 0.1,
                    bound_gene: bool = False) -> tuple[np.ndarray, float]:
     """Local pattern search: both directions of every gene are scored in one job per round."""
     lo, hi = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
+    packed = increments if isinstance(increments, PackedIncrements) else PackedIncrements(increments, cols, y)
     x = np.clip(np.asarray(start, dtype=float), lo, hi)
     best = None
     for _ in range(rounds):
         moves = np.concatenate([np.eye(len(x)), -np.eye(len(x))]) * (step * (hi - lo))
         pop = np.concatenate([[x], np.clip(x + moves, lo, hi)])
-        score = _penalties(increments, cols, y, pop, bound_gene)
+        score = packed.penalties(pop, bound_gene)
         i = int(np.argmin(score))
         best = float(score[i])
         if i == 0:
             step /= 2
         x = pop[i]
+    if packed is not increments:
+        packed.release()
     return x, best
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.definition import normalise_weights
 from tessera.operators.filters import columns_by_range, parsed_bounds
-from tessera.operators.search import evolve_weights, monotonic_check, refine_weights, weight_bounds
+from tessera.operators.search import PackedIncrements, evolve_weights, monotonic_check, refine_weights, weight_bounds
 from tessera.operators.sequence import (SeriesKey, delta, having_last, max_step, progress_vector, thin_monotone,
                                         with_ranges)
 from tessera.operators.stats import principal_direction
@@ -82,8 +82,10 @@ def optimise_weights(profiles: DataFrame, key: SeriesKey, reactants: Sequence[st
         gene = method == "bound"
         if gene:
             bounds = [(1e-1, 1e4), *bounds]
-        w, _ = evolve_weights(rows, d_cols, "y", bounds, popsize, generations, seed, bound_gene=gene)
-        w, penalty = refine_weights(rows, d_cols, "y", w, bounds, bound_gene=gene)
+        packed = PackedIncrements(rows, d_cols, "y")
+        w, _ = evolve_weights(packed, d_cols, "y", bounds, popsize, generations, seed, bound_gene=gene)
+        w, penalty = refine_weights(packed, d_cols, "y", w, bounds, bound_gene=gene)
+        packed.release()
         w = w[1:] if gene else w
         w = w / np.linalg.norm(w)
     monotonic = bool(monotonic_check(rows, d_cols, w).first()["monotonic"])
