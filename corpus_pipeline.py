@@ -43,11 +43,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Piece ids of every whole text, and whether they decode to it."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepieces.encode_pieces(docs, path, out="ids")
-    coded = sentencepieces.decode_pieces(coded, path, "ids", "decoded")
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepieces.MARK, " ")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), same.alias("same"), "ids")
+    coded = sentencepieces.encode_checked(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "same", "ids")
 
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("MinHash near-dedup", near_stage),

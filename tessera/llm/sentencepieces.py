@@ -251,6 +251,36 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", out:
     return coded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in names], f"`{out}` string"]))
 
 
+def encode_checked(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "ids", same: str = "same") -> DataFrame:
+    """The piece ids of every whole text instead of the text, and whether they decode to it.
+
+    Encoding and decoding run on the same slice in one worker, so no text is handed on and none is held twice.
+    All other columns and repeated rows stay; columns of the names ``out`` and ``same`` are replaced.
+    """
+    names = [c for c in docs.columns if c not in (text_col, out, same)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(len(names))), 0).to_pylist()
+            for lo, hi in slices(sizes, SLICE_CHARS):
+                part = b.slice(lo, hi - lo)
+                texts = [t or "" for t in part.column(len(names)).to_pylist()]
+                ids, counts = model.encode(texts)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                equal = [model.decode(ids[x:y].tolist()) == t.replace(MARK, " ") for t, x, y in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(equal)], [*names, out, same])
+            give_back()
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return docs.select(*[F.col(f"`{c}`") for c in [*names, text_col]]).mapInArrow(
+        run, ", ".join([*[f"`{c}` {types[c]}" for c in names], f"`{out}` array<int>", f"`{same}` boolean"]))
+
+
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: number and hash of its ids, hash of the text decoded from them, whether it is the input."""
     both = decode_pieces(encode_pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_path), model_path)

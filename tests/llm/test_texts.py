@@ -170,3 +170,15 @@ def test_extraction_columns(spark):
         article = re.split("</article>", source[r["page_id"]].split("<article>")[1])[0]
         parts = [" ".join(h.unescape(re.sub("</?b>|<br>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == " ".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_encode_and_check_in_one_pass(spark):
+    rows = [(1, None, "x", True), (1, "two  words", "y", None), (None, "a\u2581b", "z", False), (2, "", "", None), (3, "long " * 60_000, "w", None)] + [(9, t, "", None) for t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, ids string, same boolean")
+    got = sentencepieces.encode_checked(docs, PIECES)
+    assert got.columns == ["doc_id", "ids", "same"]
+    want = sentencepieces.decode_pieces(sentencepieces.encode_pieces(docs.select("doc_id", "text"), PIECES), PIECES).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["ids"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+    assert {(tuple(r["ids"]), r["same"]) for r in got.collect()} == {(tuple(r["ids"]), r["decoded"] == (r["text"] or "").replace("\u2581", " ")) for r in want}
+    assert sentencepieces.encode_checked(docs.where("false"), PIECES).count() == 0
