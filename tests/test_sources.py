@@ -31,6 +31,25 @@ def test_read_profiles(spark, profile_tree):
     assert a.count() == 0
 
 
+def test_rows_are_numbered_over_the_splits_of_a_file(spark, tmp_path):
+    folder = tmp_path / "freeflame_data" / "phi_1.0"
+    folder.mkdir(parents=True)
+    for name, n in (("a", 5000), ("b", 1), ("c", 700), ("none", 0)):
+        (folder / f"{name}.csv").write_text("n,v\n" + "".join(f"{i},{i * 0.5}\n" for i in range(n)))
+    (tmp_path / "other_data").mkdir()
+    (tmp_path / "other_data" / "x.csv").write_text("not,a,profile\n1,2,3\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for chunk_rows in (10**6, 900):
+            df, key = read_profiles(spark, str(tmp_path), kinds=["freeflame"], chunk_rows=chunk_rows)
+            assert df.where("row_idx != n").isEmpty() and df.count() == 5701 and (key.chunk is None) == (chunk_rows > 5701)
+            if key.chunk:
+                assert df.groupBy("series_id", "chunk").count().agg(F.max("count")).first()[0] == 900
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_ragged_and_foreign_files_fail(spark, tmp_path):
     d = tmp_path / "freeflame_data" / "phi_1.0"
     d.mkdir(parents=True)
