@@ -111,9 +111,10 @@ for _kind, (_o, _s) in _SCALER.items():
 
 
 @query("fit_scaler_robust_narrowed", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", round({_SCALER['robust'][0].format(c=c)}, 6) AS \"offset\", round({_SCALER['robust'][1].format(c=c)}, 6) AS scale FROM lineitem" for c in _NUM[:2]))
+    f"SELECT '{c}' AS \"column\", round({_SCALER['robust'][0].format(c=c)}, 6) AS \"offset\", round({_SCALER['robust'][1].format(c=c)}, 6) AS scale FROM lineitem" for c in _NUM))
 def _scaler_narrowed(spark, d):
-    q = ST.exact_quantiles(table(spark, d, "lineitem"), _NUM[:2], (0.25, 0.5, 0.75), small_rows=200)
+    """All columns by radix selection, which small tables need not."""
+    q = ST.exact_quantiles(table(spark, d, "lineitem"), _NUM, (0.25, 0.5, 0.75), small_rows=200)
     return rounded(ST.scaler_table(spark, {c: (v[1], v[2] - v[0]) for c, v in q.items()}))
 
 

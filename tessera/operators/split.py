@@ -43,9 +43,10 @@ def split_exact(df: DataFrame, hashed: Column, tie: Sequence[str], f_train: floa
                 out: str = "split") -> DataFrame:
     """Assign rows to three parts of exact size: floor(f_train n), floor(f_test n) and the rest.
 
-    ``hashed`` is a hash in [0, 2^32) and, with the ``tie`` columns, identifies a row. The hash space
-    is cut into 2^bits buckets; their counts decide the part of all rows except those in the two
-    buckets that hold a border, and only these are ranked.
+    ``hashed`` is a hash in [0, 2^32) and, with the ``tie`` columns, identifies a row. Ranks are settled from the
+    highest bits of the hash down: the counts of 2^bits buckets decide the part of all rows except those in the two
+    buckets that hold a border; the counts of single hash values decide all of these but the rows of the two values
+    at the borders, and only those are ranked, by the ``tie`` columns.
     """
     buckets = 1 << bits
     base = df.withColumn("_h", hashed).withColumn(
@@ -57,18 +58,28 @@ def split_exact(df: DataFrame, hashed: Column, tie: Sequence[str], f_train: floa
     limits = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(whole))
     n1 = F.floor(F.lit(f_train) * F.col("_total")).cast("long")
     n2 = n1 + F.floor(F.lit(f_test) * F.col("_total")).cast("long")
-    start = F.col("_end") - F.col("_n")
-    part = (F.when(F.col("_end") <= n1, layout[0]).when((start >= n1) & (F.col("_end") <= n2), layout[1])
-            .when(start >= n2, layout[2]))
-    limits = limits.select("_b", part.alias("_part"), start.alias("_start"), n1.alias("_n1"), n2.alias("_n2"))
-    base = base.join(F.broadcast(limits), "_b")
-    clear = base.where("_part is not null").withColumn(out, F.col("_part"))
-    border = base.where("_part is null")
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", *tie)) - 1
-    border = border.withColumn("_rank", rank).withColumn(
-        out, F.when(F.col("_rank") < F.col("_n1"), layout[0]).when(F.col("_rank") < F.col("_n2"), layout[1])
+    limits = limits.select("_b", (F.col("_end") - F.col("_n")).alias("_start"), "_n", n1.alias("_n1"), n2.alias("_n2"))
+
+    def part() -> Column:
+        """The part of all rows with ranks from ``_start`` on, ``_n`` of them; null where a border lies between."""
+        end = F.col("_start") + F.col("_n")
+        return (F.when(end <= F.col("_n1"), layout[0]).when((F.col("_start") >= F.col("_n1")) & (end <= F.col("_n2")), layout[1])
+                .when(F.col("_start") >= F.col("_n2"), layout[2]))
+
+    base = base.join(F.broadcast(limits.withColumn("_part", part())), "_b").drop("_n")
+    clear, border = base.where("_part is not null"), base.where("_part is null").drop("_part")
+    # two buckets of 2^(32 - bits) hash values at most
+    before = Window.partitionBy("_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    values = border.groupBy("_b", "_h").agg(F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"), F.first("_n1").alias("_n1"), F.first("_n2").alias("_n2"))
+    values = values.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_part", part())
+    values = values.select("_b", "_h", "_start", "_part")
+    border = border.drop("_start").join(F.broadcast(values) if bits >= 16 else values, ["_b", "_h"])
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_b", "_h").orderBy(*tie)) - 1
+    tied = border.where("_part is null").withColumn("_rank", rank).withColumn(
+        "_part", F.when(F.col("_rank") < F.col("_n1"), layout[0]).when(F.col("_rank") < F.col("_n2"), layout[1])
         .otherwise(layout[2])).drop("_rank")
-    return clear.unionByName(border).drop("_h", "_b", "_part", "_start", "_n1", "_n2")
+    parts = clear.unionByName(border.where("_part is not null")).unionByName(tied)
+    return parts.withColumn(out, F.col("_part")).drop("_h", "_b", "_part", "_start", "_n1", "_n2")
 
 
 def mini_batches(df: DataFrame, order: Sequence[str | Column], exponent: int, out: str = "batch",

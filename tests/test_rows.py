@@ -26,6 +26,30 @@ def test_exact_quantiles_narrow(spark):
         assert np.allclose(ST.exact_quantiles(df, ["v"], probs, small)["v"], np.quantile(v, probs))
 
 
+def test_quantiles_of_many_columns_by_radix(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = {"a": rng.normal(size=501), "b": -np.exp(rng.normal(size=501) * 90), "c": np.repeat([0.0, -0.0, 5e-324], 167), "d": rng.integers(-3, 3, 501) * 1.0, "e": np.full(501, np.nan)}
+    data["d"][0], data["d"][1] = np.inf, -np.inf
+    df = spark.createDataFrame(pd.DataFrame(data)).withColumn("n", F.lit(None).cast("double"))
+    passes, counted = [], ST._digit_counts
+    monkeypatch.setattr(ST, "_digit_counts", lambda *a: passes.append(a[2]) or counted(*a))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = ST.exact_quantiles(df, [*data, "n"], probs, small_rows=10)
+    assert passes == [0, 1, 2, 3]
+    for c in "abcd":
+        want = df.select(F.percentile(c, F.array(*[F.lit(p) for p in probs]))).first()[0]
+        assert np.array_equal(got[c], want, equal_nan=True)
+    assert np.isnan(got["e"]).all() and np.isnan(got["n"]).all()
+
+
+def test_covariance_of_many_columns(spark):
+    x = np.random.default_rng(4).normal(size=(300, 400)) + 1e6
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(400)])).repartition(3)
+    n, mean, cov = ST.moments(df, df.columns)
+    assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True), atol=1e-9)
+    assert np.isnan(ST.moments(df.where("false"), ["c0", "c1"])[2]).all()
+
+
 def test_fit_scaler_zero_range(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "a double, b double")
     assert ST.fit_scaler(df, ["a", "b"]) == {"a": (1.0, 2.0), "b": (2.0, 1.0)}
