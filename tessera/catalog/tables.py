@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from tessera.plans.weight_search import optimise_weights
 from tessera.runtime import checkpoint_dir
 from tessera.sources.profiles import read_profiles
 from tessera.sources.splits import read_splits, write_splits
+from tessera.sources.trial_reports import read_trial_reports
 from tessera.streaming.profiles import ingest_profiles
 
 _PROFILE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("event_id", "x", "value")])
@@ -67,25 +69,33 @@ def _splits(spark, d):
 _KINDS = ("freeflame", "burnerflame", "equilibrium")
 
 
-def _supplier_profiles(spark, d, chunk_rows: int | None = None):
+def _supplier_profiles(spark, d, chunk_rows: int | None = None, kinds: tuple[str, ...] = _KINDS):
     df, key = line_series(spark, d) if chunk_rows is None else line_series(spark, d, chunk_rows)
-    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("l_suppkey") % len(kinds) + 1).cast("int"))
     return df.withColumns({
         "kind": kind, "folder": F.concat(F.lit("phi_"), (F.col("l_suppkey") % 7).cast("string")),
         "file": F.lpad(F.col("l_suppkey").cast("string"), 9, "0"),
         "Temperature": F.expr("300e0 + l_quantity * 40e0"), "Source": F.expr("l_discount * l_quantity")}), key
 
 
-def _concat_sql(kinds: str, bounded: str) -> str:
+def _concat_sql(kinds: str, bounded: str, every: tuple[str, ...] = _KINDS, table_mode: bool = False) -> str:
+    names = "[" + ", ".join(f"'{k}'" for k in every) + "]"
+    edge = ("300e0 + l_quantity * 40e0 - min(300e0 + l_quantity * 40e0) OVER w < 0.02e0 * (max(300e0 + l_quantity * 40e0) OVER w - min(300e0 + l_quantity * 40e0) OVER w) "
+            "OR max(300e0 + l_quantity * 40e0) OVER w - (300e0 + l_quantity * 40e0) < 0.02e0 * (max(300e0 + l_quantity * 40e0) OVER w - min(300e0 + l_quantity * 40e0) OVER w)"
+            if table_mode else "row_idx = 0 OR row_idx = count(*) OVER w - 1")
+    flames, repeated = "", ""
+    if table_mode:
+        flames = "kind <> 'equilibrium' AND "
+        repeated = f"UNION ALL SELECT series_no, CAST(i AS BIGINT), ya, yb, yc, Temperature, 0e0 FROM ar, range({NODES}) t(i) WHERE kind = 'equilibrium' AND row_idx = 0"
     q = f"CASE WHEN kind = 'equilibrium' THEN i * {1.0 / (NODES - 1)!r} ELSE 0.5e0 - 0.5e0 * cos(i * {math.pi / (NODES - 1)!r}) END"
     nrm = lambda c: f"({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w + 1e-10) AS n_{c}"
     sq = " + ".join(f"(n_{c} - lag(n_{c}) OVER o) * (n_{c} - lag(n_{c}) OVER o)" for c in ("ya", "yb", "yc"))
     interp = ", ".join(f"CASE WHEN s1 IS NULL THEN {c} ELSE {c} + (n1_{c} - {c}) * ((q - s0) / (s1 - s0)) END AS {c}" for c in ("ya", "yb", "yc", "Temperature", "Source"))
     return f"""WITH {LI}, pr AS (SELECT l_suppkey, row_idx, ya, yb, yc, 300e0 + l_quantity * 40e0 AS Temperature,
-  CASE WHEN row_idx = 0 OR row_idx = count(*) OVER (PARTITION BY l_suppkey) - 1 THEN 0e0 ELSE l_discount * l_quantity END AS Source,
-  ['freeflame', 'burnerflame', 'equilibrium'][CAST(l_suppkey % 3 + 1 AS INTEGER)] AS kind, 'phi_' || CAST(l_suppkey % 7 AS VARCHAR) AS folder,
-  lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS file FROM li),
-ch AS (SELECT *, dense_rank() OVER (ORDER BY CASE kind WHEN 'freeflame' THEN 1 WHEN 'burnerflame' THEN 2 ELSE 3 END, folder, file) - 1 AS series_no FROM pr WHERE kind IN ({kinds}) {bounded}),
+  CASE WHEN {edge} THEN 0e0 ELSE l_discount * l_quantity END AS Source,
+  {names}[CAST(l_suppkey % {len(every)} + 1 AS INTEGER)] AS kind, 'phi_' || CAST(l_suppkey % 7 AS VARCHAR) AS folder,
+  lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS file FROM li WINDOW w AS (PARTITION BY l_suppkey)),
+ch AS (SELECT *, dense_rank() OVER (ORDER BY list_position({names}, kind), folder, file) - 1 AS series_no FROM pr WHERE kind IN ({kinds}) {bounded}),
 bu AS (SELECT * FROM ch WHERE l_suppkey IN (SELECT l_suppkey FROM ch GROUP BY l_suppkey HAVING max(Temperature) >= 600)),
 n AS (SELECT *, {nrm('ya')}, {nrm('yb')}, {nrm('yc')} FROM bu WINDOW w AS (PARTITION BY l_suppkey)),
 st AS (SELECT *, coalesce(sqrt({sq}), 0) AS step FROM n WINDOW o AS (PARTITION BY l_suppkey ORDER BY row_idx)),
@@ -93,7 +103,7 @@ cu AS (SELECT *, sum(step) OVER (PARTITION BY l_suppkey ORDER BY row_idx ROWS UN
 ar AS (SELECT *, c / (max(c) OVER (PARTITION BY l_suppkey) + 1e-32) AS s0 FROM cu),
 sg AS (SELECT *, lead(s0) OVER o AS s1, {', '.join(f'lead({c}) OVER o AS n1_{c}' for c in ('ya', 'yb', 'yc', 'Temperature', 'Source'))} FROM ar WINDOW o AS (PARTITION BY l_suppkey ORDER BY row_idx)),
 nd AS (SELECT *, {q} AS q FROM sg, range({NODES}) t(i)),
-rs AS (SELECT series_no, CAST(i AS BIGINT) AS node, {interp} FROM nd WHERE q >= s0 AND (s1 IS NULL OR q < s1)),
+rs AS (SELECT series_no, CAST(i AS BIGINT) AS node, {interp} FROM nd WHERE {flames}q >= s0 AND (s1 IS NULL OR q < s1) {repeated}),
 dd AS (SELECT * FROM rs QUALIFY row_number() OVER (PARTITION BY ya, yb, yc ORDER BY series_no, node) = 1),
 sp AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(['series_no', 'node'], 7)}, series_no, node) - 1 AS rn, count(*) OVER () AS cnt FROM dd)
 SELECT round(ya, 6) AS ya, round(yb, 6) AS yb, round(yc, 6) AS yc, round(Temperature, 4) AS "Temperature", round(Source, 6) AS "Source", series_no, node,
@@ -121,6 +131,53 @@ def _concatenate_chunked(spark, d):
     return _tidy(concatenate(*_supplier_profiles(spark, d, 20_000), _SPEC))
 
 
+_FOUR = (*_KINDS, "counterflame")
+
+
+@query("concatenate_counterflow", _concat_sql(f"{_ALL}, 'counterflame'", f"AND (kind = 'counterflame' OR {_BOUNDED[4:]})", _FOUR))
+def _concatenate_counterflow(spark, d):
+    """With a kind that has no mixture folders, so no bounds."""
+    return _tidy(concatenate(*_supplier_profiles(spark, d, kinds=_FOUR), replace(_SPEC, kinds=_FOUR)))
+
+
+@query("concatenate_table_mode", _concat_sql(_ALL, _BOUNDED, table_mode=True))
+def _concatenate_table_mode(spark, d):
+    """Sources vanish near both ends of the temperature; equilibrium states repeat their first row."""
+    return _tidy(concatenate(*_supplier_profiles(spark, d), replace(_SPEC, table_mode=True)))
+
+
+@query("concatenate_fuzzy")
+def _concatenate_fuzzy(spark, d):
+    """With a kind of which random rows are taken, its bounds in force though those of the others are not."""
+    kinds = ("freeflame", "fuzzy")
+    return _tidy(concatenate(*_supplier_profiles(spark, d, kinds=kinds), replace(_SPEC, kinds=kinds, ignore_bounds=True)))
+
+
+_REPORTS = """r AS (SELECT s_suppkey, s_suppkey % 5 AS worker, s_suppkey AS model, 1 + s_nationkey AS minutes, CASE WHEN s_suppkey % 7 = 0 THEN 'nan' ELSE CAST(s_nationkey / 64e0 AS VARCHAR) END AS score,
+  s_suppkey % 90 AS neurons, s_acctbal AS cost, s_suppkey % 3 AS layers FROM supplier)"""
+
+
+@query("read_trial_reports", f"""WITH {_REPORTS} SELECT CAST(worker AS INTEGER) AS worker, CAST(model AS INTEGER) AS model, minutes * 1e0 AS train_minutes,
+  CASE WHEN score = 'nan' THEN 10e0 ELSE CAST(score AS DOUBLE) END AS score, CAST(neurons AS INTEGER) AS neurons, round(cost * 1e0, 6) AS cost, CAST(layers + 1 AS INTEGER) AS hidden_layers,
+  CAST(neurons * (layers + 1) AS BIGINT) AS width FROM r""")
+def _reports(spark, d):
+    """A report file per supplier, its lines in another order for every other one, written and read back."""
+    r = table(spark, d, "supplier")
+    score = F.when(F.col("s_suppkey") % 7 == 0, "nan").otherwise((F.col("s_nationkey") / F.lit(64.0)).cast("string"))
+    neurons, layers = F.col("s_suppkey") % 90, F.col("s_suppkey") % 3 + 1
+    held = {"Training time[minutes]": (F.col("s_nationkey") + 1).cast("string"), "Validation score": score, "Total neuron count": neurons.cast("string"),
+            "Evaluation cost parameter": F.col("s_acctbal").cast("string"), "Number of hidden layers": layers.cast("string"),
+            "Architecture": F.array_join(F.array_repeat(neurons.cast("string"), layers.cast("int")), " ")}
+    lines = F.array(*[F.concat(F.lit(k + ": "), v) for k, v in held.items()])
+    lines = F.when(F.col("s_suppkey") % 2 == 0, F.reverse(lines)).otherwise(lines)
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    (r.select(F.concat(F.lit("Worker_"), F.col("s_suppkey") % 5).alias("w"), F.concat(F.lit("Model_"), F.col("s_suppkey")).alias("m"), F.array_join(lines, "\n").alias("value"))
+     .repartition("w", "m").write.partitionBy("w", "m").text(path))
+    got = read_trial_reports(spark, f"{path}/w=*/m=*/*.txt")
+    width = F.aggregate("architecture", F.lit(0).cast("long"), lambda a, v: a + v)
+    return got.select("worker", "model", "train_minutes", "score", "neurons", F.round("cost", 6).alias("cost"), "hidden_layers", width.alias("width"))
+
+
 @query("boundary_table", _concat_sql("'equilibrium'", ""))
 def _boundary(spark, d):
     return _tidy(boundary_table(*_supplier_profiles(spark, d), _SPEC))
