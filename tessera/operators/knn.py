@@ -35,7 +35,7 @@ LEAF = 256  # points of a leaf
 GROUP = 256  # queries that go down together
 FAN = 64  # children of a node
 ROOTS = 1024  # range partitions of an index at most, so a literal list can hold their boxes
-PART_ROWS = 1_000_000  # points of a partition unless there are more than ROOTS of them
+PART_ROWS = 100_000  # points of a partition unless there are more than ROOTS of them
 CURVE_BITS = 62  # of a position on the curve, all axes together
 _SLACK = 1.0 + 1e-9  # rounding room when comparing distance bounds
 
