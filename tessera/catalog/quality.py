@@ -50,7 +50,7 @@ def _checked(spark, d):
     df = table(spark, d, "lineitem").select("l_suppkey", day.alias("d")).distinct()
     df, key = index_rows(df, "l_suppkey", ["d"])
     x = F.col("d") * F.lit(1.0)
-    df = df.select("l_suppkey", "row_idx", x.alias("x"), (x * F.col("d")).alias("v"), (F.lit(2.0) * F.col("d") + (F.col("l_suppkey") % 3) * F.lit(0.001)).alias("slope"),
+    df = df.select(*key.part, "row_idx", x.alias("x"), (x * F.col("d")).alias("v"), (F.lit(2.0) * F.col("d") + (F.col("l_suppkey") % 3) * F.lit(0.001)).alias("slope"),
                    (x * 2).alias("reference"))
     return Q.finite_difference_check(df, key, "x", "v", "slope", "reference")
 
