@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 from tessera.runtime import cut_lineage
 
 
+FEW_POINTS = 64  # a level with no more points in a batch is passed on as it is
+
+
+def _distinct(points: np.ndarray) -> np.ndarray:
+    """Distinct points by x, then y."""
+    pts = points[np.lexsort((points[:, 1], points[:, 0]))]
+    return pts[np.r_[True, (pts[1:] != pts[:-1]).any(axis=1)]] if len(pts) else pts
+
+
 def _chain(points: np.ndarray) -> np.ndarray:
     """Hull vertices counter-clockwise from the lowest x (monotone chain)."""
-    pts = np.unique(points, axis=0)
+    pts = _distinct(points)
     if len(pts) < 3:
         return pts
     halves = []
-    for seq in (pts, pts[::-1]):
-        half: list[np.ndarray] = []
+    rows = pts.tolist()  # plain numbers: a step on array rows costs ten times as much
+    for seq in (rows, rows[::-1]):
+        half: list[list[float]] = []
         for p in seq:
             while len(half) > 1 and ((half[-1][0] - half[-2][0]) * (p[1] - half[-2][1])
                                      - (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0])) <= 0:
@@ -48,8 +58,9 @@ def _extremes(points: np.ndarray, directions: int = 64) -> np.ndarray:
 def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 200_000) -> DataFrame:
     """Vertices ``(level, seq, x, y)`` of the hull of each level, counter-clockwise.
 
-    The hull of a union is the hull of the hulls: every batch is reduced where it lies. Levels whose
-    survivors still exceed ``group_points`` are reduced again in parts before a level meets in one task.
+    The hull of a union is the hull of the hulls: every batch is reduced where it lies, apart from levels of
+    few points in it, which take longer to reduce than to send. Levels whose survivors still exceed
+    ``group_points`` are reduced again in parts before a level meets in one task.
     """
     level_type = df.schema[level].dataType.simpleString()
     flat = f"level {level_type}, x double, y double"
@@ -58,13 +69,16 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
         lv, xy = pdf["level"].to_numpy(), pdf[["x", "y"]].to_numpy(dtype=float)
         order = np.argsort(lv, kind="stable")
         lv, xy = lv[order], xy[order]
-        starts = np.flatnonzero(np.r_[True, lv[1:] != lv[:-1]]) if len(lv) else []
-        kept = [(lv[a], _chain(_extremes(part))) for a, part in zip(starts, np.split(xy, starts[1:]))]
-        if not kept:
+        starts = np.flatnonzero(np.r_[True, lv[1:] != lv[:-1]]) if len(lv) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(lv))
+        many = np.flatnonzero(ends - starts > FEW_POINTS)
+        if not len(many):
             return pdf[["level", "x", "y"]]
-        pts = np.concatenate([p for _, p in kept])
-        return pd.DataFrame({"level": np.repeat([v for v, _ in kept], [len(p) for _, p in kept]),
-                             "x": pts[:, 0], "y": pts[:, 1]})
+        few = np.repeat(ends - starts <= FEW_POINTS, ends - starts)
+        kept = [(starts[i], _chain(_extremes(xy[starts[i]:ends[i]]))) for i in many]
+        pts = np.concatenate([xy[few], *[p for _, p in kept]])
+        whose = np.repeat([a for a, _ in kept], [len(p) for _, p in kept])
+        return pd.DataFrame({"level": np.concatenate([lv[few], lv[whose]]), "x": pts[:, 0], "y": pts[:, 1]})
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,12 +92,16 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
     rows = df.select(F.col(level).alias("level"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     left = cut_lineage(rows.mapInPandas(partial, flat))
     while True:
-        most = left.groupBy("level").count().agg(F.max("count")).first()[0] or 0
+        sizes = left.groupBy("level").count()
+        most = sizes.agg(F.max("count")).first()[0] or 0
         if most <= group_points:
             break
         parts = -(-most // (group_points // 2))
-        salted = left.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
-        smaller = cut_lineage(salted.groupBy("level", "part").applyInPandas(reduce_levels, flat))
+        large = sizes.where(F.col("count") > group_points).select("level")
+        mine = F.col("level").eqNullSafe(large["level"])
+        salted = left.join(large, mine, "left_semi").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
+        reduced = salted.groupBy("level", "part").applyInPandas(reduce_levels, flat)
+        smaller = cut_lineage(reduced.unionByName(left.join(large, mine, "left_anti")))
         again = smaller.groupBy("level").count().agg(F.max("count")).first()[0]
         left = smaller
         if again > 0.9 * most:  # nearly all points are hull vertices: the answer itself is that large
