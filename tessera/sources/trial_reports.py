@@ -25,8 +25,12 @@ REPORT_KEYS = {
 
 
 def read_trial_reports(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per report: worker and model from the path, the keys by name; a NaN score becomes 10."""
-    lines = spark.read.text(glob).select(
+    """One row per report: worker and model from the path, the keys by name; a NaN score becomes 10.
+
+    Folders that ``glob`` names are read with all that lies below them. A pattern is resolved on the driver,
+    what is in the folders is listed by tasks, so of many reports name the folders above them.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(glob).select(
         F.col("_metadata.file_path").alias("path"),
         F.trim(F.split_part("value", F.lit(":"), F.lit(1))).alias("k"),
         F.trim(F.expr("substring(value, instr(value, ':') + 1)")).alias("v"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.catalog import quality, tables, views
 from tessera.operators import sequence as S
+from tessera.operators.hull import convex_hull
+from tessera.sources.trial_reports import read_trial_reports
 from tests.conftest import SF
 
 
@@ -43,3 +45,41 @@ def test_weights_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(tables, "line_series", partial(views.line_series, chunk_rows=2000))
     got = entry.queries()["optimise_weights"](spark, SF).toPandas()
     pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
+def test_reports_of_a_folder(spark, tmp_path):
+    """Folders may be named instead of every report below them."""
+    for worker, model in ((0, 1), (0, 2), (3, 1)):
+        folder = tmp_path / f"w=Worker_{worker}" / f"m=Model_{model}"
+        folder.mkdir(parents=True)
+        (folder / "report.txt").write_text(f"Validation score: {worker + model / 8}\nArchitecture: 4 {model}\n")
+    want = {(0, 1, 0.125), (0, 2, 0.25), (3, 1, 3.125)}
+    for glob in ("w=*", "w=*/m=*/*.txt"):
+        got = read_trial_reports(spark, f"{tmp_path}/{glob}").collect()
+        assert {(r.worker, r.model, r.score) for r in got} == want and len(got) == 3
+
+
+def test_hull_of_levels_thin_and_crowded(spark):
+    """Levels with a few points in a batch are passed on, only crowded ones are cut: each ends as its own hull."""
+    rng = np.random.default_rng(8)
+    own = pd.DataFrame({"level": np.r_[np.zeros(2000, int), np.repeat(np.arange(1, 301), 6)], "x": rng.integers(0, 9, 3800) * 1.0,
+                        "y": rng.integers(0, 9, 3800) * 1.0}).sample(frac=1, random_state=2)
+    got = convex_hull(spark.createDataFrame(own), "level", "x", "y", group_points=70).toPandas()
+    for level, g in own.groupby("level"):
+        ring = got[got.level == level].sort_values("seq")[["x", "y"]].to_numpy()
+        pts = np.unique(g[["x", "y"]].to_numpy(), axis=0)
+        assert {tuple(p) for p in ring} <= {tuple(p) for p in pts} and len({tuple(p) for p in ring}) == len(ring)
+        if len(ring) > 2:
+            for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+                assert ((b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0]) >= 0).all()
+
+
+def test_reports_are_written_by_many_tasks(spark, monkeypatch):
+    """A table of small bytes and many files is not written by one task."""
+    monkeypatch.setattr(tables, "_TASK_FILES", 2)
+    written = []
+    monkeypatch.setattr(tables, "read_trial_reports", lambda s, glob: (written.append(glob), read_trial_reports(s, glob))[1])
+    got = entry.queries()["read_trial_reports"](spark, SF)
+    files = spark.read.option("recursiveFileLookup", True).text(written[0]).select("_metadata.file_name").distinct().collect()
+    assert got.count() == views.table(spark, SF, "supplier").count()
+    assert len({f.file_name.split("-")[1] for f in files}) > 1  # the number of the task that wrote it
