@@ -97,8 +97,8 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
         if most <= group_points:
             break
         parts = -(-most // (group_points // 2))
-        large = sizes.where(F.col("count") > group_points).select("level")
-        mine = F.col("level").eqNullSafe(large["level"])
+        large = sizes.where(F.col("count") > group_points).select(F.col("level").alias("_level"))
+        mine = F.col("level").eqNullSafe(F.col("_level"))
         salted = left.join(large, mine, "left_semi").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
         reduced = salted.groupBy("level", "part").applyInPandas(reduce_levels, flat)
         smaller = cut_lineage(reduced.unionByName(left.join(large, mine, "left_anti")))
