@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.knn import _curve
 from tessera.runtime import cut_lineage
 
 
 CHUNK = 256  # rows scored at once: with all candidates they fit in a core's cache
+CHUNK_CELLS = 48_000  # rows times candidates scored at once if there are few candidates
 
 
 class _Fold:
@@ -34,9 +36,10 @@ class _Fold:
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         worst, bad, low, short = self.parts
-        for start in range(0, len(x), CHUNK):
-            ys = y[start:start + CHUNK, None]
-            t = x[start:start + CHUNK] @ self.w
+        size = max(CHUNK, CHUNK_CELLS // max(1, self.w.shape[1]))
+        for start in range(0, len(x), size):
+            ys = y[start:start + size, None]
+            t = x[start:start + size] @ self.w
             least = t.min(axis=0)
             np.minimum(low, least, out=low)
             if self.gene is not None:
@@ -57,6 +60,16 @@ class _Fold:
                     np.minimum(f, 0.0, out=f)
                 bad += np.einsum("ij,ij->j", f, f)
 
+    def add_some(self, x: np.ndarray, y: np.ndarray, some: np.ndarray) -> None:
+        """Add the rows for some of the candidates only, given by a mask."""
+        if some.all():
+            return self.add(x, y)
+        part = object.__new__(_Fold)
+        part.w, part.gene = self.w[:, some], None if self.gene is None else self.gene[some]
+        part.parts = self.parts[:, some]
+        part.add(x, y)
+        self.parts[:, some] = part.parts
+
     def merge(self, other: np.ndarray) -> None:
         worst, bad, low, short = self.parts
         np.maximum(worst, other[0], out=worst)
@@ -100,10 +113,31 @@ def candidate_scores(increments: DataFrame, cols: Sequence[str], y: str,
 
 
 FEW_TASKS = 256  # partial results that the driver merges itself
+BLOCK_ROWS = 1024  # rows of a block at most
+TASK_ROWS = 2_000_000  # rows of a task, unless that leaves cores without one
+CURVE_AXES = 12  # columns that place a row on the curve; further ones only widen the boxes
+CLOSE = 3.0  # a plane nearer to a block's middle than so many times the reach of its box cuts the block
+_ROOM = 1e-9  # rounding room of bounds
+
+
+def _head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What bounds the penalties of a block: whether it is ``odd``, its row count, the mean of u = x/y, the middle and
+    half width of the box of u, and the sums of x and y. A block with a row without a direction is odd."""
+    with np.errstate(all="ignore"):
+        u = x / y[:, None]
+    if not (np.isfinite(u).all() and (y > 0).all()):
+        return np.concatenate([[1.0, len(x)], np.zeros(4 * x.shape[1] + 1)])
+    lo, hi = u.min(axis=0), u.max(axis=0)
+    return np.concatenate([[0.0, len(x)], u.mean(axis=0), (lo + hi) / 2, (hi - lo) / 2, x.sum(axis=0), [y.sum()]])
 
 
 class PackedIncrements:
-    """Increments as blocks of numbers, one binary value per batch of rows, kept for the rounds of a search.
+    """Increments as blocks of numbers, one binary value per block of rows, kept for the rounds of a search.
+
+    Blocks hold rows of like direction: the rows are sorted along a Hilbert curve through their directions. A row's slope
+    depends on its direction alone, so the blocks far from a candidate's plane give close bounds of the penalty
+    from one line of sums each, and only the few others are gone through row by row (``bounds``). A search asks for
+    ``penalties``, which take every row, where bounds leave a decision open.
 
     A round reads the blocks in place and returns one partial result per task, a few numbers per candidate; of
     more than FEW_TASKS tasks the partial results are merged on the executors first.
@@ -111,28 +145,54 @@ class PackedIncrements:
 
     def __init__(self, increments: DataFrame, cols: Sequence[str], y: str):
         names = [*cols, "_y"]
+        self.width = len(names)
+        axes = min(len(cols), CURVE_AXES)
+        bits = min(62 // axes, 16)
+
+        def matrix(b: pa.RecordBatch) -> np.ndarray:
+            return np.stack([c.to_numpy(zero_copy_only=False).astype("<f8") for c in b.columns[:len(names)]], axis=1)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = 0
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                m = matrix(b)
+                with np.errstate(all="ignore"):
+                    v = m[:, :-1] / np.linalg.norm(m[:, :-1], axis=1, keepdims=True)
+                    usual = np.isfinite(v).all(axis=1) & (m[:, -1] > 0) & np.isfinite(m / m[:, -1:]).all(axis=1)
+                cells = np.where(usual[:, None], (v + 1) / 2, 0.0)[:, :axes] * float(1 << bits)
+                at = _curve([np.clip(c, 0, (1 << bits) - 1).astype(np.int64) for c in cells.T], bits)
+                tie = np.arange(seen, seen + len(m))  # rows of equal direction may go to several tasks
+                seen += len(m)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(usual, at, -1)), pa.array(tie)], [*names, "_at", "_tie"])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    block = np.stack([c.to_numpy(zero_copy_only=False).astype("<f8") for c in b.columns], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+                    parts = np.array_split(matrix(b), -(-b.num_rows // BLOCK_ROWS))
+                    heads = [_head(p[:, :-1], p[:, -1]).tobytes() for p in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], ["head", "block"])
 
         rows = increments.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias("_y")).dropna()
-        self.width = len(names)
-        self.blocks = cut_lineage(rows.mapInArrow(pack, "block binary")).persist()
+        schema = ", ".join([*[f"`{c}` double" for c in names], "_at long, _tie long"])
+        rows = cut_lineage(rows.mapInArrow(place, schema))
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        tasks = cores * max(1, -(-rows.count() // (cores * TASK_ROWS)))
+        rows = rows.repartitionByRange(tasks, "_at", "_tie").sortWithinPartitions("_at").select(*names)
+        self.blocks = cut_lineage(rows.mapInArrow(pack, "head binary, block binary")).persist()
         self.tasks = self.blocks.select(F.spark_partition_id().alias("task")).distinct().count()  # also fills the cache
 
-    def penalties(self, pop: np.ndarray, bound_gene: bool = False) -> np.ndarray:
-        """The penalty of every candidate; infinite where it has none."""
-        pop, width = np.asarray(pop, dtype=float), self.width
+    def _folded(self, pop: np.ndarray, bound_gene: bool, add: Callable[[_Fold, np.ndarray, list[np.ndarray]], None]) -> _Fold | None:
+        """What ``add`` makes of the blocks, merged; it is given a fold, the heads and the blocks of a batch."""
+        width = self.width
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fold, seen = _Fold(pop, bound_gene), False
             for b in batches:
-                for block in b.column(0):
-                    rows = np.frombuffer(block.as_buffer(), "<f8").reshape(-1, width)
-                    fold.add(rows[:, :-1], rows[:, -1])
+                if b.num_rows:
+                    heads = np.stack([np.frombuffer(h.as_buffer(), "<f8") for h in b.column(0)])
+                    add(fold, heads, [np.frombuffer(r.as_buffer(), "<f8").reshape(-1, width) for r in b.column(1)])
                     seen = True
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([fold.parts.tobytes()], pa.binary())], ["part"])
@@ -153,13 +213,72 @@ class PackedIncrements:
         found = parts.collect()
         for r in found:  # one row per task, FEW_TASKS at most
             whole.merge(np.frombuffer(bytes(r["part"])).reshape(4, -1))
-        if not found:
+        return whole if found else None
+
+    def bounds(self, pop: np.ndarray, bound_gene: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """What the penalty of every candidate is at least and at most."""
+        pop = np.asarray(pop, dtype=float)
+        n = len(pop)
+
+        def add(fold: _Fold, heads: np.ndarray, blocks: list[np.ndarray]) -> None:
+            # columns: blocks gone through, then the least and the most of the others, for all candidates each
+            w = fold.w[:, :n]
+            rows, mean, mid, half, x, y = np.split(heads[:, 1:], np.cumsum([1, *[len(w)] * 4]), axis=1)
+            worst, bad, _, short = (part[n:].reshape(2, n) for part in fold.parts)
+            with np.errstate(all="ignore"):
+                centre, reach = mid @ w, (half @ np.abs(w)) * (1 + _ROOM) + 1e-12 * (np.abs(mid) @ np.abs(w))
+                if fold.gene is not None:
+                    gene = fold.gene[:n]
+                    centre, reach = centre - gene, reach + 1e-12 * np.abs(gene)
+                    far = (heads[:, :1] == 0) & (np.abs(centre) > reach)
+                    short += np.where(far & (centre < 0), np.maximum(y * gene - x @ w, 0.0), 0.0).sum(axis=0)
+                else:
+                    far = (heads[:, :1] == 0) & (np.abs(centre) > CLOSE * reach)
+                    behind = far & (centre < 0)
+                    near, ends = np.abs(centre) - reach, 2 * reach
+                    ahead = np.clip(np.abs(mean @ w) - near, 0.0, ends)  # of the mean, 1/t^2 being convex
+                    low = rows / (near + ahead) ** 2
+                    share = np.where(ends > 0, ahead / ends, 0.0)
+                    high = rows * ((1 - share) / near ** 2 + share / (near + ends) ** 2)
+                    for i, (slope, square) in enumerate(((1 / (near + ahead), low), (1 / near, high))):
+                        np.maximum(worst[i], np.where(far, slope, 0.0).max(axis=0), out=worst[i])
+                        bad[i] += np.where(behind, square, 0.0).sum(axis=0)
+            none = np.zeros(2 * n, bool)
+            for i in np.flatnonzero(~far.all(axis=1)):
+                fold.add_some(blocks[i][:, :-1], blocks[i][:, -1], np.concatenate([~far[i], none]))
+
+        whole = self._folded(np.tile(pop, (3, 1)), bound_gene, add)
+        if whole is None:
+            return np.full(n, np.inf), np.full(n, np.inf)
+        ends = []
+        for i, room in ((1, 1 - _ROOM), (2, 1 + _ROOM)):
+            fold = _Fold(pop, bound_gene)
+            for part in (whole.parts[:, :n], whole.parts[:, i * n:(i + 1) * n]):
+                fold.merge(part)
+            end = self._penalty(pop, fold, bound_gene) * room
+            ends.append(np.where(np.isfinite(end), end, np.inf))
+        return ends[0], ends[1]
+
+    def penalties(self, pop: np.ndarray, bound_gene: bool = False) -> np.ndarray:
+        """The penalty of every candidate from all rows; infinite where it has none."""
+        pop = np.asarray(pop, dtype=float)
+
+        def add(fold: _Fold, heads: np.ndarray, blocks: list[np.ndarray]) -> None:
+            for block in blocks:
+                fold.add(block[:, :-1], block[:, -1])
+
+        whole = self._folded(pop, bound_gene, add)
+        if whole is None:
             return np.full(len(pop), np.inf)
-        worst, bad, _, short = whole.parts
-        with np.errstate(divide="ignore", over="ignore"):
-            out = 1.0 / pop[:, 0] + short * short if bound_gene else worst + bad
+        out = self._penalty(pop, whole, bound_gene)
         return np.where(np.isfinite(out), out, np.inf)
 
+    @staticmethod
+    def _penalty(pop: np.ndarray, fold: _Fold, bound_gene: bool) -> np.ndarray:
+        worst, bad, _, short = fold.parts
+        with np.errstate(divide="ignore", over="ignore"):
+            return 1.0 / pop[:, 0] + short * short if bound_gene else worst + bad
+
     def release(self) -> None:
         self.blocks.unpersist()
 
@@ -188,6 +307,46 @@ def weight_bounds(species: Sequence[str], reactants: Sequence[str] = (), product
     return [bounds[s] for s in species]
 
 
+class _Scored:
+    """Candidates and the bounds of their penalties, which become the penalties themselves where ``settle`` is asked to."""
+
+    def __init__(self, packed: PackedIncrements, pop: np.ndarray, bound_gene: bool):
+        self.packed, self.pop, self.gene = packed, pop, bound_gene
+        self.low, self.high = packed.bounds(pop, bound_gene)
+        self.known = np.zeros(len(pop), bool)
+
+    def settle(self, some: np.ndarray) -> None:
+        some = np.flatnonzero(some & ~self.known)
+        if len(some):
+            self.low[some] = self.high[some] = self.packed.penalties(self.pop[some], self.gene)
+            self.known[some] = True
+
+    def best(self) -> int:
+        while not self.known[rivals := self.low <= self.high.min()].all():
+            self.settle(rivals)
+        return int(np.argmin(self.high))
+
+    def take(self, other: _Scored) -> None:
+        """Replace each candidate by that of ``other`` if its penalty is no larger."""
+        doubt = (other.low <= self.high) & ~(other.high <= self.low)
+        other.settle(doubt)
+        doubt &= (other.low <= self.high) & ~(other.high <= self.low)
+        self.settle(doubt)
+        better = other.high <= self.low
+        for mine, new in ((self.pop, other.pop), (self.low, other.low), (self.high, other.high), (self.known, other.known)):
+            mine[better] = new[better]
+
+    def alike(self) -> bool:
+        """Whether the penalties are finite and spread no more than the tolerance."""
+        if np.isinf(self.low).any():
+            return False
+        middle, room = (self.low + self.high) / 2, (self.high - self.low).max() / 2
+        if np.isfinite(room) and middle.std() - room > SEARCH_TOLERANCE * (abs(middle.mean()) + room):
+            return False
+        self.settle(~self.known)
+        return bool(np.isfinite(self.high).all() and self.high.std() <= SEARCH_TOLERANCE * abs(self.high.mean()))
+
+
 RoundHook = Callable[[int, float, np.ndarray], None]
 
 SEARCH_TOLERANCE = 1e-3  # spread of the penalties at which the search stops (fixed value)
@@ -202,7 +361,8 @@ def evolve_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str]
     ``popsize`` is the number of candidates per gene (20 per gene and number of genes by default), so a
     generation has popsize * genes candidates; by default there are up to 5 * popsize generations.
     The driver holds the population; the increments are packed once (or given as ``PackedIncrements``) and each
-    generation is one Spark job of one stage over their blocks.
+    generation is one Spark job of one stage over their blocks, which bounds the penalties of all trials, and another
+    one for the few that the bounds do not settle.
     """
     packed = increments if isinstance(increments, PackedIncrements) else PackedIncrements(increments, cols, y)
     rng = np.random.default_rng(seed)
@@ -211,10 +371,9 @@ def evolve_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str]
     per_gene = popsize or 20 * n
     popsize = per_gene * n
     generations = generations or 5 * per_gene
-    pop = lo + rng.random((popsize, n)) * (hi - lo)
-    score = packed.penalties(pop, bound_gene)
+    scored = _Scored(packed, lo + rng.random((popsize, n)) * (hi - lo), bound_gene)
     for g in range(generations):
-        best = pop[int(np.argmin(score))]
+        pop, best = scored.pop, scored.pop[scored.best()]
         pick = np.array([rng.choice(popsize, 2, replace=False) for _ in range(popsize)])
         donor = best + rng.uniform(0.5, 1.0) * (pop[pick[:, 0]] - pop[pick[:, 1]])
         trial = pop.copy()
@@ -227,18 +386,16 @@ def evolve_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str]
             trial[i, genes] = donor[i, genes]
         outside = (trial < lo) | (trial > hi)
         trial = np.where(outside, lo + rng.random(trial.shape) * (hi - lo), trial)
-        trial_score = packed.penalties(trial, bound_gene)
-        better = trial_score <= score
-        pop[better], score[better] = trial[better], trial_score[better]
+        scored.take(_Scored(packed, trial, bound_gene))
         if on_round:
-            on_round(g, float(score.min()), pop[int(np.argmin(score))])
-        finite = score[np.isfinite(score)]
-        if len(finite) == popsize and finite.std() <= SEARCH_TOLERANCE * abs(finite.mean()):
+            i = scored.best()
+            on_round(g, float(scored.high[i]), pop[i])
+        if scored.alike():
             break
     if packed is not increments:
         packed.release()
-    i = int(np.argmin(score))
-    return pop[i], float(score[i])
+    i = scored.best()
+    return scored.pop[i], float(scored.high[i])
 
 
 def refine_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str], y: str, start: Sequence[float],
@@ -251,10 +408,9 @@ def refine_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str]
     best = None
     for _ in range(rounds):
         moves = np.concatenate([np.eye(len(x)), -np.eye(len(x))]) * (step * (hi - lo))
-        pop = np.concatenate([[x], np.clip(x + moves, lo, hi)])
-        score = packed.penalties(pop, bound_gene)
-        i = int(np.argmin(score))
-        best = float(score[i])
+        scored = _Scored(packed, np.concatenate([[x], np.clip(x + moves, lo, hi)]), bound_gene)
+        i, pop = scored.best(), scored.pop
+        best = float(scored.high[i])
         if i == 0:
             step /= 2
         x = pop[i]

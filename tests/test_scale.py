@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.catalog import quality, tables, views
+from tessera.operators import search as SE
 from tessera.operators import sequence as S
 from tessera.operators.hull import convex_hull
 from tessera.sources.trial_reports import read_trial_reports
@@ -83,3 +84,32 @@ def test_reports_are_written_by_many_tasks(spark, monkeypatch):
     files = spark.read.option("recursiveFileLookup", True).text(written[0]).select("_metadata.file_name").distinct().collect()
     assert got.count() == views.table(spark, SF, "supplier").count()
     assert len({f.file_name.split("-")[1] for f in files}) > 1  # the number of the task that wrote it
+
+
+@pytest.mark.parametrize("gene", [False, True])
+def test_search_reads_few_rows_and_decides_as_with_every_penalty(spark, monkeypatch, gene):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 3))
+    y = np.abs(x).max(axis=1)
+    x[:50], y[50:90] = 0.0, 0.0  # rows without a direction
+    x[100:4000] = x[100]  # rows of one direction
+    df = spark.createDataFrame(pd.DataFrame({**dict(zip("abc", x.T)), "y": y})).repartition(3)
+    monkeypatch.setattr(SE, "BLOCK_ROWS", 100)
+    packed = SE.PackedIncrements(df, list("abc"), "y")
+    pop = rng.uniform(-1, 1, size=(40, 4))
+    pop[:, 0] = np.abs(pop[:, 0]) + 0.1
+    pop = pop if gene else pop[:, 1:]
+    want = np.array([r.penalty for r in SE.candidate_scores(df, list("abc"), "y", pop, gene).orderBy("candidate").collect()])
+    low, high = packed.bounds(pop, gene)
+    assert np.allclose(packed.penalties(pop, gene), want, rtol=1e-9)
+    assert (low <= want * (1 + 1e-8)).all() and (want <= high * (1 + 1e-8)).all() and (high <= low * 1.5).all()
+
+    bounds = [(0.1, 10.0)] * gene + [(-1, 1)] * 3
+    scored, whole = [], SE.PackedIncrements.penalties
+    monkeypatch.setattr(SE.PackedIncrements, "penalties", lambda self, p, *a: scored.append(len(p)) or whole(self, p, *a))
+    got = SE.evolve_weights(packed, list("abc"), "y", bounds, popsize=6, generations=8, bound_gene=gene)
+    assert 0 < sum(scored) < 6 * len(bounds) * 9 / 2
+    monkeypatch.setattr(SE.PackedIncrements, "bounds", lambda self, p, g=False: (whole(self, p, g),) * 2)
+    every = SE.evolve_weights(packed, list("abc"), "y", bounds, popsize=6, generations=8, bound_gene=gene)
+    assert np.array_equal(got[0], every[0]) and np.isclose(got[1], every[1], rtol=1e-9)
+    packed.release()
