@@ -69,10 +69,11 @@ class WordEncoder:
         self.last[[i for w, i in spec["model"]["vocab"].items() if suffix and w.endswith(suffix)]] = True
         self.by_word = bool(suffix)
         # the characters for which the cuts below are known to be the pre-tokenizer's; \xad and others stay out
-        self.odd = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-\xac\xae-ɏ]|<\\|")
+        # and lower case is one character; \u0130 (two) stays out
+        self.odd = "[^\\t\\n\\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-ɏ]|<\\|"
         # fixed values: the tokenizer's own pattern in the notation of re
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+|\n")
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"\n": -1}
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def learn(self, pieces: list[str]) -> tuple:
@@ -88,34 +89,34 @@ class WordEncoder:
             ends = np.cumsum([len(e.ids) for e in coded])
         return ids, ends
 
-    def encode(self, texts: list[str]) -> tuple:
+    def encode(self, texts: pa.Array | list[str]) -> tuple:
         """Ids of all texts one after another, and the number of ids of each."""
-        import unicodedata
-        from itertools import chain
+        import pyarrow.compute as pc
 
         np = self.np
-        whole = [i for i, t in enumerate(texts) if not self.by_word or self.odd.search(t)]
-        other = dict(zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))
-        split = [[] if i in other else unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts)]
-        words = list(chain.from_iterable(split))
-        chunk = dict.fromkeys(words)
-        chunk.update(zip(chunk, range(len(chunk))))
-        order = np.fromiter(map(chunk.__getitem__, words), np.int64, len(words))
-        # the pieces of all distinct words in one go; a line end closes each word
-        pieces = self.cut.findall("\n".join([*chunk, ""]))
-        every = dict.fromkeys(pieces)
-        every.pop("\n", None)
-        known = self.known
-        new = [p for p in every if p not in known]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(texts, self.odd) if self.by_word else pa.array(np.ones(len(texts), bool))
+        held = pc.filter(texts, whole).to_pylist()
+        other = dict(zip(np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist(), self.tok.encode_batch_fast(held, add_special_tokens=False)))
+        # these characters are in the composed form already
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(whole, "", texts)))
+        chunk = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
+        order = chunk.indices.to_numpy().astype(np.int64)
+        # the pieces of all distinct words in one go; a line end closes each word, an empty one too
+        size = len(chunk.dictionary)
+        lines = pa.LargeListArray.from_arrays(pa.array([0, size], pa.int64()), chunk.dictionary)
+        pieces = self.cut.findall(pc.binary_join(lines, "\n")[0].as_py() + "\n") if size else []
+        known, before = self.known, len(self.known)
+        new = list(set(pieces).difference(known))
         ids, ends = self.learn(new)
         flat, ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, ends + len(self.flat)])
-        own = dict(zip(new, range(len(known), len(known) + len(new))))
-        if len(known) + len(new) <= CACHE_PIECES:
-            known.update(own)
-            self.flat, self.ends, own = flat, ends, known
-        every = {p: known[p] if p in known else own[p] for p in every}
-        every["\n"] = -1
-        number = np.fromiter(map(every.__getitem__, pieces), np.int64, len(pieces))
+        known.update(zip(new, range(before - 1, before - 1 + len(new))))
+        number = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        if len(known) <= CACHE_PIECES:
+            self.flat, self.ends = flat, ends
+        else:
+            for p in new:
+                del known[p]
         close = np.flatnonzero(number < 0)
         number = number[number >= 0]
         begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -129,8 +130,8 @@ class WordEncoder:
         ids = piece_ids[_ranges(np, lo[order], (hi - lo)[order])]
         counts = np.zeros(len(texts), np.int64)
         word_end = np.concatenate([[0], np.cumsum((hi - lo)[order])])
-        ends = np.cumsum([len(ws) for ws in split])
-        counts[:] = word_end[ends] - word_end[np.concatenate([[0], ends[:-1]])] if len(texts) else 0
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        counts[:] = word_end[ends[1:]] - word_end[ends[:-1]]
         if other:
             parts, at = [], 0
             for i, n in enumerate(counts.tolist()):
@@ -179,15 +180,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         import os
 
         import numpy as np
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         part, before = TaskContext.get().partitionId(), 0
         encoder = per_process(f"tokens {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices([len(t) for t in texts], SLICE_CHARS):
-                ids, counts = encoder.encode(texts[lo:hi])
+            texts = b.column(1)
+            for lo, hi in slices(pc.utf8_length(texts).to_pylist(), SLICE_CHARS):
+                ids, counts = encoder.encode(texts.slice(lo, hi - lo))
                 if tail:
                     ids = np.insert(ids, np.cumsum(counts), tail[0])
                     counts = counts + 1

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def test_encoder_gives_the_ids_of_the_library(spark):
     assert encoder.encode([])[1].tolist() == []
 
 
+def test_encoder_takes_columns_and_every_character():
+    encoder = tokens.WordEncoder(WORDS)
+    marks = [chr(c) for c in range(1, 0x260)]
+    texts = ["", " ", "\n", " \t a  b\r\n", *[f"{m}A{m}b7 {m}{m} X{m}" for m in marks], "".join(marks[31:126]), "İstanbul ǅ ẞ <|x|>"]
+    column = pa.array(["not of the slice", *texts, "nor this"]).slice(1, len(texts))
+    want = [e.ids for e in encoder.tok.encode_batch(texts, add_special_tokens=False)]
+    for part, ids in [(column, want), *[(column.slice(i, 1), want[i:i + 1]) for i in range(0, len(texts), 9)]]:
+        got, counts = encoder.encode(part)
+        assert counts.tolist() == [len(w) for w in ids] and got.tolist() == [i for w in ids for i in w]
+
+
 def test_encoder_beyond_its_memory(spark, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 100)
     texts = list(texts_of(spark).values())[:60]
