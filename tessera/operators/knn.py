@@ -20,7 +20,7 @@ queries with equal coordinates are answered once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -217,6 +217,27 @@ def _candidates(groups: DataFrame, index: PointIndex) -> DataFrame:
     return rows.select("gpart", "gnum", "kid.*")
 
 
+def _hits(axes, points, reach, k: int):
+    """Pairs of a query and a point of one leaf within ``reach`` of the query, and their distances.
+
+    No query needs more of a leaf than its own k nearest there (and ties), however many lie within its reach.
+    """
+    import numpy as np
+
+    total = None
+    for i in range(axes.shape[1]):
+        diff = axes[:, i][:, None] - points[:, i][None, :]
+        total = diff * diff if total is None else total + diff * diff
+    limit = reach ** 2 * _SLACK + 1e-300
+    near = total <= limit[:, None]
+    many = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * k) if len(points) > 2 * k else []
+    if len(many):
+        some = total[many]
+        near[many] = some <= (np.partition(some, k - 1, axis=1)[:, k - 1] * _SLACK + 1e-300)[:, None]
+    q, p = np.nonzero(near)
+    return q, p, np.sqrt(total[q, p])
+
+
 def _met(groups: DataFrame, pairs: DataFrame, index: PointIndex, names: Sequence[str], radius: bool) -> DataFrame:
     """Every group meets its leaves in turn, nearest first: the k best of each query, or how far they reach at most."""
     keys, k, d = list(index.keys), index.k, len(index.keys)
@@ -254,17 +275,8 @@ def _met(groups: DataFrame, pairs: DataFrame, index: PointIndex, names: Sequence
         open_ = np.flatnonzero(np.sqrt((gap * gap).sum(axis=1)) <= reach * _SLACK + 1e-150)
         if not len(open_):
             return
-        total = np.zeros((len(open_), len(points)))
-        for i in range(d):
-            diff = axes[open_, i][:, None] - points[:, i][None, :]
-            total = diff * diff if i == 0 else total + diff * diff
-        total = np.sqrt(total)
-        limit = reach[open_]
-        fresh = np.isinf(limit)
-        if fresh.any() and len(points) >= k:
-            limit = np.where(fresh, np.partition(total, k - 1, axis=1)[:, k - 1], limit)
-        q, p = np.nonzero(total <= limit[:, None])
-        of, dist = np.concatenate([of, open_[q]]), np.concatenate([dist, total[q, p]])
+        q, p, fresh = _hits(axes[open_], points, reach[open_], k)
+        of, dist = np.concatenate([of, open_[q]]), np.concatenate([dist, fresh])
         picked = table.take(pa.array(p))
         best = picked if best is None else pa.concat_tables([best, picked])
         ids = best.column(0)
@@ -285,38 +297,48 @@ def _met(groups: DataFrame, pairs: DataFrame, index: PointIndex, names: Sequence
         if radius:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([num], pa.int64()), pa.array([float(reach.max())])], ["gpart", "gnum", "reach"])
         elif best is not None:
-            rank = np.arange(len(of)) - np.searchsorted(of, of) + 1
-            found = [*[pa.array(axes[of, i]) for i in range(d)], pa.array(dist), pa.array(rank, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*found, *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in best.columns]], [*keys, "distance", "rank", *names])
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][:len(of)])
+            ends = pa.array(np.append(starts, len(of)), pa.int32())
+            lists = [pa.array(dist), *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in best.columns]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(axes[of[starts], i]) for i in range(d)], *[pa.ListArray.from_arrays(ends, v) for v in lists]],
+                                             [*keys, "distance", *names])
 
     if radius:
         return rows.mapInArrow(walk, "gpart int, gnum long, reach double")
-    schema = ", ".join([*[f"`{c}` double" for c in keys], "distance double, rank int", *[f"`{c}` {types[c]}" for c in names]])
+    schema = ", ".join([*[f"`{c}` double" for c in keys], "distance array<double>", *[f"`{c}` array<{types[c]}>" for c in names]])
     return rows.mapInArrow(walk, schema)
 
 
-def knn_join(queries: DataFrame, index: PointIndex, out: str = "neighbour",
-             carry: Sequence[str] = ()) -> DataFrame:
-    """The k nearest points of each distinct query coordinate.
-
-    Returns the key columns, ``rank`` (1-based), ``distance``, the id and the carried columns of the
-    point. Ties are broken by the point id. Join it back to the queries on the key columns. Queries with a
-    null or non-finite coordinate have no neighbours.
-    """
-    keys, names = list(index.keys), list(dict.fromkeys([index.ref_id, *carry]))
+def _neighbours(queries: DataFrame, index: PointIndex, names: Sequence[str]) -> DataFrame:
+    """A row per distinct query coordinate with neighbours: the keys, ``distance`` and ``names`` as lists, nearest first."""
+    keys = list(index.keys)
     points = _finite(queries.select(*[F.col(c).cast("double").alias(c) for c in keys]), keys).distinct()
-    columns = [*keys, "distance", F.col(index.ref_id).alias(out), *carry, "rank"]
     if not index.rows:
         kinds = dict(index.leaves.dtypes)
-        fields = [*[f"`{c}` double" for c in keys], "distance double, rank int", *[f"`{c}` {kinds[c]}" for c in names]]
-        return queries.sparkSession.createDataFrame([], ", ".join(fields)).select(*columns)
+        fields = [*[f"`{c}` double" for c in keys], "distance array<double>", *[f"`{c}` array<{kinds[c]}>" for c in names]]
+        return queries.sparkSession.createDataFrame([], ", ".join(fields))
     groups = cut_lineage(_packed(points, keys, index.lo, index.width, GROUP, None))
     pairs = cut_lineage(_candidates(groups, index))
     own = pairs.where(F.col("n") >= index.k).groupBy("gpart", "gnum").agg(F.min_by(F.struct("part", "num", "near"), "far").alias("leaf"))
     reach = _met(groups, own.select("gpart", "gnum", "leaf.*"), index, [index.ref_id], True)
     pairs = pairs.join(reach, ["gpart", "gnum"], "left").where(
         F.col("reach").isNull() | (F.col("near") <= F.col("reach") * F.col("reach") * F.lit(_SLACK) + F.lit(1e-300)))
-    return _met(groups, pairs.select("gpart", "gnum", "part", "num", "near"), index, names, False).select(*columns)
+    return _met(groups, pairs.select("gpart", "gnum", "part", "num", "near"), index, names, False)
+
+
+def knn_join(queries: DataFrame, index: PointIndex, out: str = "neighbour",
+             carry: Sequence[str] = ()) -> DataFrame:
+    """The k nearest points of each distinct query coordinate.
+
+    Returns the key columns, ``rank`` (1-based), ``distance``, the id and the carried columns of the
+    point. Ties are broken by the point id. Join it back to the queries on the key columns. Queries with a
+    null or non-finite coordinate have no neighbours.
+    """
+    keys, names = list(index.keys), list(dict.fromkeys([index.ref_id, *carry]))
+    near = _neighbours(queries, index, names)
+    near = near.select(*keys, F.posexplode(F.arrays_zip("distance", *names)).alias("_pos", "_one"))
+    return near.select(*keys, "_one.distance", F.col("_one")[index.ref_id].alias(out), *[F.col("_one")[c].alias(c) for c in carry],
+                       (F.col("_pos") + 1).alias("rank"))
 
 
 def idw_join(queries: DataFrame, refs: DataFrame | PointIndex, keys: Sequence[str], values: Sequence[str],
@@ -328,14 +350,20 @@ def idw_join(queries: DataFrame, refs: DataFrame | PointIndex, keys: Sequence[st
     """
     index = refs if isinstance(refs, PointIndex) else build_index(refs, keys, ref_id, k)
     carry = [*values, *([weight] if weight else [])]
-    near = knn_join(queries, index, "_ref", [*carry])
-    inv = F.lit(1.0) / F.pow(F.col("distance"), F.lit(float(p)))
-    if weight:
-        inv = inv * F.col(weight)
-    near = near.withColumn("_w", F.when(F.col("distance") > 0, inv))
-    hit = (F.min("distance") < EXACT_HIT) | F.lit(index.k == 1)
-    got = near.groupBy(*keys).agg(*[
-        F.when(hit, F.min_by(v, "rank")).otherwise(F.try_divide(F.sum(F.col("_w") * F.col(v)), F.sum("_w")))
+    near = _neighbours(queries, index, list(dict.fromkeys([index.ref_id, *carry])))
+    near = near.select(*keys, F.arrays_zip("distance", *dict.fromkeys(carry)).alias("_near"))
+
+    def inverse(q: Column) -> Column:
+        inv = F.lit(1.0) / F.pow(q["distance"], F.lit(float(p)))
+        return F.when(q["distance"] > 0, inv * q[weight] if weight else inv)
+
+    def total(term: Callable[[Column], Column]) -> Column:
+        """The sum of a term over the neighbours; like ``sum``, nulls don't count and of nulls alone it is null."""
+        return F.aggregate("_near", F.lit(None).cast("double"), lambda have, q: F.coalesce(have + term(q), term(q), have))
+
+    hit = (F.col("_near")[0]["distance"] < EXACT_HIT) | F.lit(index.k == 1)
+    got = near.select(*keys, *[
+        F.when(hit, F.col("_near")[0][v]).otherwise(F.try_divide(total(lambda q, v=v: inverse(q) * q[v]), total(inverse)))
         .alias(v) for v in values])
     return queries.join(got, list(keys))
 

@@ -146,3 +146,30 @@ def test_inside_hull(spark):
         if ((q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0]) >= -1e-12).all():
             want.add((k, x, y))
     assert got == want and 0 < len(want) < len(asked)
+
+
+def test_hits_of_a_leaf_are_bounded():
+    """Whatever the reach, a query takes no more of a leaf than its k nearest there and their ties."""
+    rng = np.random.default_rng(3)
+    axes, points = rng.random((40, 2)), np.round(rng.random((200, 2)), 1)
+    for reach in (np.full(40, np.inf), np.full(40, 1.5), np.full(40, 0.1)):
+        q, p, dist = K._hits(axes, points, reach, 3)
+        every = np.sqrt(((axes[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+        kth = np.sort(every, axis=1)[:, 2]
+        assert {(i, j) for i, j in zip(*np.nonzero(every <= np.minimum(kth, reach)[:, None]))} <= set(zip(q, p))
+        assert np.allclose(dist, every[q, p]) and np.bincount(q, minlength=40).max() < 30
+
+
+def test_idw_null_values(spark):
+    """Null values are left out of the sum of values only; of nulls alone the result is null."""
+    refs = spark.createDataFrame([(1, 0.0, 2.0, None), (2, 2.0, None, None), (3, 5.0, 4.0, None)], "id long, x double, v double, u double")
+    got = K.idw_join(spark.createDataFrame([(1.0,), (2.0,)], "x double"), refs, ["x"], ["v", "u"], "id", 2, 2).orderBy("x")
+    assert [tuple(r) for r in got.collect()] == [(1.0, 1.0, None), (2.0, None, None)]
+
+
+def test_idw_sends_a_row_per_query(spark):
+    """The neighbours of a query are summed where they were found: the plan groups no rows of neighbours by their place."""
+    refs = spark.createDataFrame([(i, float(i), float(i)) for i in range(20)], "id long, x double, v double")
+    asked = spark.createDataFrame([(0.5,), (7.25,)], "x double")
+    plan = K.idw_join(asked, K.build_index(refs, ["x"], "id", 4), ["x"], ["v"], k=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(v#" not in plan and "arrays_zip" in plan
