@@ -6,13 +6,14 @@ import pathlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.grid import lattice_triangles
 from tessera.operators.resample import resample
 from tessera.operators.sequence import arc_length, drop_degenerate
 from tessera.sources.export import export_projection
 from tessera.sources.level_table import level_table_text, read_level_text, write_level_table, write_level_text
-from tessera.sources.profiles import profile_schema, read_profiles, require_columns
+from tessera.sources.profiles import profile_schema, read_profiles, require_columns, write_profiles
 from tessera.sources.splits import read_splits, write_splits
 from tessera.sources.trial_reports import append_history, read_trial_reports
 from tessera.streaming.profiles import ingest_profiles
@@ -161,3 +162,19 @@ def test_stream_equals_batch(spark, profile_tree, tmp_path):
     curve = drop_degenerate(arc_length(df, key, cols), "s_total", F.col("kind") == "equilibrium")
     batch = resample(curve, key, "s", [*cols, "Cp"], 12).select("series_id", "node", *[F.round(c, 9).alias(c) for c in [*cols, "Cp"]])
     assert streamed.exceptAll(batch).count() == 0 and streamed.count() == batch.count() > 0
+
+
+def test_series_files_are_written_by_the_tasks(spark, tmp_path):
+    """One whole file a series and none beside it under a mounted root; the same rows as by Spark's writer elsewhere."""
+    rows = [(u, i, None if i == 3 else u * 10.0 + i, float("nan") if i == 4 else i / 3) for u in (1, 2, None) for i in range(12, -1, -1) if u]
+    rows += [(None, i, 1e300 * i, float("inf")) for i in range(3)]
+    df = spark.createDataFrame(rows, "u long, i long, v double, w double").withColumn("f", F.concat(F.lit("phi_"), F.col("u").cast("string")))
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in ("v", "w")])
+    got = []
+    for name, root in (("a", f"file:{tmp_path}/a"), ("b", f"{tmp_path}/b")):
+        write_profiles(df, f"{root}/freeflame_data", "u", "f", "i", ["v", "w"])
+        read, _ = read_profiles(spark, root, kinds=["freeflame"], header="f=phi_" if name == "b" else "folder=phi_", schema=schema)
+        got.append(sorted(map(repr, read.select("mix_status", "row_idx", "v", "w").collect())))
+    assert got[0] == got[1] and len(got[0]) == 29
+    files = sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "a").rglob("*") if p.is_file())
+    assert files == [f"a/freeflame_data/folder={f}/part-00000.csv" for f in ("__HIVE_DEFAULT_PARTITION__", "phi_1", "phi_2")]
