@@ -39,6 +39,9 @@ PART_ROWS = 100_000  # points of a partition unless there are more than ROOTS of
 CURVE_BITS = 62  # of a position on the curve, all axes together
 _SLACK = 1.0 + 1e-9  # rounding room when comparing distance bounds
 
+TASK_TARGETS = 20_000  # targets that a task compares with all probes
+SENT_PLACES = 10_000  # places whose probes are sent to all tasks; of more the targets are brought to them
+
 EXACT_HIT = 1e-10  # below this distance the nearest value is taken as is (fixed value)
 
 
@@ -444,6 +447,10 @@ def inverse_lookup(queries: DataFrame, index: PointIndex, moving: str, target: s
     ladder = F.explode(F.array_distinct(F.array(*[F.lit(lo + extent * j / probes) for j in range(probes + 1)], F.lit(start))))
     places = need.select(*others).distinct() if others else need.limit(1)
     first = interpolated(places.select(*others, ladder.alias(moving))).groupBy(*others).agg(F.collect_list(F.struct(moving, value)).alias("_at"))
+    # many targets can share few places, so they are dealt out by themselves and not by place
+    need = need.repartition(max(1, -(-need.count() // TASK_TARGETS)), *row)
+    if others and places.count() <= SENT_PLACES:
+        first = F.broadcast(first)
     state = need.join(first, others) if others else need.withColumn("_at", first.scalar())
     state, number = cut_lineage(judged(state, 0)), 0
     done = [state.where("status IS NOT NULL")]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import knn as K
 from tessera.operators.grid import inside_hull
@@ -173,3 +174,27 @@ def test_idw_sends_a_row_per_query(spark):
     asked = spark.createDataFrame([(0.5,), (7.25,)], "x double")
     plan = K.idw_join(asked, K.build_index(refs, ["x"], "id", 4), ["x"], ["v"], k=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by(v#" not in plan and "arrays_zip" in plan
+
+
+def test_targets_of_one_place_are_dealt_out(spark, monkeypatch):
+    """Targets that share the other keys are judged by many tasks, whichever way they meet the probes."""
+    cut, tasks = K.cut_lineage, []
+
+    def spied(df):
+        out = cut(df)
+        if "status" in out.columns:
+            tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(K, "cut_lineage", spied)
+    monkeypatch.setattr(K, "TASK_TARGETS", 10, raising=False)
+    refs = spark.createDataFrame([(i, i / 20, j / 2, i * 5.0) for i in range(21) for j in range(2)], "id long, x double, y double, v double")
+    asked = spark.createDataFrame([(0.5, 1.0 + i) for i in range(60)], "y double, want double")
+    index = K.build_index(refs.withColumn("id", F.monotonically_increasing_id()), ["x", "y"], "id", 3)
+    got = []
+    for places in (10, 0):
+        monkeypatch.setattr(K, "SENT_PLACES", places, raising=False)
+        got.append(sorted(map(repr, K.inverse_lookup(asked, index, "x", "want", "v", start=0.5).collect())))
+        if places:
+            assert tasks[0] == 6
+    assert got[0] == got[1] and len(got[0]) == 60
