@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.catalog import quality, tables, views
+from tessera.operators import resample as R
 from tessera.operators import search as SE
 from tessera.operators import sequence as S
 from tessera.operators.hull import convex_hull
+from tessera.plans import manifold_table as M
 from tessera.sources.trial_reports import read_trial_reports
 from tests.conftest import SF
 
@@ -48,6 +50,82 @@ def test_weights_over_chunks(spark, monkeypatch):
     pd.testing.assert_frame_equal(got, want, rtol=1e-9)
 
 
+@pytest.fixture(scope="module")
+def lines(spark):
+    """Series of 1 to 40 rows and one of 130, some of them never hot, one without a number."""
+    rng = np.random.default_rng(11)
+    sizes = [*rng.integers(1, 41, 30), 130]
+    sid = np.repeat(np.arange(len(sizes)), sizes)
+    own = pd.DataFrame({"sid": sid, "k": np.concatenate([rng.permutation(n) for n in sizes]), "a": rng.normal(size=len(sid)).round(2), "b": rng.integers(0, 5, len(sid)) * 1.0,
+                        "Temperature": np.where(sid % 6 == 5, 500.0, 900.0) - rng.integers(0, 90, len(sid)), "Source": rng.random(len(sid))})
+    df = spark.createDataFrame(own.sample(frac=1, random_state=3)).withColumns({
+        "kind": F.expr("element_at(array('freeflame', 'burnerflame', 'equilibrium'), cast(sid % 3 + 1 as int))"),
+        "folder": F.expr("concat('phi_', cast(sid % 4 as string))"), "file": F.col("sid").cast("string")})
+    return df.unionByName(df.limit(3).withColumn("sid", F.lit(None).cast("long")))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_are_sorted_and_stored_once(lines, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(S, "FEW_SERIES", 0)
+    real, stored = S.cut_lineage, []
+
+    def store(df):
+        stored.append(df.count())
+        return real(df)
+
+    monkeypatch.setattr(S, "cut_lineage", store)
+    got, key = S.index_rows(lines, "sid", ["k"], chunk_rows=50)
+    if few:  # and one row per series, or two
+        assert sum(n >= lines.count() for n in stored) == 1
+    rows = got.toPandas().sort_values(["sid", "k"]).reset_index(drop=True)
+    want = lines.where("sid is not null").toPandas().sort_values(["sid", "k"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(rows[want.columns], want, check_dtype=False)
+    assert (rows.row_idx == rows.groupby("sid").cumcount()).all()
+    assert (rows.chunk == (np.arange(len(rows)) + 3) // 50).all()  # those without a number come first
+    assert (rows[key.cut] == (rows.groupby("sid").chunk.transform("nunique") > 1)).all()
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_only_series_across_a_border_go_by_chunks(lines, monkeypatch, marked):
+    """The others need no chunk tables: their operators take all rows of a series at once."""
+    spec = M.TableSpec(["a", "b"], ["Temperature"], ["Source"], nodes=9, lo=1.0, hi=3.0)
+    plain = M.concatenate(*S.index_rows(lines, "sid", ["k"]), spec).toPandas()
+    cut, key = S.index_rows(lines, "sid", ["k"], chunk_rows=50)
+    if not marked:
+        key = S.SeriesKey(key.series, key.order, key.chunk)
+    crossing = {r.sid for r in cut.groupBy("sid").agg(F.countDistinct("chunk").alias("n")).where("n > 1").collect()}
+    real, seen = M.arc_length, []
+
+    def spy(df, k, *rest):
+        seen.append((k.chunk, {r.sid for r in df.select("sid").distinct().collect()}))
+        return real(df, k, *rest)
+
+    monkeypatch.setattr(M, "arc_length", spy)
+    got = M.concatenate(cut, key, spec).toPandas()
+    by = ["series_no", "node"]
+    plain, got = (x.sort_values(by).reset_index(drop=True) for x in (plain, got))
+    pd.testing.assert_frame_equal(got, plain, rtol=1e-9)
+    assert [c for c, _ in seen] == [None, "chunk"]
+    assert seen[1][1] and seen[1][1] <= crossing and seen[0][1] and not seen[0][1] & crossing
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 50])
+def test_hot_series_by_key(lines, chunk_rows):
+    df, key = S.index_rows(lines, "sid", ["k"], chunk_rows=chunk_rows)
+    want = S.having_max(df, "sid", "Temperature", 600.0).select("sid", "row_idx", "k").collect()
+    got = S.having_max(df, key, "Temperature", 600.0).select("sid", "row_idx", "k")
+    assert 0 < len(want) < df.count() and sorted(got.collect()) == sorted(want)
+
+
+def test_nodes_are_sought_once_a_row(lines):
+    """The first node of the following row is read from it, and no filter repeats the search."""
+    df, key = S.index_rows(lines, "sid", ["k"])
+    plan = R.resample(S.arc_length(df, key, ["a", "b"]), key, "s", ["a"], 9)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "acos" in plan and not any("acos" in line and "filter" in line for line in plan.splitlines())
+    assert sum("acos" in line for line in plan.splitlines()) == 1
+
+
 def test_reports_of_a_folder(spark, tmp_path):
     """Folders may be named instead of every report below them."""
     for worker, model in ((0, 1), (0, 2), (3, 1)):
