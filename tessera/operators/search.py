@@ -7,6 +7,8 @@ rows are never paired in a table.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.knn import _curve
-from tessera.runtime import cut_lineage
+from tessera.runtime import checkpoint_dir, cut_lineage
 
 
 CHUNK = 256  # rows scored at once: with all candidates they fit in a core's cache
@@ -117,6 +119,9 @@ BLOCK_ROWS = 1024  # rows of a block at most
 TASK_ROWS = 2_000_000  # rows of a task, unless that leaves cores without one
 CURVE_AXES = 12  # columns that place a row on the curve; further ones only widen the boxes
 CLOSE = 3.0  # a plane nearer to a block's middle than so many times the reach of its box cuts the block
+ROUGH = 5e-3  # of the scale: about what rough bounds may leave open
+ROUGH_MOST = 0.25  # margin about a plane, of a unit direction; with a wider one, rough bounds save nothing
+FINE = 16  # part of the margin within which rows are taken in double precision
 _ROOM = 1e-9  # rounding room of bounds
 
 
@@ -140,7 +145,9 @@ class PackedIncrements:
     ``penalties``, which take every row, where bounds leave a decision open.
 
     A round reads the blocks in place and returns one partial result per task, a few numbers per candidate; of
-    more than FEW_TASKS tasks the partial results are merged on the executors first.
+    more than FEW_TASKS tasks the partial results are merged on the executors first. Under a ``file:`` checkpoint
+    folder the blocks lie in files there, one per task, which a round maps into memory: it touches the blocks that it
+    goes through and no others are handed to a worker. Other stores keep them in the table.
     """
 
     def __init__(self, increments: DataFrame, cols: Sequence[str], y: str):
@@ -167,20 +174,36 @@ class PackedIncrements:
                 seen += len(m)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(usual, at, -1)), pa.array(tie)], [*names, "_at", "_tie"])
 
+        size = BLOCK_ROWS
+        root = checkpoint_dir(increments.sparkSession)
+        folder = f"/{root.removeprefix('file:').lstrip('/')}/search-{uuid.uuid4().hex}" if root.startswith("file:/") else None
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            path, at = folder and f"{folder}/{TaskContext.get().taskAttemptId()}", 0
             for b in batches:
                 if b.num_rows:
-                    parts = np.array_split(matrix(b), -(-b.num_rows // BLOCK_ROWS))
+                    parts = np.array_split(matrix(b), -(-b.num_rows // size))
                     heads = [_head(p[:, :-1], p[:, -1]).tobytes() for p in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], ["head", "block"])
+                    starts = at + np.cumsum([0, *[len(p) for p in parts]])
+                    held = [p.tobytes() for p in parts]
+                    if path:
+                        os.makedirs(folder, exist_ok=True)
+                        with open(path, "ab" if at else "wb") as out:
+                            out.writelines(held)
+                        at, held = int(starts[-1]), [None] * len(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(held, pa.binary()), pa.array([path] * len(parts), pa.string()),
+                                                      pa.array(starts[:-1])], ["head", "block", "path", "start"])
 
         rows = increments.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias("_y")).dropna()
         schema = ", ".join([*[f"`{c}` double" for c in names], "_at long, _tie long"])
         rows = cut_lineage(rows.mapInArrow(place, schema))
         cores = rows.sparkSession.sparkContext.defaultParallelism
-        tasks = cores * max(1, -(-rows.count() // (cores * TASK_ROWS)))
+        self.rows = rows.count()
+        tasks = cores * max(1, -(-self.rows // (cores * TASK_ROWS)))
         rows = rows.repartitionByRange(tasks, "_at", "_tie").sortWithinPartitions("_at").select(*names)
-        self.blocks = cut_lineage(rows.mapInArrow(pack, "head binary, block binary")).persist()
+        self.blocks = cut_lineage(rows.mapInArrow(pack, "head binary, block binary, path string, start long")).persist()
         self.tasks = self.blocks.select(F.spark_partition_id().alias("task")).distinct().count()  # also fills the cache
 
     def _folded(self, pop: np.ndarray, bound_gene: bool, add: Callable[[_Fold, np.ndarray, list[np.ndarray]], None]) -> _Fold | None:
@@ -192,7 +215,12 @@ class PackedIncrements:
             for b in batches:
                 if b.num_rows:
                     heads = np.stack([np.frombuffer(h.as_buffer(), "<f8") for h in b.column(0)])
-                    add(fold, heads, [np.frombuffer(r.as_buffer(), "<f8").reshape(-1, width) for r in b.column(1)])
+                    if b.column(2).null_count:
+                        blocks = [np.frombuffer(r.as_buffer(), "<f8").reshape(-1, width) for r in b.column(1)]
+                    else:
+                        files = {f: np.memmap(f, "<f8", "r").view(np.ndarray).reshape(-1, width) for f in b.column(2).unique().to_pylist()}
+                        blocks = [files[f][a:a + int(n)] for f, a, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), heads[:, 1])]
+                    add(fold, heads, blocks)
                     seen = True
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([fold.parts.tobytes()], pa.binary())], ["part"])
@@ -259,6 +287,72 @@ class PackedIncrements:
             ends.append(np.where(np.isfinite(end), end, np.inf))
         return ends[0], ends[1]
 
+    def rough_bounds(self, pop: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """Wider bounds of penalties without a gene, for much less work; none if the scale is too small for that.
+
+        Most of a large penalty are the slopes of the few rows next to a candidate's plane. A block farther from it than
+        a margin has its line of sums, the others are gone through in single precision, apart from the rows next to the
+        plane. The margin is chosen so that about ``ROUGH`` of ``scale`` is left open.
+        """
+        pop = np.asarray(pop, dtype=float)
+        n = len(pop)
+        if not (np.isfinite(scale) and scale > 0):
+            return None
+        margin = 0.64 * self.rows / (ROUGH * scale)  # of directions spread evenly in four columns
+        if margin > ROUGH_MOST:
+            return None
+        fine = max(margin / FINE, 1e-4)
+
+        def add(fold: _Fold, heads: np.ndarray, blocks: list[np.ndarray]) -> None:
+            # columns: the least and the most, for all candidates each
+            w = fold.w[:, :n]
+            rows, _, mid, half, _, _ = np.split(heads[:, 1:], np.cumsum([1, *[len(w)] * 4]), axis=1)
+            worst, bad, _, _ = (part.reshape(2, n) for part in fold.parts)
+            odd = heads[:, 0] != 0
+            with np.errstate(all="ignore"):
+                centre, reach = mid @ w, (half @ np.abs(w)) * (1 + _ROOM) + 1e-12 * (np.abs(mid) @ np.abs(w))
+                least, most = np.abs(centre) - reach, np.abs(centre) + reach
+                far = ~odd[:, None] & ((least > margin) | (np.abs(centre) > CLOSE * reach))
+                behind = far & (centre < 0)
+                for i, slope in enumerate((1 / most, 1 / least)):
+                    np.maximum(worst[i], np.where(far, slope, 0.0).max(axis=0), out=worst[i])
+                    bad[i] += np.where(behind, rows * slope * slope, 0.0).sum(axis=0)
+            single, turned = w.astype("<f4"), np.ascontiguousarray(w.T)
+            for i in np.flatnonzero(~far.all(axis=1)):
+                x, y = blocks[i][:, :-1], blocks[i][:, -1]
+                if odd[i]:
+                    fold.add(x, y)
+                    continue
+                some = np.flatnonzero(~far[i])
+                u = (x / y[:, None]).astype("<f4")
+                t = u @ single[:, some]
+                room = 1e-6 * float((np.abs(mid[i]) + half[i]).sum())  # what single precision may be off, and more
+                hits = np.flatnonzero(np.abs(t) < fine + room)
+                row, own = np.divmod(hits, len(some))
+                own = some[own]
+                t.reshape(-1)[hits] = np.inf
+                f = np.reciprocal(t, out=t)
+                top = np.maximum(f.max(axis=0), -f.min(axis=0))
+                np.minimum(f, 0.0, out=f)
+                squares = np.einsum("ij,ij->j", f, f)
+                t = np.einsum("ij,ij->i", x[row], turned[own])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    f = y[row] / t
+                f[~np.isfinite(f)] = 0.0  # increments of zero have no slope
+                near = np.bincount(own, np.where(t < 0, f * f, 0.0), n)
+                np.abs(f, out=f)
+                for part, share in ((0, 1 - 1e-4 - 2.5 * room / fine), (1, 1 + 1e-4 + 2.5 * room / fine)):
+                    worst[part, some] = np.maximum(worst[part, some], top * share)
+                    bad[part, some] += squares * share
+                    np.maximum.at(worst[part], own, f)
+                    bad[part] += near
+
+        whole = self._folded(np.tile(pop, (2, 1)), False, add)
+        if whole is None:
+            return None
+        low, high = self._penalty(pop, whole, False).reshape(2, n)
+        return np.where(np.isfinite(low), low * (1 - _ROOM), np.inf), np.where(np.isfinite(high), high * (1 + _ROOM), np.inf)
+
     def penalties(self, pop: np.ndarray, bound_gene: bool = False) -> np.ndarray:
         """The penalty of every candidate from all rows; infinite where it has none."""
         pop = np.asarray(pop, dtype=float)
@@ -308,18 +402,31 @@ def weight_bounds(species: Sequence[str], reactants: Sequence[str] = (), product
 
 
 class _Scored:
-    """Candidates and the bounds of their penalties, which become the penalties themselves where ``settle`` is asked to."""
+    """Candidates and the bounds of their penalties, which become the penalties themselves where ``settle`` is asked to.
 
-    def __init__(self, packed: PackedIncrements, pop: np.ndarray, bound_gene: bool):
+    Given the ``scale`` of the penalties that matter, the first bounds are rough; ``sharpen`` mends them where they
+    leave a decision open.
+    """
+
+    def __init__(self, packed: PackedIncrements, pop: np.ndarray, bound_gene: bool, scale: float | None = None):
         self.packed, self.pop, self.gene = packed, pop, bound_gene
-        self.low, self.high = packed.bounds(pop, bound_gene)
+        rough = None if scale is None or bound_gene else packed.rough_bounds(pop, scale)
+        self.low, self.high = rough or packed.bounds(pop, bound_gene)
+        self.rough = np.full(len(pop), rough is not None)
         self.known = np.zeros(len(pop), bool)
 
+    def sharpen(self, some: np.ndarray) -> None:
+        some = np.flatnonzero(some & self.rough)
+        if len(some):
+            low, high = self.packed.bounds(self.pop[some], self.gene)
+            self.low[some], self.high[some] = np.maximum(self.low[some], low), np.minimum(self.high[some], high)
+            self.rough[some] = False
+
     def settle(self, some: np.ndarray) -> None:
         some = np.flatnonzero(some & ~self.known)
         if len(some):
             self.low[some] = self.high[some] = self.packed.penalties(self.pop[some], self.gene)
-            self.known[some] = True
+            self.known[some], self.rough[some] = True, False
 
     def best(self) -> int:
         while not self.known[rivals := self.low <= self.high.min()].all():
@@ -329,21 +436,22 @@ class _Scored:
     def take(self, other: _Scored) -> None:
         """Replace each candidate by that of ``other`` if its penalty is no larger."""
         doubt = (other.low <= self.high) & ~(other.high <= self.low)
-        other.settle(doubt)
-        doubt &= (other.low <= self.high) & ~(other.high <= self.low)
-        self.settle(doubt)
+        for mend in (other.sharpen, self.sharpen, other.settle, self.settle):
+            mend(doubt)
+            doubt &= (other.low <= self.high) & ~(other.high <= self.low)
         better = other.high <= self.low
-        for mine, new in ((self.pop, other.pop), (self.low, other.low), (self.high, other.high), (self.known, other.known)):
+        for mine, new in ((self.pop, other.pop), (self.low, other.low), (self.high, other.high), (self.known, other.known), (self.rough, other.rough)):
             mine[better] = new[better]
 
     def alike(self) -> bool:
         """Whether the penalties are finite and spread no more than the tolerance."""
         if np.isinf(self.low).any():
             return False
-        middle, room = (self.low + self.high) / 2, (self.high - self.low).max() / 2
-        if np.isfinite(room) and middle.std() - room > SEARCH_TOLERANCE * (abs(middle.mean()) + room):
-            return False
-        self.settle(~self.known)
+        for mend in (lambda: self.sharpen(self.rough), lambda: self.settle(~self.known)):
+            middle, room = (self.low + self.high) / 2, (self.high - self.low).max() / 2
+            if np.isfinite(room) and middle.std() - room > SEARCH_TOLERANCE * (abs(middle.mean()) + room):
+                return False
+            mend()
         return bool(np.isfinite(self.high).all() and self.high.std() <= SEARCH_TOLERANCE * abs(self.high.mean()))
 
 
@@ -386,7 +494,7 @@ def evolve_weights(increments: DataFrame | PackedIncrements, cols: Sequence[str]
             trial[i, genes] = donor[i, genes]
         outside = (trial < lo) | (trial > hi)
         trial = np.where(outside, lo + rng.random(trial.shape) * (hi - lo), trial)
-        scored.take(_Scored(packed, trial, bound_gene))
+        scored.take(_Scored(packed, trial, bound_gene, float(scored.high.min())))
         if on_round:
             i = scored.best()
             on_round(g, float(scored.high[i]), pop[i])

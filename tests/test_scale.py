@@ -191,3 +191,34 @@ def test_search_reads_few_rows_and_decides_as_with_every_penalty(spark, monkeypa
     every = SE.evolve_weights(packed, list("abc"), "y", bounds, popsize=6, generations=8, bound_gene=gene)
     assert np.array_equal(got[0], every[0]) and np.isclose(got[1], every[1], rtol=1e-9)
     packed.release()
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_search_goes_through_few_blocks_of_files_in_single_precision(spark, monkeypatch, mounted):
+    """Rough bounds hold, decide as the others do, and the rows of a mounted folder stay in their files."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40_000, 3))
+    y = np.linalg.norm(x, axis=1)
+    x[:30], y[30:60] = 0.0, 0.0
+    x[100:300] = x[100]
+    df = spark.createDataFrame(pd.DataFrame({**dict(zip("abc", x.T)), "y": y})).repartition(3)
+    if not mounted:
+        monkeypatch.setattr(SE, "checkpoint_dir", lambda s: "hdfs://store/kept")
+    monkeypatch.setattr(SE, "BLOCK_ROWS", 100)
+    packed = SE.PackedIncrements(df, list("abc"), "y")
+    assert packed.rows == 40_000 and packed.blocks.where("block is not null").isEmpty() == mounted
+    pop = rng.uniform(-1, 1, size=(40, 3))
+    want = packed.penalties(pop)
+    scale = float(np.median(want))
+    low, high = packed.rough_bounds(pop, scale)
+    assert (low <= want).all() and (want <= high).all() and np.median(high - low) < 0.05 * scale
+    assert packed.rough_bounds(pop, 1.0) is None and packed.rough_bounds(pop, np.inf) is None
+
+    sharp, rough = [], SE.PackedIncrements.bounds
+    monkeypatch.setattr(SE.PackedIncrements, "bounds", lambda self, p, g=False: sharp.append(len(p)) or rough(self, p, g))
+    got = SE.evolve_weights(packed, list("abc"), "y", [(-1, 1)] * 3, popsize=6, generations=8)
+    assert sum(sharp) < 18 * 4  # of 18 * 9 candidates
+    monkeypatch.setattr(SE.PackedIncrements, "rough_bounds", lambda self, p, s: None)
+    every = SE.evolve_weights(packed, list("abc"), "y", [(-1, 1)] * 3, popsize=6, generations=8)
+    assert np.array_equal(got[0], every[0]) and np.isclose(got[1], every[1], rtol=1e-9)
+    packed.release()
