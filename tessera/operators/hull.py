@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tessera.runtime import cut_lineage
 
 
 FEW_POINTS = 64  # a level with no more points in a batch is passed on as it is
+BUCKET_ROWS = 50_000  # survivors of all levels that a task takes at once
 
 
 def _distinct(points: np.ndarray) -> np.ndarray:
@@ -60,7 +62,7 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
 
     The hull of a union is the hull of the hulls: every batch is reduced where it lies, apart from levels of
     few points in it, which take longer to reduce than to send. Levels whose survivors still exceed
-    ``group_points`` are reduced again in parts before a level meets in one task.
+    ``group_points`` are reduced again in parts before a level meets in one task, which takes a bucket of levels.
     """
     level_type = df.schema[level].dataType.simpleString()
     flat = f"level {level_type}, x double, y double"
@@ -84,16 +86,26 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
         for pdf in batches:
             yield reduce_levels(pdf)
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = _chain(pdf[["x", "y"]].to_numpy(dtype=float))
-        return pd.DataFrame({"level": pdf["level"].iloc[0], "seq": np.arange(len(pts)),
-                             "x": pts[:, 0], "y": pts[:, 1]})
-
-    rows = df.select(F.col(level).alias("level"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    def final(rows: pa.Table) -> pa.Table:
+        levels = rows["level"].combine_chunks()
+        codes = levels.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        xy = np.stack([rows[c].to_numpy()[order] for c in ("x", "y")], axis=1)
+        starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+        rings = [_chain(xy[a:b]) for a, b in zip(starts, np.append(starts[1:], len(xy)))]
+        sizes = [len(r) for r in rings]
+        pts = np.concatenate(rings)
+        return pa.table({"level": levels.take(pa.array(np.repeat(order[starts], sizes))), "seq": np.concatenate([np.arange(n) for n in sizes]),
+                         "x": pts[:, 0], "y": pts[:, 1]})
+
+    whole = F.col(level)
+    if level_type in ("float", "double"):
+        whole = whole + F.lit(0).cast(level_type)  # zeros of both signs are one level
+    rows = df.select(whole.alias("level"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     left = cut_lineage(rows.mapInPandas(partial, flat))
     while True:
         sizes = left.groupBy("level").count()
-        most = sizes.agg(F.max("count")).first()[0] or 0
+        most, total = (n or 0 for n in sizes.agg(F.max("count"), F.sum("count")).first())
         if most <= group_points:
             break
         parts = -(-most // (group_points // 2))
@@ -106,5 +118,6 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
         left = smaller
         if again > 0.9 * most:  # nearly all points are hull vertices: the answer itself is that large
             break
-    out = left.groupBy("level").applyInPandas(final, f"level {level_type}, seq long, x double, y double")
+    bucket = F.pmod(F.xxhash64("level"), F.lit(-(-total // BUCKET_ROWS) or 1)).alias("_bucket")
+    out = left.groupBy(bucket).applyInArrow(final, f"level {level_type}, seq long, x double, y double")
     return out.withColumnRenamed("level", level)

@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
+from tessera.operators import grid
 from tessera.operators import knn as K
 from tessera.operators.grid import inside_hull
 from tessera.operators.hull import convex_hull
@@ -149,6 +151,46 @@ def test_inside_hull(spark):
     assert got == want and 0 < len(want) < len(asked)
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_levels_share_buckets(spark, monkeypatch, large):
+    """Tasks do not multiply with the number of levels; large levels are dealt out, among them that of no number."""
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 30, 40)
+    level = np.repeat([*range(-1, 39)], sizes)
+    own = pd.DataFrame({"level": level, "x": rng.integers(0, 9, len(level)) * 1.0, "y": rng.integers(0, 9, len(level)) * 1.0})
+    own.loc[own.level == 5, "x"] = 3.0  # all above each other
+    asked = pd.DataFrame({"level": rng.integers(-1, 42, 6000), "x": rng.uniform(-1, 9, 6000).round(1), "y": rng.uniform(-1, 9, 6000).round(1)})
+    asked = pd.concat([asked, asked.assign(level=np.where(asked.level < 3, asked.level, 3)), own])
+    number = F.when(F.col("level") >= 0, F.col("level")).alias("level")
+    monkeypatch.setattr(grid, "BUCKET_ROWS", 3000)
+    if large:
+        monkeypatch.setattr(grid, "GROUP_ROWS", 1000)
+    hull = convex_hull(spark.createDataFrame(own).select(number, "x", "y"), "level", "x", "y")
+    ring = hull.select(F.coalesce("level", F.lit(-1)).alias("level"), "seq", "x", "y").orderBy("level", "seq").toPandas()
+    groups = []
+    real = PandasCogroupedOps.applyInArrow
+
+    def spy(self, *a):
+        for side in (self._gd1, self._gd2):
+            groups.append(side.count().count())
+        return real(self, *a)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", spy)
+    got = inside_hull(spark.createDataFrame(asked).select(number, "x", "y"), hull, "level")
+    got = got.fillna(-1, "level").toPandas().sort_values(["level", "x", "y"]).reset_index(drop=True)
+    assert max(groups) < 35
+    want = np.zeros(len(asked), bool)
+    for k, p in ring.groupby("level"):
+        p, mine = p[["x", "y"]].to_numpy(), (asked.level == k).to_numpy()
+        x, y = asked.x.to_numpy()[mine], asked.y.to_numpy()[mine]
+        ok = (x >= p[:, 0].min()) & (x <= p[:, 0].max()) & (y >= p[:, 1].min()) & (y <= p[:, 1].max())
+        for a, b in zip(p, np.roll(p, -1, axis=0)):
+            ok &= (b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-12
+        want[mine] = ok
+    want = asked[want].sort_values(["level", "x", "y"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
 def test_hits_of_a_leaf_are_bounded():
     """Whatever the reach, a query takes no more of a leaf than its k nearest there and their ties."""
     rng = np.random.default_rng(3)
