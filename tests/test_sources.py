@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tessera.operators.grid import lattice_triangles
 from tessera.operators.resample import resample
 from tessera.operators.sequence import arc_length, drop_degenerate
+from tessera.sources import profiles
 from tessera.sources.export import export_projection
 from tessera.sources.level_table import level_table_text, read_level_text, write_level_table, write_level_text
 from tessera.sources.profiles import profile_schema, read_profiles, require_columns, write_profiles
@@ -178,3 +179,38 @@ def test_series_files_are_written_by_the_tasks(spark, tmp_path):
     assert got[0] == got[1] and len(got[0]) == 29
     files = sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "a").rglob("*") if p.is_file())
     assert files == [f"a/freeflame_data/folder={f}/part-00000.csv" for f in ("__HIVE_DEFAULT_PARTITION__", "phi_1", "phi_2")]
+
+
+def test_small_files_share_tasks_and_whole_series_need_no_chunks(spark, tmp_path, monkeypatch):
+    """Not a task for every 32 files, in a stream neither; only a file too long for a task is cut."""
+    names = ["spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism"]
+    rng = np.random.default_rng(2)
+    for u in range(400):
+        folder = tmp_path / "in" / "freeflame_data" / f"phi_{u}"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text("n,v\n" + "".join(f"{i},{v}\n" for i, v in enumerate(rng.random(1 + u % 7).round(3))))
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in "nv"])
+    parts, stored = [], profiles.cut_lineage
+    monkeypatch.setattr(profiles, "cut_lineage", lambda df: parts.append(df.rdd.getNumPartitions()) or stored(df))
+    monkeypatch.setattr(profiles, "CHUNK_ROWS", 7)
+    df, key = read_profiles(spark, str(tmp_path / "in"), ["freeflame"], schema=schema)
+    assert key.chunk is None and df.where("row_idx != n").isEmpty() and df.count() == sum(1 + u % 7 for u in range(400))
+
+    settings, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        run = ingest_profiles(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), schema, ["n", "v"], [], 5,
+                              derive=lambda df: settings.append(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) or df)
+        run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert run.exception() is None and settings == ["3"] and max(parts) <= 6 and len(parts) == 2
+    got = spark.read.parquet(str(tmp_path / "out"))
+    curve = drop_degenerate(arc_length(df, key, ["n", "v"]), "s_total")
+    cols = ["mix_status", "node", F.round("v", 9).alias("v")]
+    assert got.select(cols).exceptAll(resample(curve, key, "s", ["n", "v"], 5, carry=["mix_status"]).select(cols)).isEmpty() and got.count() == 5 * sum(u % 7 > 0 for u in range(400))
+    assert [spark.conf.get(n, None) for n in names] == [None, None]
+
+    (tmp_path / "in" / "freeflame_data" / "phi_0" / "b.csv").write_text("n,v\n" + "".join(f"{i},1.0\n" for i in range(8)))
+    cut, key = read_profiles(spark, str(tmp_path / "in"), ["freeflame"], schema=schema)
+    assert key.chunk == "chunk" and cut.where("row_idx != n").isEmpty() and cut.count() == df.count() + 8
