@@ -332,7 +332,6 @@ class PackedIncrements:
                 own = some[own]
                 t.reshape(-1)[hits] = np.inf
                 f = np.reciprocal(t, out=t)
-                top = np.maximum(f.max(axis=0), -f.min(axis=0))
                 np.minimum(f, 0.0, out=f)
                 squares = np.einsum("ij,ij->j", f, f)
                 t = np.einsum("ij,ij->i", x[row], turned[own])
@@ -342,10 +341,10 @@ class PackedIncrements:
                 near = np.bincount(own, np.where(t < 0, f * f, 0.0), n)
                 np.abs(f, out=f)
                 for part, share in ((0, 1 - 1e-4 - 2.5 * room / fine), (1, 1 + 1e-4 + 2.5 * room / fine)):
-                    worst[part, some] = np.maximum(worst[part, some], top * share)
                     bad[part, some] += squares * share
                     np.maximum.at(worst[part], own, f)
                     bad[part] += near
+                worst[1, some] = np.maximum(worst[1, some], 1 / fine)  # of the rows beyond; next to the squares that is nothing
 
         whole = self._folded(np.tile(pop, (2, 1)), False, add)
         if whole is None:
