@@ -96,7 +96,7 @@ def convex_hull(df: DataFrame, level: str, x: str, y: str, group_points: int = 2
         sizes = [len(r) for r in rings]
         pts = np.concatenate(rings)
         return pa.table({"level": levels.take(pa.array(np.repeat(order[starts], sizes))), "seq": np.concatenate([np.arange(n) for n in sizes]),
-                         "x": pts[:, 0], "y": pts[:, 1]})
+                         "x": pa.array(pts[:, 0], from_pandas=True), "y": pa.array(pts[:, 1], from_pandas=True)})
 
     whole = F.col(level)
     if level_type in ("float", "double"):

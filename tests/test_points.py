@@ -151,6 +151,12 @@ def test_inside_hull(spark):
     assert got == want and 0 < len(want) < len(asked)
 
 
+def test_a_coordinate_that_is_null_stays_so(spark):
+    df = spark.createDataFrame([(i % 2, float(i), None if i == 4 else i * i * 1.0) for i in range(12)], "level int, x double, y double")
+    got = convex_hull(df, "level", "x", "y")
+    assert got.where("x is null or isnan(x) or isnan(y)").isEmpty() and {r.level for r in got.where("y is null").collect()} == {0}
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_levels_share_buckets(spark, monkeypatch, large):
     """Tasks do not multiply with the number of levels; large levels are dealt out, among them that of no number."""
